@@ -43,7 +43,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(df: DataFrame, group: str, order: list, into: str, rows_per_bucket: int = 20_000) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list, into: str, rows_per_bucket: int = 4_000) -> DataFrame:
     """Adds ``into``: the rank from 0 of each row in its ``group``, by ``order`` (columns that make rows distinct).
 
     A group may hold any share of the rows: the rows of each group are cut into buckets of equal ranges of a
@@ -52,7 +52,7 @@ def ranked(df: DataFrame, group: str, order: list, into: str, rows_per_bucket: i
     shuffle the group. ``df`` is read twice and must give the same rows each time.
     """
     n = df.count()
-    buckets = 1 << max(4, math.ceil(math.log2(max(1, n / rows_per_bucket))))
+    buckets = 1 << min(16, max(4, math.ceil(math.log2(max(1, n / rows_per_bucket)))))
     keyed = df.withColumn("_h", F.xxhash64(*order)).withColumn("_b", F.shiftrightunsigned("_h", 64 - int(math.log2(buckets))).cast("int"))
     counts = keyed.groupBy(group, "_b").agg(F.count("*").alias("_n"))
     before = W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

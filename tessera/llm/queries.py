@@ -1,8 +1,10 @@
 """The queries of this subpackage, each over whole tables, and their DuckDB SQL where SQL can express them."""
 
-from . import mixing
+from . import mixing, packing, tokens
 
 QUERIES = {
+    "op1_token_counts": tokens.op1_token_counts,
+    "op6_packing": packing.op6_packing,
     "op10_mixing": mixing.op10_mixing,
 }
 
