@@ -1,10 +1,11 @@
 """The queries of this subpackage, each over whole tables, and their DuckDB SQL where SQL can express them."""
 
-from . import mixing, packing, tokens
+from . import mixing, packing, repeats, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op6_packing": packing.op6_packing,
+    "op8_substring_dedup": repeats.op8_substring_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 
