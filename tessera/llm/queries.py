@@ -1,12 +1,13 @@
 """The queries of this subpackage, each over whole tables, and their DuckDB SQL where SQL can express them."""
 
-from . import mixing, neardup, packing, repeats, tokens
+from . import fingerprints, mixing, neardup, packing, repeats, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op6_packing": packing.op6_packing,
     "op8_substring_dedup": repeats.op8_substring_dedup,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_mixing": mixing.op10_mixing,
 }
 
