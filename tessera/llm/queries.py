@@ -1,11 +1,13 @@
 """The queries of this subpackage, each over whole tables, and their DuckDB SQL where SQL can express them."""
 
-from . import fingerprints, mixing, neardup, packing, repeats, tokens
+from . import fingerprints, language, mixing, neardup, packing, quality, repeats, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
+    "op3_quality": quality.op3_quality,
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op6_packing": packing.op6_packing,
+    "op7_language": language.op7_language,
     "op8_substring_dedup": repeats.op8_substring_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_mixing": mixing.op10_mixing,
