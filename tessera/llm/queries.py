@@ -1,11 +1,13 @@
 """The queries of this subpackage, each over whole tables, and their DuckDB SQL where SQL can express them."""
 
-from . import fingerprints, language, mixing, neardup, packing, quality, repeats, tokens
+from . import fingerprints, language, mixing, neardup, neighbours, packing, quality, repeats, tokens, urls
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
+    "op2_neighbours": neighbours.op2_neighbours,
     "op3_quality": quality.op3_quality,
     "op4_near_duplicates": neardup.op4_near_duplicates,
+    "op5_urls": urls.op5_urls,
     "op6_packing": packing.op6_packing,
     "op7_language": language.op7_language,
     "op8_substring_dedup": repeats.op8_substring_dedup,
