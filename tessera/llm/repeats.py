@@ -150,17 +150,38 @@ def _shard(window: int, phrase: int):
     return covered
 
 
-def _windows(window: int, phrase: int):
-    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digests(window: int, phrase: int):
+    def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [(_digest(words, o, window), row.order, row.key, row.start + o) for row, words, offsets in located(frame, window, phrase) for o in offsets]
-            yield pd.DataFrame(out, columns=["digest", "order", "key", "at"])
+            out = [(row.anchor, row.order, row.key, row.start, [_digest(words, o, window) for o in offsets]) for row, words, offsets in located(frame, window, phrase)]
+            yield pd.DataFrame(out, columns=["anchor", "order", "key", "start", "digests"])
 
-    return windows
+    return digests
+
+
+def hot_ranges(passages: DataFrame, window: int, phrase: int) -> DataFrame:
+    """Covered ranges of the passages of anchors with very many places.
+
+    The windows that a hundredth of an anchor's passages share are at most a hundred for each offset, so they
+    stand in one row for the anchor; the others are in groups that are small beside it, and meet by digest.
+    """
+    rows = common.written(passages.select("anchor", "order", "key", "start", "offset", "words").mapInPandas(_digests(window, phrase), "anchor long, order long, key long, start int, digests array<binary>"), "digests")
+    total = rows.groupBy("anchor").agg(F.count("*").alias("total"))
+    seen = rows.select("anchor", "order", F.explode("digests").alias("digest")).groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min("order").alias("least"))
+    seen = common.written(seen.filter("n > 1").join(total, "anchor").withColumn("heavy", F.col("n") * 100 >= F.col("total")), "windows")
+    heavy = seen.filter("heavy").groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("digest", "least"))).alias("known"))
+    told = rows.join(heavy, "anchor", "left")
+    place = lambda i: F.col("start") + i
+    begins = F.filter(F.transform("digests", lambda d, i: F.when(F.col("known")[d] < F.col("order"), place(i))), lambda x: x.isNotNull())
+    common_ones = told.select("order", "key", begins.alias("begins")).filter(F.size("begins") > 0)
+    rest = told.select("anchor", "order", "key", "start", F.posexplode("digests").alias("i", "digest"), "known").filter(F.col("known")[F.col("digest")].isNull())
+    rest = rest.join(seen.filter("not heavy").select("anchor", "digest", "least"), ["anchor", "digest"]).filter(F.col("order") > F.col("least"))
+    rest = rest.select("order", "key", F.array(place(F.col("i"))).alias("begins"))
+    return common_ones.unionByName(rest).select("order", "key", "begins", F.transform("begins", lambda x: x + window).alias("ends"))
 
 
 def covered_ranges(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(copies, ranges) of (doc_id, order, key, text): the keys of whole copies, and (order, key, begin, end) of covered word ranges."""
+    """(copies, ranges) of (doc_id, order, key, text): the keys of whole copies, and (order, key, begins, ends) of covered word ranges."""
     outline = common.written(docs.select(F.col("order").alias("doc_id"), "key", "text").mapInArrow(_outline(window, phrase), "doc_id long, key long, n_words long, same binary, anchor array<long>, place array<int>"), "outline")
     outline = outline.withColumnRenamed("doc_id", "order").filter(F.col("n_words") >= window)
     least = outline.groupBy("same").agg(F.min("order").alias("least"))
@@ -178,11 +199,8 @@ def covered_ranges(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     n_shards = max(1, passages.count() // shard)
     few = passages.join(often, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
     ranges = few.groupBy("shard").applyInPandas(_shard(window, phrase), "order long, key long, begin int, end int")
-    many = passages.join(often, "anchor", "left_semi").select("order", "key", "start", "offset", "words")
-    at = common.written(many.mapInPandas(_windows(window, phrase), "digest binary, order long, key long, at int"), "windows")
-    first = at.groupBy("digest").agg(F.min("order").alias("least"))
-    late = at.join(first, "digest").filter(F.col("order") > F.col("least")).select("order", "key", F.col("at").alias("begin"), (F.col("at") + window).alias("end"))
-    return copies, ranges.unionByName(late)
+    ranges = ranges.select("order", "key", F.array("begin").alias("begins"), F.array("end").alias("ends"))
+    return copies, ranges.unionByName(hot_ranges(passages.join(often, "anchor", "left_semi"), window, phrase))
 
 
 def _kept(names: list[str]):
@@ -218,7 +236,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).withColumn("order", F.coalesce("doc_id", F.lit(_NEVER))).withColumn("key", F.xxhash64("text"))
     copies, ranges = covered_ranges(rows, window, phrase, shard, hot)
-    merged = ranges.groupBy("order", "key").agg(F.collect_list(F.struct("begin", "end")).alias("r")).select("order", "key", F.col("r.begin").alias("begins"), F.col("r.end").alias("ends"), F.lit(False).alias("copy"))
+    merged = ranges.groupBy("order", "key").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends")).withColumn("copy", F.lit(False))
     gone = merged.unionByName(copies.select("order", "key", F.lit(None).cast("array<int>").alias("begins"), F.lit(None).cast("array<int>").alias("ends"), F.lit(True).alias("copy")))
     joined = rows.join(gone, ["order", "key"], "left")
     names = ["doc_id", *keep]
