@@ -1,12 +1,49 @@
-"""The corpus pipeline: stages that each call one operator of tessera.llm."""
+"""The corpus pipeline: stages that each call one operator of tessera.llm.
+
+language: documents that are in no language go (no letter, or a score below LANGUAGE_SCORE).
+near_duplicates: of each class of near-duplicates the document with the least doc_id stays.
+repeats: words in windows that start in a document with a smaller doc_id go; so do documents without any word left.
+mixing: rows are put in the order of the mix, in which no source is a block or more off its target weight.
+packing: the pieces of all documents, each with its sequence and its place there.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import common, language, mixing, neardup, packing, repeats
+
+LANGUAGE_SCORE = 0.05
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = docs.select(*COLUMNS)
+    found = language.identify(rows, rows.select("doc_id", "text", "lang"), keep=COLUMNS)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*COLUMNS)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(docs.select(*COLUMNS))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(docs, keep=("lang", "source"), verbatim=True)
+    left = found.filter((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0)).withColumnRenamed("kept", "text")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs.select(*COLUMNS)).orderBy("slot", "place").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
 
-from tessera.llm import common
 
-STAGES: list = []
+STAGES = [("language", by_language), ("near_duplicates", without_near_duplicates), ("repeats", without_repeats), ("mixing", mixed), ("packing", packed)]
+#: SQL expresses neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 

@@ -184,27 +184,43 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float, rounds: int) ->
     return found.unionByName(common.written(verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity), "links"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+def classes(rows: DataFrame, similarity: float, bands: int, per_band: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes) of (doc_id, text, node): (doc_id, node) of each row, and (node, least, label, n_links) of each text."""
+    signed = common.written(rows.select("doc_id", "node", "text").mapInArrow(_bands(bands, per_band), "doc_id long, node binary, bands array<bigint>"), "signatures")
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    nodes = common.written(nodes, "nodes")
+    found = common.written(links(rows, nodes, similarity, rounds), "links")
+    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    told = nodes.select("node", "least").join(components(found), "node", "left").join(degree, "node", "left")
+    return signed.select("doc_id", "node"), told.select("node", "least", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _with_node(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("node", F.unhex(F.md5("text")))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, class_id, n_links of each row of (doc_id, text, ...): the least doc_id of the row's class, and how many links its text has.
 
     Equal texts, and texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more, are in
     one class, and so on from text to text. A null text is in a class of its own (its doc_id); a text without
     words only with texts equal to it. A class in which no row has a doc_id has a null class_id.
     """
-    rowed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("node", F.unhex(F.md5("text")))
-    signed = common.written(rowed.mapInArrow(_bands(bands, rows), "doc_id long, node binary, bands array<bigint>"), "signatures")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    nodes = common.written(nodes, "nodes")
-    found = common.written(links(rowed, nodes, similarity, rounds), "links")
-    label = components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classed = nodes.select("node", "least").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = classed.groupBy("label").agg(F.min("least").alias("class_id"))
-    classed = classed.join(named, "label").join(degree, "node", "left").select("node", "class_id", "n_links")
-    out = signed.select("doc_id", "node").join(classed, "node", "left")
+    rows, nodes = classes(_with_node(docs.select("doc_id", "text")), similarity, bands, per_band, rounds)
+    named = nodes.groupBy("label").agg(F.min("least").alias("class_id"))
+    out = rows.join(nodes.join(named, "label").select("node", "class_id", "n_links"), "node", "left")
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """One row of each class of near_duplicates, that with the least doc_id, with all its columns; rows with a null text stay."""
+    own = _with_node(docs)
+    _, nodes = classes(own, similarity, bands, per_band, rounds)
+    stays = nodes.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("m")).select(F.col("m.node").alias("node"), F.col("m.least").alias("_least"))
+    chosen = own.join(stays, "node").filter(F.col("doc_id").eqNullSafe(F.col("_least"))).dropDuplicates(["node"])
+    return chosen.select(*docs.columns).unionByName(docs.filter("text is null"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, n_links of every document."""
     return near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -203,7 +203,7 @@ def covered_ranges(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     return copies, ranges.unionByName(hot_ranges(passages.join(often, "anchor", "left_semi"), window, phrase))
 
 
-def _kept(names: list[str]):
+def _kept(names: list[str], verbatim: bool):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in hashing.slices(batch):
@@ -215,7 +215,8 @@ def _kept(names: list[str]):
                     if copy[i]:
                         rows.append((n, n, ""))
                     elif not begins[i]:
-                        rows.append((n, 0, b" ".join(text[words.at[i] : words.at[i + 1]].split()).decode()))
+                        own = text[words.at[i] : words.at[i + 1]]
+                        rows.append((n, 0, (own if verbatim else b" ".join(own.split())).decode()))
                     else:
                         steps = np.zeros(n + 1, np.int64)
                         np.add.at(steps, begins[i], 1)
@@ -228,11 +229,12 @@ def _kept(names: list[str]):
     return kept
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD, hot: int = HOT, keep: tuple[str, ...] = (), verbatim: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) of each row of (doc_id, text, ...), and the columns in ``keep``.
 
     Words are runs without ASCII white space. A null text has none. A null doc_id counts as larger than any;
-    rows with one doc_id don't cover each other. Each row is judged on the input as it is.
+    rows with one doc_id don't cover each other. Each row is judged on the input as it is. ``verbatim``: a text
+    that loses nothing keeps its white space.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).withColumn("order", F.coalesce("doc_id", F.lit(_NEVER))).withColumn("key", F.xxhash64("text"))
     copies, ranges = covered_ranges(rows, window, phrase, shard, hot)
@@ -242,7 +244,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     names = ["doc_id", *keep]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_words long, n_removed long, kept string"
-    return joined.select(*names, "text", "copy", "begins", "ends").mapInArrow(_kept(names), schema)
+    return joined.select(*names, "text", "copy", "begins", "ends").mapInArrow(_kept(names, verbatim), schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
