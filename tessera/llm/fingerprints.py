@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from . import common, hashing
 
 SAMPLES, TERMS = 64, 1 << 17
+#: Parts that the rows are cut into by doc_id, at most.
+MAX_PARTS = 10_000
 _tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -111,23 +114,26 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, terms: int = TERMS, ro
 
     The next row is that with the next doc_id (after the last: the first); nulls come first, rows with one
     doc_id are in the order of a hash of their texts. A null text counts as empty. Texts without words are
-    alike. Rows are cut at quantiles of doc_id into parts of about ``rows_per_part``, and the first row of each
-    part is also sent to the part before it, so no order over all rows is needed.
+    alike. Rows are cut at quantiles of doc_id into parts of about ``rows_per_part`` (MAX_PARTS parts at most), and
+    the first row of each part is also sent to the part before it, so no order over all rows is needed.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = rows.count()
-    parts = max(1, n // rows_per_part)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts + 1000).alias("c")).first().c if n else None
-    cuts = sorted(set(cuts or [])) if parts > 1 else []
-    # the part of a row: by binary search in an array literal of the cuts
-    keyed = rows.withColumn("_c", F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"))
-    where = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.expr("aggregate(_c, 0, (k, c) -> k + int(c <= doc_id))"))
-    keyed = keyed.withColumn("part", where).drop("_c").withColumn("_order", F.xxhash64("text"))
-    first = keyed.groupBy("part").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("_order").alias("o"))).alias("f")).orderBy("part").collect()
+    parts = min(MAX_PARTS, max(1, n // rows_per_part))
+    found = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], min(50_000, 20 * parts + 1000)).alias("c")).first().c if n else None
+    cuts = np.array(sorted(set(found or [])) if parts > 1 else [], np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), "right").astype(np.int32))
+
+    least = F.lit(-(1 << 63))
+    keyed = rows.withColumn("part", part_of(F.coalesce("doc_id", least))).withColumn("_order", F.xxhash64("text"))
+    first = keyed.groupBy("part").agg(F.min(F.struct(F.coalesce("doc_id", least).alias("d"), F.col("_order").alias("o"))).alias("f")).orderBy("part").collect()
     before = [(r.part, r.f.d, r.f.o, first[i - 1].part) for i, r in enumerate(first)]
-    heads = spark.createDataFrame(before, "part int, d long, o long, to int")
-    guests = keyed.join(heads, "part").filter((F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("d")) & (F.col("_order") == F.col("o")))
+    heads = F.broadcast(spark.createDataFrame(before, "part int, d long, o long, to int"))  # MAX_PARTS rows at most
+    guests = keyed.join(heads, "part").filter((F.coalesce("doc_id", least) == F.col("d")) & (F.col("_order") == F.col("o")))
     guests = guests.dropDuplicates(["part"]).select("doc_id", "text", F.col("to").alias("part"), "_order", F.lit(True).alias("guest"))
     all_rows = keyed.withColumn("guest", F.lit(False)).unionByName(guests)
     placed = all_rows.repartition(common.shuffle_partitions(spark), "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "_order")
