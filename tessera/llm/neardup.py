@@ -8,10 +8,11 @@ the dart. A dart counts if its weight lies below the shingle's; so many ranks ar
 signature's coordinates is hit, and each keeps its earliest dart. Work is the number of shingles plus that of
 darts. Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Documents that agree in a band meet in a bucket. No bucket is compared pair by pair: a leader is compared with
-all others, by exact Jaccard similarity of shingle sets, in ROUNDS rounds with other leaders; members that one
-leader joins, and buckets that are all joined, leave. What is left after that is joined exactly on its rarest
-shingles: sets with a similarity s share one of the (1 - s) n + 1 rarest. Links become classes by star
+Documents that agree in a band meet in a bucket. No bucket is compared pair by pair: a leader, the member that
+meets most others in all its buckets, is compared with the rest by exact Jaccard similarity of shingle sets. This
+goes on with other leaders for ROUNDS rounds; leaders, and buckets whose members are all joined, leave. The
+members of buckets that are still mixed, texts that are nearly but not quite alike, are compared exactly in blocks
+of BLOCK, within the groups that such buckets connect. Links become classes by star
 contraction of the graph.
 """
 
@@ -20,15 +21,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import common, hashing
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, ROUNDS = 25, 5, 3
+BANDS, ROWS, ROUNDS, BLOCK = 25, 5, 2, 400
 
 
 def shingles(words: hashing.Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,6 +144,19 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = small
 
 
+def joined_to(found: DataFrame) -> DataFrame:
+    """(node, la): for each node of verified (a, b) the least node that it is known to be joined to, itself included."""
+    both = found.select(F.col("b").alias("node"), F.least("a", "b").alias("la")).unionByName(found.select(F.col("a").alias("node"), F.least("a", "b").alias("la")))
+    return both.groupBy("node").agg(F.min("la").alias("la"))
+
+
+def mixed_buckets(bucket: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of those buckets whose members aren't all joined."""
+    told = bucket.join(label, "node", "left").withColumn("la", F.coalesce("la", "node"))
+    mixed = told.groupBy("bucket").agg(F.min("la").alias("x"), F.max("la").alias("y")).filter("x <> y").select("bucket")
+    return bucket.join(mixed, "bucket", "left_semi")
+
+
 def links(docs: DataFrame, nodes: DataFrame, similarity: float, rounds: int) -> DataFrame:
     """Verified (a, b) of (node, least, bands); ``docs`` has their (doc_id, node, text)."""
     placed = nodes.select("node", "least", F.explode("bands").alias("bucket"))
@@ -153,35 +167,64 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float, rounds: int) ->
     null_ids = docs.filter(F.col("doc_id").isNull()).join(wanted.filter(F.col("least").isNull()), "node", "left_semi")
     sets = texts.unionByName(null_ids).select("node", "text").mapInArrow(_sets, "node binary, set array<bigint>").dropDuplicates(["node"])
     sets = common.written(sets, "sets")
-    found = None
-    for turn in range(rounds):
-        order = F.struct("least", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("least"), "node")
-        leader = bucket.groupBy("bucket").agg(F.min(order)["node"].alias("a"))
-        pairs = bucket.join(leader, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    found, turn = None, 0
+    while not bucket.isEmpty() and turn < rounds:
+        # the leader is the member that meets most others: the text that copies were made from meets all of them
+        sized = bucket.join(bucket.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+        meets = sized.groupBy("node").agg(F.sum("n").alias("meets"))
+        order = F.struct((-F.col("meets")).alias("meets"), "least", "node")
+        leader = bucket.join(meets, "node").groupBy("bucket").agg(F.min(order)["node"].alias("a"))
+        led = common.written(bucket.join(leader, "bucket").filter("node <> a"), "led")
+        pairs = led.select("a", F.col("node").alias("b")).distinct()
         if found is not None:
-            label = found.groupBy("b").agg(F.min("a").alias("la")).select(F.col("b").alias("node"), "la")
             pairs = pairs.join(label.select(F.col("node").alias("a"), F.col("la").alias("x")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("la").alias("y")), "b", "left")
             pairs = pairs.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
         new = common.written(verified(pairs, sets, similarity), "links")
         found = new if found is None else found.unionByName(new)
-        label = found.groupBy("b").agg(F.min("a").alias("la")).select(F.col("b").alias("node"), "la")
-        left = bucket.join(leader, "bucket").filter("node <> a").drop("a").join(label, "node", "left").withColumn("la", F.coalesce("la", "node"))
-        mixed = left.groupBy("bucket").agg(F.min("la").alias("x"), F.max("la").alias("y")).filter("x <> y").select("bucket")
-        bucket = common.written(left.drop("la").join(mixed, "bucket"), "buckets")
-        if bucket.isEmpty():
-            return found
-    # the rest, on its rarest shingles
-    rest = sets.join(bucket.select("node").distinct(), "node", "left_semi").join(label, "node", "left").withColumn("la", F.coalesce("la", "node"))
-    rest = common.written(rest.withColumn("n", F.size("set")), "rest")
-    often = rest.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
-    ordered = rest.select("node", "la", "n", F.explode("set").alias("s")).join(often, "s").filter("df > 1")
-    single = rest.select("node", "n", F.size("set").alias("all"))
-    seen = ordered.groupBy("node").agg(F.count("*").alias("often")).join(single, "node").select("node", (F.col("all") - F.col("often")).alias("alone"))
-    prefix = ordered.join(seen, "node").withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("df", "s")) + F.col("alone"))
-    prefix = prefix.filter(F.col("k") <= F.floor((1 - similarity) * F.col("n") + 1e-9) + 1).select("node", "la", "n", "s")
-    other = prefix.select(F.col("node").alias("a"), F.col("la").alias("x"), F.col("n").alias("m"), "s")
-    pairs = prefix.join(other, "s").filter((F.col("a") < F.col("node")) & (F.col("x") != F.col("la")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9))
-    return found.unionByName(common.written(verified(pairs.select("a", F.col("node").alias("b")).distinct(), sets, similarity), "links"))
+        label = joined_to(found)
+        bucket, turn = common.written(mixed_buckets(led.drop("a"), label), "buckets"), turn + 1
+    if found is None or bucket.isEmpty():
+        return found if found is not None else bucket.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    label = components(found).withColumnRenamed("label", "la")
+    bucket = common.written(mixed_buckets(bucket, label), "buckets")
+    if bucket.isEmpty():
+        return found
+    group = components(bucket.join(bucket.groupBy("bucket").agg(F.min("node").alias("a")), "bucket").select("a", F.col("node").alias("b"))).withColumnRenamed("label", "group")
+    rest = sets.join(group, "node").join(label, "node", "left").withColumn("la", F.coalesce("la", "node"))
+    return found.unionByName(common.written(in_blocks(common.written(rest, "rest"), similarity), "links"))
+
+
+def in_blocks(rest: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) with that similarity or more in one ``group`` of (node, group, la, set), with different ``la``: each block of nodes against each other block.
+
+    Of the links of one node to the nodes of one la the first is returned. A task holds two blocks.
+    """
+    size = rest.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rest.join(size, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "la", "set")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = frame[frame.own == frame.i.iat[0]], frame[frame.own == frame.j.iat[0]]
+        sides = []
+        for f in (left, right):
+            lengths = f["set"].map(len).to_numpy()
+            sides.append((np.repeat(np.arange(len(f)), lengths), np.concatenate([np.asarray(x, np.int64) for x in f["set"]] or [np.zeros(0, np.int64)]), lengths))
+        shared = np.intersect1d(sides[0][1], sides[1][1])
+        both = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, len(shared), 4096):
+            part = []
+            for (row, h, _), n in zip(sides, both.shape, strict=True):
+                m, k = np.zeros((n, 4096), np.float32), np.searchsorted(shared[at : at + 4096], h)
+                hit = np.flatnonzero((k < len(shared[at : at + 4096])) & (shared[at + np.minimum(k, len(shared) - at - 1)] == h))
+                m[row[hit], k[hit]] = 1
+                part.append(m)
+            both += part[0] @ part[1].T
+        x, y = np.nonzero(both >= similarity * (sides[0][2][:, None] + sides[1][2][None, :] - both) - 1e-6)
+        out = pd.DataFrame({"a": left["node"].to_numpy()[x], "b": right["node"].to_numpy()[y], "x": left["la"].to_numpy()[x], "y": right["la"].to_numpy()[y]})
+        return out[out.x != out.y].drop_duplicates(["a", "y"])[["a", "b"]]
+
+    return dealt.groupBy("group", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def classes(rows: DataFrame, similarity: float, bands: int, per_band: int, rounds: int) -> tuple[DataFrame, DataFrame]:
