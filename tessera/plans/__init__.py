@@ -1,4 +1,4 @@
 """The queries of the library, by group."""
 
-from . import aggregates, filters, joins, retrieval, sets, text, windows  # noqa: F401
+from . import aggregates, chunks, filters, joins, mutations, retrieval, scans, sets, text, windows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
