@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common, hashing
 
-SAMPLES, TERMS = 64, 1 << 17
+SAMPLES, TERMS = 64, 1 << 16
 #: Parts that the rows are cut into by doc_id, at most.
 MAX_PARTS = 10_000
 _tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Batches are worked on in slices of about so many bytes of text; a longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
