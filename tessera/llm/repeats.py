@@ -167,15 +167,15 @@ def hot_ranges(passages: DataFrame, window: int, phrase: int) -> DataFrame:
     """
     rows = common.written(passages.select("anchor", "order", "key", "start", "offset", "words").mapInPandas(_digests(window, phrase), "anchor long, order long, key long, start int, digests array<binary>"), "digests")
     total = rows.groupBy("anchor").agg(F.count("*").alias("total"))
-    seen = rows.select("anchor", "order", F.explode("digests").alias("digest")).groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min("order").alias("least"))
-    seen = common.written(seen.filter("n > 1").join(total, "anchor").withColumn("heavy", F.col("n") * 100 >= F.col("total")), "windows")
+    dealt = rows.repartition(common.shuffle_partitions(rows.sparkSession))  # passages of one anchor stand side by side
+    each = common.written(dealt.select("anchor", "order", "key", "start", F.posexplode("digests").alias("i", "digest")), "windows")
+    seen = each.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min("order").alias("least"))
+    seen = common.written(seen.filter("n > 1").join(total, "anchor").withColumn("heavy", F.col("n") * 100 >= F.col("total")), "shared")
     heavy = seen.filter("heavy").groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("digest", "least"))).alias("known"))
-    told = rows.join(heavy, "anchor", "left")
     place = lambda i: F.col("start") + i
     begins = F.filter(F.transform("digests", lambda d, i: F.when(F.col("known")[d] < F.col("order"), place(i))), lambda x: x.isNotNull())
-    common_ones = told.select("order", "key", begins.alias("begins")).filter(F.size("begins") > 0)
-    rest = told.select("anchor", "order", "key", "start", F.posexplode("digests").alias("i", "digest"), "known").filter(F.col("known")[F.col("digest")].isNull())
-    rest = rest.join(seen.filter("not heavy").select("anchor", "digest", "least"), ["anchor", "digest"]).filter(F.col("order") > F.col("least"))
+    common_ones = rows.join(heavy, "anchor").select("order", "key", begins.alias("begins")).filter(F.size("begins") > 0)
+    rest = each.join(seen.filter("not heavy").select("anchor", "digest", "least"), ["anchor", "digest"]).filter(F.col("order") > F.col("least"))
     rest = rest.select("order", "key", F.array(place(F.col("i"))).alias("begins"))
     return common_ones.unionByName(rest).select("order", "key", "begins", F.transform("begins", lambda x: x + window).alias("ends"))
 
