@@ -16,7 +16,7 @@ PARSED = "path string, text string, error string"
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files; bytes that aren't UTF-8 become the replacement character."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def parsed_files(spark: SparkSession, path: str, parser: Callable[[bytes], str]) -> DataFrame:
