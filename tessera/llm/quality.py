@@ -69,20 +69,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def score(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep``, score and sizes of each row of (text, ...).
+def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in ``keep``, score and sizes of each row of (doc_id, text, ...).
 
-    ``labelled``: (doc_id, text, label), label 1 or 0; rows with a null are passed over. A null text counts as
-    empty. If either label is missing, every score is the share of label 1, or a half.
+    ``labels``: (doc_id, label) to learn from, label 1 or 0; those with a null, and those of null texts, are
+    passed over. A null text counts as empty. If either label is missing, every score is the share of label 1,
+    or a half. The documents to learn from are picked by their ids, so no text is shuffled.
     """
-    usable = labelled.filter("text is not null and label in (0, 1)").withColumn("h", F.xxhash64("doc_id", "text"))
+    spark = docs.sparkSession
+    usable = labels.filter("label in (0, 1)").select("doc_id", "label").distinct().join(docs.filter("text is not null").select("doc_id"), "doc_id", "left_semi")
+    usable = usable.withColumns({"h": F.xxhash64("doc_id", "label"), "g": F.xxhash64("doc_id", "label", F.lit(1))})
+    first = W.partitionBy("label").orderBy("h", "doc_id")
+    for_dictionary = usable.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE).select("doc_id", "label", "h").collect()
+    for_curve = usable.orderBy("g", "doc_id").limit(CALIBRATION).select("doc_id", "label").collect()
+    picked = F.broadcast(spark.createDataFrame(for_dictionary, "doc_id long, label int, h long"))  # 2 x SAMPLE rows at most
     place = F.pmod("h", F.greatest(F.lit(1), F.length("text") - CHUNK)).cast("int") + 1
-    first = W.partitionBy("label").orderBy("h")
-    rows = usable.select("label", "h", F.substr("text", place, F.lit(CHUNK)).alias("text")).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE).collect()
+    texts = docs.select("doc_id", "text")
+    rows = texts.join(picked, "doc_id").select("label", "h", F.substr("text", place, F.lit(CHUNK)).alias("text")).collect()
     by = {k: [r.text.encode() for r in sorted(rows, key=lambda r: r.h) if r.label == k and r.text] for k in (0, 1)}
     good, bad = (dictionary(by[k]) if by[k] else b"" for k in (1, 0))
     kinds = "n_bytes long, with_good long, with_bad long"
-    ends = usable.withColumn("h", F.xxhash64("h", F.lit(1))).select("label", "h", "text").orderBy("h").limit(CALIBRATION)
+    ends = texts.join(F.broadcast(spark.createDataFrame(for_curve, "doc_id long, label int")), "doc_id")  # CALIBRATION rows at most
     seen = ends.select("label", "text").mapInArrow(_sizes(good, bad, ["label"]), "label int, " + kinds).collect() if by[0] and by[1] else []
     y = np.array([r.label for r in seen], float)
     if len(set(y)) == 2:
@@ -107,7 +114,6 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = lambda c: F.crc32(c.cast("string")) % 5
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label")).filter("doc_id is not null").distinct()
-    train = docs.join(labels.filter(fold(F.col("doc_id")) != 0), "doc_id").select("doc_id", "text", "label")
     rows = docs.withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)))
-    found = score(rows, train, ("doc_id", "held_out"))
+    found = score(rows, labels.filter(fold(F.col("doc_id")) != 0), ("doc_id", "held_out"))
     return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
