@@ -13,11 +13,11 @@ place that each piece gets from its rank, are worked out by Spark for all pieces
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +28,8 @@ from . import common, tokens
 
 CAPACITY = 4096
 END = 1
-#: Ids of so many distinct units are held by a worker.
-HELD_UNITS = 500_000
+#: A worker forgets the ids of the words, and of the units, it has met when it holds more than so many.
+HELD = 250_000
 #: More intervals than this aren't broadcast: 24 MB.
 BROADCAST_INTERVALS = 500_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, turn long"
@@ -40,22 +40,15 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     fields = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("turn", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, held, part, turns = tokens.tokenizer(path), _held, TaskContext.get().partitionId(), Counter()
-        end = np.array([END], "<u4").tobytes()
+        part, turns = TaskContext.get().partitionId(), Counter()
+        end = struct.pack("<I", END)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some, rows = batch.slice(at, 1000), []
-                for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text"), strict=True):
-                    found = tokens.units(text.as_py()) if text.is_valid else []
-                    try:
-                        ids = b"".join(map(held.__getitem__, found))
-                    except KeyError:
-                        if len(held) > HELD_UNITS:
-                            held.clear()
-                        new = [u for u in dict.fromkeys(found) if u not in held]
-                        held.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(new, add_special_tokens=False)), strict=True))
-                        ids = b"".join(map(held.__getitem__, found))
-                    ids += end
+            for at in range(0, batch.num_rows, 500):
+                some, rows = batch.slice(at, 500), []
+                words = [tokens.words(x.as_py()) if x.is_valid else [] for x in some.column("text")]
+                held = encoded(words, path)
+                for doc_id, own_words in zip(some.column("doc_id").to_pylist(), words, strict=True):
+                    ids = b"".join(map(held.__getitem__, own_words)) + end
                     for k, begin in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[begin : begin + 4 * capacity]
                         length = len(own) // 4
@@ -66,7 +59,21 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     return common.fresh(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, _PIECE)
 
 
-_held: dict[str, bytes] = {}
+_words: dict[str, bytes] = {}
+_units: dict[str, bytes] = {}
+
+
+def encoded(texts: list[list[str]], path: str) -> dict[str, bytes]:
+    """The ids of all words of the texts, four bytes each: words that were met before are looked up, of the others only units that weren't are cut by the library."""
+    if len(_words) > HELD:
+        _words.clear()
+    if len(_units) > HELD:
+        _units.clear()
+    new = {w: tokens.units(w) for w in set().union(*texts) if w not in _words}
+    unknown = list({u for found in new.values() for u in found if u not in _units})
+    _units.update(zip(unknown, (struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokens.tokenizer(path).encode_batch(unknown, add_special_tokens=False)), strict=True))
+    _words.update((w, b"".join(map(_units.__getitem__, found))) for w, found in new.items())
+    return _words
 
 
 def sweeps(count: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -37,6 +37,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def words(text: str) -> list[str]:
+    """The words of a text, in order; the units of the text are those of its words."""
+    return [w for w in _BLANK.split(text) if w] if _ODD.search(text) else text.split()
+
+
 def units(text: str) -> list[str]:
     """The units of a text, in order."""
     if not _ODD.search(text):
