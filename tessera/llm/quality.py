@@ -3,7 +3,7 @@
 Two zstandard dictionaries are trained, on good and on bad labelled text. A whole text is compressed with
 each, in chunks of CHUNK bytes, so that a long text doesn't become its own dictionary. The difference of the
 compressed sizes over the size of the text, with the compressed sizes themselves, becomes a score by logistic
-calibration. Dictionaries are trained on a chunk from each of at most SAMPLE labelled documents of either kind,
+calibration. Dictionaries are trained on at most SLICE characters from each of at most SAMPLE labelled documents of either kind,
 the calibration on the sizes of at most CALIBRATION labelled documents, both those with the least hashes.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 
 from . import common, hashing
 
-SAMPLE, CALIBRATION, CHUNK, DICTIONARY, LEVEL = 1500, 4000, 2048, 64 << 10, 3
+SAMPLE, SLICE, CALIBRATION, CHUNK, DICTIONARY, LEVEL = 1500, 8192, 4000, 2048, 64 << 10, 3
 THRESHOLD = 0.3
 
 
@@ -83,10 +83,10 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     for_dictionary = usable.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE).select("doc_id", "label", "h").collect()
     for_curve = usable.orderBy("g", "doc_id").limit(CALIBRATION).select("doc_id", "label").collect()
     picked = F.broadcast(spark.createDataFrame(for_dictionary, "doc_id long, label int, h long"))  # 2 x SAMPLE rows at most
-    place = F.pmod("h", F.greatest(F.lit(1), F.length("text") - CHUNK)).cast("int") + 1
+    place = F.pmod("h", F.greatest(F.lit(1), F.length("text") - SLICE)).cast("int") + 1
     texts = docs.select("doc_id", "text")
-    rows = texts.join(picked, "doc_id").select("label", "h", F.substr("text", place, F.lit(CHUNK)).alias("text")).collect()
-    by = {k: [r.text.encode() for r in sorted(rows, key=lambda r: r.h) if r.label == k and r.text] for k in (0, 1)}
+    rows = texts.join(picked, "doc_id").select("label", "h", F.substr("text", place, F.lit(SLICE)).alias("text")).collect()
+    by = {k: [x[i : i + CHUNK] for r in sorted(rows, key=lambda r: r.h) if r.label == k for x in [r.text.encode()] for i in range(0, len(x), CHUNK)] for k in (0, 1)}
     good, bad = (dictionary(by[k]) if by[k] else b"" for k in (1, 0))
     kinds = "n_bytes long, with_good long, with_bad long"
     ends = texts.join(F.broadcast(spark.createDataFrame(for_curve, "doc_id long, label int")), "doc_id")  # CALIBRATION rows at most
