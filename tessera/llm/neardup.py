@@ -136,10 +136,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         small = common.written(small, "small-star")
-        # stars: a node with one neighbour below, that has none below itself
-        open_ = small.join(small.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        split = small.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).filter("a <> b")
-        if open_.isEmpty() and split.isEmpty():
+        # stars: a node with a neighbour below has one, and none below that
+        roles = small.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(small.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        roles = roles.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if roles.filter("below > 1 or (below = 1 and above = 1)").count() == 0:
             return small.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         pairs = small
 

@@ -26,6 +26,8 @@ from . import common
 LIMIT = 2048
 #: Units that are looked up without a shuffle: so many, no longer than this many characters each.
 HEAD_UNITS, HEAD_CHARS = 50_000, 32
+#: And no rarer than one in so many units of the corpus.
+SHARE = 2_000_000
 _ODD = re.compile(r"[^\t\n\r -&(-~À-ÖØ-öø-ÿ]|<\|")
 _BLANK = re.compile(r"[ \t\n\r]+")
 _UNIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
@@ -103,7 +105,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, h
     """
     path = path or default_vocabulary()
     known = vocabulary(docs, path)
-    head = {r.unit: r.pieces for r in known.filter(F.length("unit") <= HEAD_CHARS).orderBy(F.desc("n"), "unit").limit(head_units).collect()}
+    total = known.agg(F.sum("n")).first()[0] or 0
+    often = known.filter((F.length("unit") <= HEAD_CHARS) & (F.col("n") >= total // SHARE))  # SHARE units at most, so few rows reach the driver
+    head = {r.unit: r.pieces for r in often.orderBy(F.desc("n"), "unit").limit(head_units).collect()}
     shipped = docs.sparkSession.sparkContext.broadcast(head)
     kind = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64()), ("unit", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
 
