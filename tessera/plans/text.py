@@ -14,12 +14,12 @@ QUESTIONS = (
     "Tell me a story", "dec page and EPLI", "policy number for the building", "crime and fidelity",
 )
 _Q = "['" + "', '".join(QUESTIONS) + "']"
-ASKED_SQL = f"(SELECT conv_id, turn, {_Q}[1 + (conv_id * 3 + turn) % {len(QUESTIONS)}] || ' ' || substr(text, 1, 40) AS q FROM conversations)"
+ASKED_SQL = f"(SELECT conv_id, turn, {_Q}[1 + (conv_id * 3 + turn) % {len(QUESTIONS)}] || ' ' || text AS q FROM conversations)"
 
 
 def asked(t):
     pick = F.element_at(F.array(*[F.lit(q) for q in QUESTIONS]), (1 + (F.col("conv_id") * 3 + F.col("turn")) % len(QUESTIONS)).cast("int"))
-    return t.conversations.select("conv_id", "turn", F.concat_ws(" ", pick, F.substring("text", 1, 40)).alias("q"))
+    return t.conversations.select("conv_id", "turn", F.concat_ws(" ", pick, "text").alias("q"))
 
 
 _SPLIT = "string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')"
@@ -193,9 +193,9 @@ def txt_canonicalize_signal(t):
     return t.part.select("p_partkey", tx.canonical(F.concat_ws("_", "p_name", "p_type"), lists.SIGNAL_STOP_WORDS).alias("signal"))
 
 
-@query("txt_normalize_keyword", "SELECT doc_id, upper(trim(regexp_replace(substr(text, 1, 80), '\\s+', ' ', 'g'))) AS keyword FROM documents WHERE lang = 'en'")
+@query("txt_normalize_keyword", "SELECT doc_id, upper(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), 'ß', 'ss')) AS keyword FROM documents WHERE lang = 'en'")
 def txt_normalize_keyword(t):
-    return t.documents.filter("lang = 'en'").select("doc_id", F.upper(F.trim(F.regexp_replace(F.substring("text", 1, 80), r"\s+", " "))).alias("keyword"))
+    return t.documents.filter("lang = 'en'").select("doc_id", F.upper(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("keyword"))
 
 
 @query("txt_keyword_rule", "SELECT doc_id FROM documents WHERE (contains(substr(text, 1, 1500), 'ing') OR contains(substr(text, 1, 1500), 'ung')) AND contains(substr(text, 1, 1500), 'er') AND contains(substr(text, 1, 1500), 'st')")
