@@ -64,3 +64,13 @@ def scan_vector_scroll(t):
 def scan_registry(t):
     first = t.nation.groupBy(F.col("n_regionkey").alias("schema_id")).agg(F.count("*").alias("n")).withColumn("table_name", F.lit("nation"))
     return first.unionByName(t.supplier.groupBy(F.col("s_nationkey").alias("schema_id")).agg(F.count("*").alias("n")).withColumn("table_name", F.lit("supplier")))
+
+
+@query("scan_csv_structured", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def scan_csv_structured(t):
+    """Suppliers written with semicolons, and read back by a reader that finds the delimiter out."""
+    from .state import scratch
+
+    path = scratch(t)
+    t.supplier.select("s_suppkey", "s_name", "s_nationkey").write.option("header", True).option("sep", ";").csv(path)
+    return files.delimited(t.spark, path).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.col("s_nationkey").cast("int").alias("s_nationkey"))

@@ -11,8 +11,8 @@ from ..streaming import events as ev
 from .registry import query
 
 
-def _place(t):
-    """A folder for a stream's checkpoint: shared where the session names one."""
+def scratch(t):
+    """A new folder: a shared one where the session names one, on one machine a temporary one."""
     where = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return f"{(where or 'file://' + tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
@@ -21,7 +21,7 @@ def _place(t):
 def stream_tumbling_hour(t):
     """Hourly windows of the events as a stream; those that the watermark has closed."""
     streamed = ev.tumbling(ev.stream(t.events, f"{t.folder}/events.parquet*"), "1 hour", "10 minutes")
-    out = ev.run_to_end(streamed, f"hours_{uuid.uuid4().hex}", "append", _place(t))
+    out = ev.run_to_end(streamed, f"hours_{uuid.uuid4().hex}", "append", scratch(t))
     return out.select(F.date_format("begin", "yyyy-MM-dd HH").alias("hour"), "n", "mean")
 
 
@@ -29,7 +29,7 @@ def stream_tumbling_hour(t):
 def stream_progress_poll(t):
     """Progress of each user, told whenever it has changed; the last that was told."""
     streamed = ev.progress(ev.stream(t.events, f"{t.folder}/events.parquet*").select("user_id"), "user_id")
-    out = ev.run_to_end(streamed, f"progress_{uuid.uuid4().hex}", "append", _place(t))
+    out = ev.run_to_end(streamed, f"progress_{uuid.uuid4().hex}", "append", scratch(t))
     return out.groupBy("user_id").agg(F.max("done").alias("done"))
 
 
