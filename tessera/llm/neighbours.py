@@ -6,7 +6,7 @@ neighbours. Every row is indexed in its likeliest part; a query goes to its ``pr
 on the sample they hold RECALL of the true neighbours, and is compared exactly with all that is there.
 
 Equal vectors are one candidate with its K + 1 least ids, more can't be among K nearest; equal queries are one
-query. Large parts are cut into blocks, each query goes to all blocks of its parts.
+query. Large parts, and large sets of queries of one part, are cut into blocks, and each block meets each.
 """
 
 from __future__ import annotations
@@ -168,13 +168,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int =
         some = distinct.orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).select("embedding").collect()
         model, probes = fit(np.array([r.embedding for r in some], np.float32), parts, recall)
     indexed = common.written(distinct.mapInPandas(_route(model, 1), "embedding array<float>, ids array<long>, parts array<int>").select("embedding", "ids", F.col("parts")[0].alias("part")), "index")
-    blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # one row for each part
-    placed = indexed.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("embedding"), F.col("blocks")).cast("int")).select("part", "block", "embedding", "ids")
     asked = common.written(asked.distinct(), "queries")
     one = common.written(asked.select("embedding").distinct().withColumn("q", F.monotonically_increasing_id()), "asked")
     routed = one.mapInPandas(_route(model, probes), "embedding array<float>, q long, parts array<int>").select("embedding", "q", F.explode("parts").alias("part"))
-    routed = routed.join(F.broadcast(blocks), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "embedding", "q")
-    found = placed.groupBy("part", "block").cogroup(routed.groupBy("part", "block")).applyInPandas(_ranked(k), "q long, vec_id long, score double")
+    routed = common.written(routed, "routed")
+    # one row for each part: in how many blocks its vectors and its queries are compared
+    cut = lambda df, into: df.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(into))
+    blocks = F.broadcast(cut(indexed, "blocks").join(cut(routed, "rounds"), "part"))
+    block = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    placed = indexed.join(blocks, "part").withColumn("block", block("embedding", "blocks")).select("part", "block", spread("rounds").alias("round"), "embedding", "ids")
+    routed = routed.join(blocks, "part").withColumn("round", block("q", "rounds")).select("part", spread("blocks").alias("block"), "round", "embedding", "q")
+    found = placed.groupBy("part", "block", "round").cogroup(routed.groupBy("part", "block", "round")).applyInPandas(_ranked(k), "q long, vec_id long, score double")
     best = found.withColumn("_r", F.row_number().over(W.partitionBy("q").orderBy("score", "vec_id"))).filter(F.col("_r") <= k + 1).drop("_r")
     own = asked.join(one, "embedding").select(F.col("vec_id").alias("query_id"), "q")
     out = own.join(best, "q").filter("query_id <> vec_id")
