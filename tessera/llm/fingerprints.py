@@ -4,7 +4,8 @@ The terms of a document are its words and its pairs of neighbouring words, weigh
 For each term and sample r ~ Gamma(2, 1), c ~ Gamma(2, 1) and b ~ U(0, 1) come from hashes of both; with
 t = floor(ln w / r + b) the sample keeps the term with the least ln c - r (t - b) - r, a number that tells the
 term and t. Two documents agree in a sample with the probability of the generalised Jaccard similarity of
-their weights. Terms are hashed to TERMS numbers, so that the variates of all terms stand in a table.
+their weights. The variates come from all 64 bits of a term's hash; each distinct term of a slice of text has
+them drawn once, those of TERMS terms at a time.
 """
 
 from __future__ import annotations
@@ -23,47 +24,58 @@ from . import common, hashing
 SAMPLES, TERMS = 64, 1 << 16
 #: Parts that the rows are cut into by doc_id, at most.
 MAX_PARTS = 10_000
-_tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+#: Terms whose variates are drawn in one go, times samples; cells (a term of a text) that are valued in one go.
+DRAWN, CELLS = 1 << 17, 5_000
 
 
-def variates(samples: int, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, b and the value at weight 1 of each term and sample."""
-    if (samples, terms) not in _tables:
-        r, b, one = (np.empty((terms, samples), np.float32) for _ in range(3))
-        for at in range(0, terms, 1 << 13):
-            key = np.arange(at * samples, min(terms, at + (1 << 13)) * samples, dtype=np.uint64).reshape(-1, samples)
-            u = [hashing.uniform(hashing.mix(key, seed)) for seed in range(21, 26)]
-            own = slice(at, at + len(key))
-            r[own], b[own] = -np.log(u[0] * u[1]), u[4]
-            one[own] = np.log(-np.log(u[2] * u[3])) + r[own] * b[own] - r[own]
-        _tables.clear()
-        _tables[samples, terms] = r, b, one
-    return _tables[samples, terms]
+def variates(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, b and the value at weight 1 of each term (a 64-bit hash) and sample."""
+    r, b, one = (np.empty((len(terms), samples), np.float32) for _ in range(3))
+    sample = hashing.mix(np.arange(samples, dtype=np.uint64), 20)
+    step = max(1, DRAWN // samples)
+    for at in range(0, len(terms), step):
+        own = slice(at, at + step)
+        key = hashing.mix(terms[own], 21)[:, None] + sample
+        r[own], c, b[own] = _gamma(hashing.mix(key, 22)), _gamma(hashing.mix(key, 23)), _uniform((hashing.mix(key, 24) >> np.uint64(32)).astype(np.uint32))
+        one[own] = np.log(c) + r[own] * b[own] - r[own]
+    return r, b, one
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """32-bit hashes as single-precision numbers above 0 and below 1."""
+    return ((x >> np.uint32(8)) | np.uint32(1)).view(np.int32).astype(np.float32) * np.float32(2.0**-24)
+
+
+def _gamma(x: np.ndarray) -> np.ndarray:
+    """Gamma(2, 1) variates of 64-bit hashes: their halves are two uniform ones."""
+    u = _uniform(x.view(np.uint32))
+    return -np.log(u[:, ::2] * u[:, 1::2])
 
 
 def sampled(texts: pa.StringArray, samples: int = SAMPLES, terms: int = TERMS) -> np.ndarray:
     """(rows, samples) of 16-bit marks of the kept terms; a text without words has zeros."""
     words = hashing.Words(texts)
     at, pair = words.grams(2, 11)
-    row = np.r_[words.row, words.row[at]]
-    term = (np.r_[hashing.mix(words.hash, 12), pair] % np.uint64(terms)).astype(np.int64)
-    cell, times = np.unique(row * terms + term, return_counts=True)
-    row, term = cell // terms, cell % terms
-    r, b, one = variates(samples, terms)
-    out = np.zeros((len(words.count), samples), np.uint16)
-    first = np.flatnonzero(np.r_[True, np.diff(row) != 0]) if len(row) else np.zeros(0, np.int64)
-    cuts = np.r_[first, len(row)]
-    block = 0
-    while block < len(first):  # some documents at a time, about 20,000 terms
-        stop = max(block + 1, int(np.searchsorted(cuts, cuts[block] + 20_000, "right")) - 1)
-        own = slice(cuts[block], cuts[stop])
-        value = one[term[own]]
-        if len(many := np.flatnonzero(times[own] > 1)):
-            k = term[own][many]
-            value[many] -= r[k] * np.floor(np.log(times[own][many]).astype(np.float32)[:, None] / r[k] + b[k])
-        least = np.minimum.reduceat(value, cuts[block:stop] - cuts[block], axis=0)
-        out[row[cuts[block:stop]]] = (hashing.mix(least.view(np.uint32).astype(np.uint64), 13) & np.uint64(0xFFFF)).astype(np.uint16)
-        block = stop
+    row, n = np.r_[words.row, words.row[at]], len(words.count)
+    distinct, term = np.unique(np.r_[hashing.mix(words.hash, 12), pair], return_inverse=True)
+    # cells in the order of blocks of terms, then of rows
+    cell, times = np.unique((term // terms * n + row) * terms + term % terms, return_counts=True)
+    row, term = cell // terms % n, cell % terms
+    cuts = np.searchsorted(cell, np.arange(0, len(distinct) + terms, terms) * n)
+    least = np.full((n, samples), np.inf, np.float32)
+    for i, (begin, end) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        r, b, one = variates(distinct[i * terms : (i + 1) * terms], samples)
+        for at in range(begin, end, CELLS):
+            own = slice(at, min(end, at + CELLS))
+            value = one[term[own]]
+            if len(many := np.flatnonzero(times[own] > 1)):
+                k = term[own][many]
+                value[many] -= r[k] * np.floor(np.log(times[own][many]).astype(np.float32)[:, None] / r[k] + b[k])
+            first = np.flatnonzero(np.r_[True, np.diff(row[own]) != 0])
+            rows = row[own][first]
+            least[rows] = np.minimum(least[rows], np.minimum.reduceat(value, first, axis=0))
+    out = (hashing.mix(least.view(np.uint32).astype(np.uint64), 13) & np.uint64(0xFFFF)).astype(np.uint16)
+    out[words.count == 0] = 0
     return out
 
 
@@ -86,12 +98,15 @@ def _pairs(samples: int, terms: int):
 
     def rows(part: list[int], ids: list, guest: list[bool], texts: list[str]) -> pa.RecordBatch | None:
         """The rows but for the last, each with the row after it."""
-        own = sampled(pa.array(texts, pa.string()), samples, terms)
         use = [i for i in range(len(texts) - 1) if part[i] == part[i + 1] and not guest[i]]
         if not use:
             return None
         changed = [edited(texts[i], texts[i + 1]) for i in use]
-        new, following = sampled(pa.array(changed, pa.string()), samples, terms), own[np.array(use) + 1]
+        if sum(map(len, texts)) <= 2 * hashing.SLICE_BYTES:  # together, as an edited text has most terms of its own
+            own, new = np.split(sampled(pa.array(texts + changed, pa.string()), samples, terms), [len(texts)])
+        else:
+            own, new = (sampled(pa.array(x, pa.string()), samples, terms) for x in (texts, changed))
+        following = own[np.array(use) + 1]
         sha = [hashlib.sha256(x.encode()).hexdigest() for x in changed]
         cols = [[ids[i] for i in use], [len(texts[i]) for i in use], sha, hexes(own[use]), hexes(new), likeness(own[use], new), likeness(own[use], following)]
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, kind, strict=True)], schema=kind)

@@ -49,3 +49,11 @@ def test_collisions_estimate_generalised_jaccard():
     keys = set(count[0]) | set(count[1])
     true = sum(min(c.get(k, 0) for c in count) for k in keys) / sum(max(c.get(k, 0) for c in count) for k in keys)
     assert abs((found[0] == found[1]).mean() - true) < 0.08
+
+
+def test_no_two_terms_of_long_texts_are_merged():
+    texts = [" ".join(f"{x}{i}" for i in range(20_000)) for x in "ab"] + ["a b " * 3, ""]
+    found = fp.sampled(pa.array(texts), samples=256)
+    assert (found[0] == found[1]).mean() < 0.02 and not found[3].any()
+    assert (fp.sampled(pa.array(texts), samples=256, terms=1 << 12) == found).all()
+    assert (fp.sampled(pa.array(texts[:1]), samples=256) == found[:1]).all()
