@@ -1,8 +1,8 @@
 """Near-duplicate documents by DartMinHash signatures, banded joins and exact verification.
 
 A document is the set of its shingles (runs of five words; all its words if there are fewer), each with a
-weight of one plus the logarithm of how often it occurs. Darts are thrown on the plane of weight and rank of
-each shingle: the plane is cut along the weight into regions [0, 1), [1, 2), [2, 4), ...; in a region darts
+weight of one however often it occurs, so that signatures estimate the similarity that is verified. Darts are
+thrown on the plane of weight and rank of each shingle: the plane is cut along the weight into regions [0, 1), [1, 2), [2, 4), ...; in a region darts
 fall in order of rank, at exponential distances, all from hashes of the shingle, the region and the number of
 the dart. A dart counts if its weight lies below the shingle's; so many ranks are looked at that each of the
 signature's coordinates is hit, and each keeps its earliest dart. Work is the number of shingles plus that of
@@ -32,8 +32,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, ROUNDS, BLOCK = 25, 5, 2, 400
 
 
-def shingles(words: hashing.Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, times) of the distinct shingles of each row, sorted."""
+def shingles(words: hashing.Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each row, sorted."""
     at, h = words.grams(n)
     row = words.row[at]
     short = np.flatnonzero((words.count > 0) & (words.count < n))
@@ -42,7 +42,7 @@ def shingles(words: hashing.Words, n: int = SHINGLE) -> tuple[np.ndarray, np.nda
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
-    return row[first], h[first], np.diff(np.r_[first, len(h)])
+    return row[first], h[first]
 
 
 def darts(row: np.ndarray, element: np.ndarray, weight: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,9 +92,9 @@ def _bands(bands: int, rows: int):
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in hashing.slices(batch):
-                row, h, times = shingles(hashing.Words(some.column("text")))
+                row, h = shingles(hashing.Words(some.column("text")))
                 n = some.num_rows
-                signed = signatures(row, h, 1 + np.log(times), n, bands * rows).reshape(n * bands, rows)
+                signed = signatures(row, h, np.ones(len(h)), n, bands * rows).reshape(n * bands, rows)
                 keys = hashing.spans(hashing.mix(signed.reshape(-1), 6), np.arange(n * bands) * rows, (np.arange(n * bands) + 1) * rows)
                 keys = hashing.mix(keys + np.tile(np.arange(bands, dtype=np.uint64), n), 7)
                 has = np.zeros(n, bool)
@@ -108,7 +108,7 @@ def _bands(bands: int, rows: int):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for some in hashing.slices(batch):
-            row, h, _ = shingles(hashing.Words(some.column("text")))
+            row, h = shingles(hashing.Words(some.column("text")))
             cuts = np.searchsorted(row, np.arange(some.num_rows + 1))
             yield pa.RecordBatch.from_arrays([some.column("node"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h.view(np.int64), pa.int64()))], ["node", "set"])
 
@@ -243,7 +243,10 @@ def _with_node(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, class_id, n_links of each row of (doc_id, text, ...): the least doc_id of the row's class, and how many links its text has.
+    """doc_id, class_id, n_links of each row of (doc_id, text, ...): the least doc_id of the row's class, and how many links of its text were found.
+
+    Links are verified pairs with a leader or across blocks; texts known to be joined aren't compared again, so not
+    every similar pair is counted.
 
     Equal texts, and texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more, are in
     one class, and so on from text to text. A null text is in a class of its own (its doc_id); a text without

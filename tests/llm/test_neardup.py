@@ -75,3 +75,13 @@ def test_signatures_agree_as_often_as_weights_overlap():
     row, h, w = np.repeat([0, 1], 60), np.r_[elements, elements], np.r_[a, b]
     s = neardup.signatures(row, h, w, 2, 4000)
     assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
+
+
+def test_repeats_within_a_text_do_not_hide_it(spark):
+    random.seed(6)
+    rows = []
+    for i in range(20):
+        text = " ".join(f"t{i}w{random.randint(0, 10_000)}" for _ in range(150))
+        rows += [(3 * i, text), (3 * i + 1, " ".join([text] * 2)), (3 * i + 2, " ".join([text] * 5))]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 3 for i in range(60)}
