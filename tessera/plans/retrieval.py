@@ -72,14 +72,16 @@ _BM25 = f"""tk AS (SELECT doc_id, {_TOK} AS toks FROM documents), n AS (SELECT c
   lex AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean_len))), 6) AS score FROM po JOIN dfs USING (term) JOIN q USING (term), n GROUP BY ALL)"""
 
 
-def lexical(t):
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.slice(F.array_sort(tokens("text")), 1, 5).alias("terms"))
+def lexical(t, most=None):
+    """BM25 of all tokens of each benchmark item, or of the first ``most`` in order, as the SQL has them."""
+    terms = tokens("text") if most is None else F.slice(F.array_sort(tokens("text")), 1, most)
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), terms.alias("terms"))
     return ret.bm25(t.documents, asked, "doc_id", "text")
 
 
 @query("lex_sparse_bm25", f"WITH {_BM25} SELECT query_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM lex) WHERE k <= 10")
 def lex_sparse_bm25(t):
-    return ret.top_k(lexical(t), "query_id", "score", "doc_id", 10).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return ret.top_k(lexical(t, 5), "query_id", "score", "doc_id", 10).select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
 _RRF = f"""WITH {_BM25}, l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM lex),
@@ -87,8 +89,8 @@ _RRF = f"""WITH {_BM25}, l AS (SELECT query_id, doc_id, row_number() OVER (PARTI
   f AS (SELECT query_id, doc_id, round(coalesce(1 / (60 + l.k), 0) + coalesce(1 / (60 + d.k), 0), 8) AS score FROM (SELECT * FROM l WHERE k <= 30) l FULL JOIN (SELECT * FROM d WHERE k <= 30) d USING (query_id, doc_id))"""
 
 
-def hybrid(t, prefetch=30):
-    lex = ret.top_k(lexical(t), "query_id", "score", "doc_id", prefetch)
+def hybrid(t, prefetch=30, most=None):
+    lex = ret.top_k(lexical(t, most), "query_id", "score", "doc_id", prefetch)
     own = t.benchmark.select(F.col("item_id").alias("vec_id")).join(t.embeddings, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
     near = ret.dense(own, t.embeddings, prefetch).withColumnRenamed("vec_id", "doc_id")
     return ret.fuse(lex, near, "doc_id")
@@ -96,12 +98,12 @@ def hybrid(t, prefetch=30):
 
 @query("hybrid_rrf_fusion", f"{_RRF} SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM f) WHERE k <= 10")
 def hybrid_rrf_fusion(t):
-    return ret.top_k(hybrid(t), "query_id", "score", "doc_id", 10).select("query_id", "doc_id", "score")
+    return ret.top_k(hybrid(t, most=5), "query_id", "score", "doc_id", 10).select("query_id", "doc_id", "score")
 
 
 @query("score_minmax_normalize", f"{_RRF} SELECT query_id, doc_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score FROM f WINDOW w AS (PARTITION BY query_id)")
 def score_minmax_normalize(t):
-    return hybrid(t).withColumn("score", F.round(ret.min_max("score", "query_id"), 6))
+    return hybrid(t, most=5).withColumn("score", F.round(ret.min_max("score", "query_id"), 6))
 
 
 @query("hybrid_degraded_paths")

@@ -216,3 +216,22 @@ def test_files(spark, tmp_path):
 def test_names_are_cut_and_numbered(spark):
     df = spark.createDataFrame([(1, "abcdefgh1"), (2, "abcdefgh2"), (3, "b")], "k int, n string")
     assert [r.short for r in ch.shortened(df, "n", "k", 8).orderBy("k").collect()] == ["abcdefgh", "abcdef_1", "b"]
+
+
+def test_lexical_asks_for_all_tokens(spark):
+    import math
+    from types import SimpleNamespace
+
+    from tessera.plans import retrieval
+
+    docs = {1: "zz yy zz", 2: "aa bb", 3: "cc dd ee xx", 4: "none here"}
+    item = "zz yy xx aa bb cc dd ee"
+    t = SimpleNamespace(benchmark=spark.createDataFrame([(0, item)], "item_id long, text string"), documents=spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    words = {k: v.split() for k, v in docs.items()}
+    mean, n, want = sum(map(len, words.values())) / len(docs), len(docs), {}
+    for k, w in words.items():
+        for term in set(w) & set(item.split()):
+            df, tf = sum(term in x for x in words.values()), w.count(term)
+            want[k] = want.get(k, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    got = {r.doc_id: r.score for r in retrieval.lexical(t).collect()}
+    assert got == pytest.approx(want, abs=1e-5) and set(got) == {1, 2, 3}
