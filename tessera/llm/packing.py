@@ -18,20 +18,22 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.taskcontext import TaskContext
 
-from . import common, tokens
+from . import common, hashing, tokens
 
 CAPACITY = 4096
 END = 1
-#: A worker forgets the ids of the words, and of the units, it has met when it holds more than so many.
-HELD = 250_000
-#: More intervals than this aren't broadcast: 24 MB.
-BROADCAST_INTERVALS = 500_000
+_END_BYTES = struct.pack("<I", END)
+#: A worker forgets the ids of the units that it has met when it holds more than so many.
+HELD = 200_000
+#: About so many bytes of text are cut into units before the units are looked up.
+LOOKED_UP = 6_000_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, turn long"
 
 
@@ -41,39 +43,47 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, turns = TaskContext.get().partitionId(), Counter()
-        end = struct.pack("<I", END)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some, rows = batch.slice(at, 500), []
-                words = [tokens.words(x.as_py()) if x.is_valid else [] for x in some.column("text")]
-                held = encoded(words, path)
-                for doc_id, own_words in zip(some.column("doc_id").to_pylist(), words, strict=True):
-                    ids = b"".join(map(held.__getitem__, own_words)) + end
-                    for k, begin in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[begin : begin + 4 * capacity]
-                        length = len(own) // 4
-                        rows.append((doc_id, k, begin // 4, length, zlib.crc32(own), part, turns[length]))
-                        turns[length] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+            for many in hashing.slices(batch, size=LOOKED_UP):
+                some = list(hashing.slices(many))
+                for own, (ids, ends) in zip(some, encoded([x.column("text") for x in some], path), strict=True):
+                    rows = []
+                    raw, begin = memoryview(ids).cast("B"), 0
+                    for doc_id, end in zip(own.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                        for k, at in enumerate(range(begin, end, capacity)):
+                            length = min(capacity, end - at)
+                            rows.append((doc_id, k, at - begin, length, zlib.crc32(raw[4 * at : 4 * (at + length)]), part, turns[length]))
+                            turns[length] += 1
+                        begin = end
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
     return common.fresh(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, _PIECE)
 
 
-_words: dict[str, bytes] = {}
-_units: dict[str, bytes] = {}
-
-
-def encoded(texts: list[list[str]], path: str) -> dict[str, bytes]:
-    """The ids of all words of the texts, four bytes each: words that were met before are looked up, of the others only units that weren't are cut by the library."""
-    if len(_words) > HELD:
-        _words.clear()
-    if len(_units) > HELD:
-        _units.clear()
-    new = {w: tokens.units(w) for w in set().union(*texts) if w not in _words}
-    unknown = list({u for found in new.values() for u in found if u not in _units})
-    _units.update(zip(unknown, (struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokens.tokenizer(path).encode_batch(unknown, add_special_tokens=False)), strict=True))
-    _words.update((w, b"".join(map(_units.__getitem__, found))) for w, found in new.items())
-    return _words
+_ids: dict[str, dict[str, bytes]] = {}  # of each vocabulary
+
+
+def encoded(columns: list[pa.StringArray], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text column (ids of all texts, each with the end id behind it; where each text ends). Units that were met before are looked up, the library gets the others."""
+    known = _ids.setdefault(path, {})
+    if len(known) > HELD:
+        known.clear()
+    cut = [tokens.units(x) for x in columns]
+    code = pa.concat_arrays([units for units, _ in cut]).dictionary_encode()
+    distinct = code.dictionary.to_numpy(zero_copy_only=False).tolist()
+    found = list(map(known.get, distinct))
+    new = [i for i, x in enumerate(found) if x is None]
+    for i, own in zip(new, tokens.encode([distinct[i] for i in new], path), strict=True):
+        found[i] = known[distinct[i]] = own
+    found.append(_END_BYTES)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    flat, begins, codes, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, code.indices.to_numpy(), 0
+    for _, first in cut:
+        own = np.insert(codes[at : at + first[-1]], first[1:], len(found) - 1)
+        size, at = sizes[own], at + first[-1]
+        end = np.cumsum(size)
+        ids = flat[np.arange(end[-1]) + np.repeat(begins[own] - end + size, size)]
+        yield ids, end[first[1:] + np.arange(len(first) - 1)]
 
 
 def sweeps(count: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -126,8 +136,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     moved = counts.select(F.col("length").alias("_l"), F.col("part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     placed = cut.join(moved, (F.col("length") == F.col("_l")) & (F.col("part") == F.col("_p"))).withColumn("_rank", F.col("_before") + F.col("turn"))
-    matched = F.broadcast(matched) if len(plan) <= BROADCAST_INTERVALS else matched
-    placed = placed.join(matched, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("end")))
+    placed = placed.join(F.broadcast(matched), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("end")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("to") + F.col("_rank") - F.col("first")).alias("sequence_id"), "offset")
 
 

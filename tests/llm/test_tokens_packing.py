@@ -1,7 +1,9 @@
+import json
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import packing, tokens
@@ -25,8 +27,34 @@ def ids(text):
 def test_units_give_the_librarys_ids():
     random.seed(1)
     letters = list("abcAB ,.'-!19éßÀñ \n\t<|>_") + ["<|endoftext|>", "'s", "İ", "日", "́", "\x85", "​"]
-    for text in [x for x in TRICKY if x] + ["".join(random.choices(letters, k=60)) for _ in range(300)]:
-        assert [i for u in tokens.units(text) for i in ids(u)] == ids(text), repr(text)
+    texts = [*TRICKY, *["".join(random.choices(letters, k=60)) for _ in range(300)]]
+    found, first = tokens.units(pa.array(texts))
+    found = found.to_pylist()
+    for text, begin, end in zip(texts, first[:-1], first[1:], strict=True):
+        assert [i for u in found[begin:end] for i in ids(u)] == ids(text), repr(text)
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(found, tokens.default_vocabulary())] == [ids(u) for u in found]
+    assert tokens.units(pa.array([], pa.string()))[0].to_pylist() == []
+
+
+def test_other_vocabularies_are_refused(spark):
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="byte_bpe_50k"):
+        tokens.count_tokens(spark.createDataFrame([(1, "a")], "doc_id long, text string"), path=public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_ids_are_those_of_the_vocabulary_asked_for(tmp_path):
+    with open(tokens.default_vocabulary(), encoding="utf-8") as f:
+        said = json.load(f)
+    said["model"]["vocab"] = {k: v for k, v in said["model"]["vocab"].items()}
+    a, b = said["model"]["vocab"]["the</w>"], said["model"]["vocab"]["of</w>"]
+    said["model"]["vocab"] |= {"the</w>": b, "of</w>": a}
+    other = str(tmp_path / "other.json")
+    with open(other, "w", encoding="utf-8") as f:
+        json.dump(said, f)
+    for path, expected in ((tokens.default_vocabulary(), [a, b, packing.END]), (other, [b, a, packing.END])) * 2:
+        ((got, _),) = packing.encoded([pa.array(["the of"])], path)
+        assert got.tolist() == expected
 
 
 @pytest.mark.parametrize("head", [0, 3, 50_000])
