@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Batches are worked on in slices of about so many bytes of text; a longer text is a slice of its own.
 SLICE_BYTES = 1_000_000
+#: Hashes of words come from so many bytes at a time.
+STEP_BYTES = 1 << 16
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -39,12 +42,33 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def spans(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of values[begin:end] for each pair, from prefix sums."""
+def _sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[:-1], dtype=np.uint64, out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin])
+    return (sums[end] - sums[begin]) * down[begin]
+
+
+def spans(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of values[begin:end] for each pair, from prefix sums."""
+    return mix(_sums(values, begin, end))
+
+
+def byte_spans(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, step: int = STEP_BYTES) -> np.ndarray:
+    """spans() of the numbers of bytes, for ranges in ascending order that don't overlap; ``step`` bytes at a time, so that no array of numbers is as long as the text."""
+    out, i = np.empty(len(begin), np.uint64), 0
+    while i < len(begin):
+        at, j = int(begin[i]), int(np.searchsorted(end, begin[i] + step, "right"))
+        if j > i:
+            out[i:j] = _sums(_BYTES[raw[at : end[j - 1]]], begin[i:j] - at, end[i:j] - at)
+            i = j
+        else:  # one range that is longer
+            total = 0
+            for k in range(at, int(end[i]), step):
+                values = _BYTES[raw[k : min(k + step, end[i])]]
+                total += int((values * powers(len(values))[0]).sum(dtype=np.uint64)) * pow(int(_BASE), k - at, 1 << 64)
+            out[i], i = np.uint64(total & 0xFFFFFFFFFFFFFFFF), i + 1
+    return mix(out)
 
 
 def text_bytes(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,13 +84,13 @@ def text_bytes(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, name: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``size`` bytes of text."""
-    lengths = np.diff(text_bytes(batch.column(name))[1])
+    lengths = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
     begin = total = 0
     for i, n in enumerate(lengths):
         if total and total + n > size:
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
-        total += int(n)
+        total += n
     if batch.num_rows > begin:
         yield batch.slice(begin)
 
@@ -82,16 +106,13 @@ class Words:
         blank = (self.raw == 0x20) | ((self.raw >= 9) & (self.raw <= 13))
         edge = np.zeros(len(self.raw) + 1, bool)
         edge[self.at] = True
-        before = np.ones(len(self.raw), bool)
-        before[1:] = blank[:-1]
-        after = np.ones(len(self.raw), bool)
-        after[:-1] = blank[1:]
-        self.begin = np.flatnonzero(~blank & (before | edge[:-1]))
-        self.end = np.flatnonzero(~blank & (after | edge[1:])) + 1
+        edge[1:-1] |= blank[:-1] | blank[1:]
+        self.begin = np.flatnonzero(~blank & edge[:-1])
+        self.end = np.flatnonzero(~blank & edge[1:]) + 1
         self.first = np.searchsorted(self.begin, self.at)
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(len(self.count)), self.count)
-        self.hash = spans(_BYTES[self.raw], self.begin, self.end)
+        self.hash = byte_spans(self.raw, self.begin, self.end)
 
     def grams(self, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(positions of first words, hashes) of all runs of ``n`` words within a row."""

@@ -2,17 +2,21 @@
 
 A word goes if it lies in a window of ``window`` words that also starts in a document with a smaller doc_id.
 
-1. Anchors. In each run of ``window`` words the phrase of ``phrase`` words with the least hash is its anchor
-   (ties: the first), so two documents that share a window share its anchor. Each document is reduced to its
-   anchors, a hash of its words and their number. A copy of a document with a smaller id goes whole.
-2. Anchors that occur in two documents at least are kept, with their places.
-3. The documents that have such anchors are read again: for each anchor the words of all windows that it
-   stands for are cut out, and dealt to shards by the anchor.
-4. In each shard the phrases are compiled to an Aho-Corasick automaton that the shard's passages stream
-   through. A window whose phrase is found at the anchor's place is compared, by its words, with the windows
-   of the other documents. Anchors with very many places are dealt out by place, and their windows meet by
-   Spark's aggregation instead.
-5. Covered ranges go back to their documents, all of which are streamed once more.
+1. Candidates. In each run of ``window`` words the phrase of ``phrase`` words with the least hash is its anchor
+   (ties: the first), so two documents that share a window share its anchor. Each document is reduced to the
+   hashes and places of its anchors. A copy (by a 128-bit digest of the text) of a document with a smaller id
+   goes whole and takes no further part.
+2. Confirmation. The phrases of anchors that occur under two doc_ids are cut out of their texts; those that are
+   the same words under two doc_ids are confirmed.
+3. Automata. The documents that hold such anchors are dealt to shards of about SHARD documents. Each shard
+   compiles the confirmed phrases of its own documents to an Aho-Corasick automaton, and all of its documents
+   are streamed through, whole: every place where a phrase occurs is found, whatever its anchor there is. A
+   document is in one shard, so no text is read by more than one automaton, and an automaton grows with its
+   shard's texts only.
+4. Windows. Each window that holds an occurrence is told by a 128-bit digest of its words. A digest that occurs
+   under two doc_ids covers its windows in all documents but that with the least. Digests of one anchor are
+   many, so a passage that very many documents share is dealt out, and its rows are summed before they move.
+5. Covered windows go back to their documents, and the words that are left are put together.
 """
 
 from __future__ import annotations
@@ -22,7 +26,6 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from . import common, hashing
 
 WINDOW, PHRASE = 50, 10
-#: Passages in a shard, about; anchors with more places than HOT are dealt out by place.
-SHARD, HOT = 8_000, 1_000
+#: Documents in a shard, about.
+SHARD = 300
 _NEVER = (1 << 63) - 1
 
 
@@ -48,203 +51,175 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
-def anchors(words: hashing.Words, window: int, phrase: int) -> tuple[np.ndarray, ...]:
-    """(hash, place, first window, last window), places counted in all words of the column, sorted by place."""
+def anchors(words: hashing.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the anchors of all texts, places counted in all words of the column, ascending."""
     at, h = words.grams(phrase)
     every = np.full(len(words.begin), np.iinfo(np.uint64).max, np.uint64)
     every[at] = h
     starts = np.flatnonzero(np.arange(len(words.begin)) + window <= words.first[1:][words.row]) if len(words.begin) else np.zeros(0, np.int64)
     if not len(starts):
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-    least = sliding_least(every, window - phrase + 1)[starts]
-    new = np.r_[True, (np.diff(least) != 0) | (np.diff(starts) != 1)]
-    first = np.flatnonzero(new)
-    return every[least[first]], least[first], starts[first], starts[np.r_[first[1:] - 1, len(starts) - 1]]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    place = np.unique(sliding_least(every, window - phrase + 1)[starts])
+    return every[place], place
 
 
 def _outline(window: int, phrase: int):
-    kind = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("same", pa.binary()), ("anchor", pa.list_(pa.int64())), ("place", pa.list_(pa.int32()))])
+    kind = pa.schema([("order", pa.int64()), ("key", pa.int64()), ("same", pa.binary()), ("anchor", pa.list_(pa.int64())), ("place", pa.list_(pa.int32()))])
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in hashing.slices(batch):
                 words = hashing.Words(some.column("text"))
-                h, place, _, _ = anchors(words, window, phrase)
-                cuts = np.searchsorted(place, words.first)
-                whole = [hashing.spans(hashing.mix(words.hash, seed), words.first[:-1], words.first[1:]) for seed in (3, 4)]
-                same = [x.tobytes() for x in np.stack(whole, 1)]
+                h, place = anchors(words, window, phrase)
+                cuts = pa.array(np.searchsorted(place, words.first), pa.int32())
                 inside = place - words.first[words.row[place]] if len(place) else place
-                lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v, t)) for v, t in ((h.view(np.int64), pa.int64()), (inside, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("key"), pa.array(words.count, pa.int64()), pa.array(same, pa.binary()), *lists], schema=kind)
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(v, t)) for v, t in ((h.view(np.int64), pa.int64()), (inside, pa.int32()))]
+                out = pa.RecordBatch.from_arrays([*[some.column(c) for c in ("order", "key", "same")], *lists], schema=kind)
+                yield out.filter(pa.array(words.count >= window))
 
     return outline
 
 
-def _passages(window: int, phrase: int):
-    """For each wanted anchor of a document the words from its first to its last window."""
-    names = ["anchor", "doc_id", "key", "start", "offset", "words"]
+def _phrases(phrase: int):
+    """For each wanted anchor of a text its phrase, words joined by one space."""
 
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in hashing.slices(batch):
-                words, rows = hashing.Words(some.column("text")), []
-                h, place, first, last = anchors(words, window, phrase)
-                cuts, h = np.searchsorted(place, words.first), h.view(np.int64)
-                for i, (doc_id, key, wanted) in enumerate(zip(some.column("doc_id").to_pylist(), some.column("key").to_pylist(), some.column("wanted").to_pylist(), strict=True)):
-                    wanted = set(wanted)
-                    for j in range(cuts[i], cuts[i + 1]):
-                        if int(h[j]) in wanted:
-                            f = int(first[j])
-                            raw = words.raw[words.begin[f] : words.end[last[j] + window - 1]].tobytes()
-                            rows.append((int(h[j]), doc_id, key, f - int(words.first[i]), int(place[j]) - f, b" ".join(raw.split()).decode()))
+            for at in range(0, batch.num_rows, 500):
+                rows = []
+                for order, key, text, wanted in zip(*[batch.column(c).slice(at, 500).to_pylist() for c in ("order", "key", "text", "wanted")], strict=True):
+                    words = text.encode().split()
+                    rows += [(order, key, x["anchor"], b" ".join(words[x["place"] : x["place"] + phrase]).decode()) for x in wanted]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names)
-
-    return passages
-
-
-def located(frame: pd.DataFrame, window: int, phrase: int) -> Iterator[tuple]:
-    """(row, words, offsets of windows): the passages whose phrase an automaton of the frame's phrases finds at the anchor's place."""
-    automaton, cut = ahocorasick.Automaton(), []
-    for text, offset in zip(frame["words"], frame["offset"], strict=True):
-        words = text.split(" ")
-        own = " ".join(words[offset : offset + phrase])
-        before = sum(map(len, words[:offset])) + offset
-        cut.append((words, before + len(own) - 1, own))
-        automaton.add_word(own, own)
-    automaton.make_automaton()
-    for row, text, (words, end, own) in zip(frame.itertuples(), frame["words"], cut, strict=True):
-        if any(at == end and found == own for at, found in automaton.iter(text)):
-            yield row, words, range(len(words) - window + 1)
-
-
-def _digest(words: list[str], at: int, window: int) -> bytes:
-    return hashlib.blake2b(" ".join(words[at : at + window]).encode(), digest_size=16).digest()
-
-
-def _runs(places: list[int], window: int) -> Iterator[tuple[int, int]]:
-    """Word ranges that windows at ``places`` (ascending) cover."""
-    begin = end = None
-    for p in places:
-        if begin is None or p > end:
-            if begin is not None:
-                yield begin, end
-            begin = p
-        end = p + window
-    if begin is not None:
-        yield begin, end
-
-
-def _shard(window: int, phrase: int):
-    def covered(frame: pd.DataFrame) -> pd.DataFrame:
-        least: dict[bytes, int] = {}
-        seen = []
-        for row, words, offsets in located(frame, window, phrase):
-            digests = [_digest(words, o, window) for o in offsets]
-            seen.append((row.order, row.key, row.start, digests))
-            for d in digests:
-                least[d] = min(row.order, least.get(d, _NEVER))
-        out = [(order, key, b, e) for order, key, start, digests in seen for b, e in _runs([start + o for o, d in enumerate(digests) if least[d] < order], window)]
-        return pd.DataFrame(out, columns=["order", "key", "begin", "end"])
-
-    return covered
-
-
-def _digests(window: int, phrase: int):
-    def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(row.anchor, row.order, row.key, row.start, [_digest(words, o, window) for o in offsets]) for row, words, offsets in located(frame, window, phrase)]
-            yield pd.DataFrame(out, columns=["anchor", "order", "key", "start", "digests"])
-
-    return digests
-
-
-def hot_ranges(passages: DataFrame, window: int, phrase: int) -> DataFrame:
-    """Covered ranges of the passages of anchors with very many places.
-
-    The windows that a hundredth of an anchor's passages share are at most a hundred for each offset, so they
-    stand in one row for the anchor; the others are in groups that are small beside it, and meet by digest.
-    """
-    rows = common.written(passages.select("anchor", "order", "key", "start", "offset", "words").mapInPandas(_digests(window, phrase), "anchor long, order long, key long, start int, digests array<binary>"), "digests")
-    total = rows.groupBy("anchor").agg(F.count("*").alias("total"))
-    dealt = rows.repartition(common.shuffle_partitions(rows.sparkSession))  # passages of one anchor stand side by side
-    each = common.written(dealt.select("anchor", "order", "key", "start", F.posexplode("digests").alias("i", "digest")), "windows")
-    seen = each.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min("order").alias("least"))
-    seen = common.written(seen.filter("n > 1").join(total, "anchor").withColumn("heavy", F.col("n") * 100 >= F.col("total")), "shared")
-    heavy = seen.filter("heavy").groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("digest", "least"))).alias("known"))
-    place = lambda i: F.col("start") + i
-    begins = F.filter(F.transform("digests", lambda d, i: F.when(F.col("known")[d] < F.col("order"), place(i))), lambda x: x.isNotNull())
-    common_ones = rows.join(heavy, "anchor").select("order", "key", begins.alias("begins")).filter(F.size("begins") > 0)
-    rest = each.join(seen.filter("not heavy").select("anchor", "digest", "least"), ["anchor", "digest"]).filter(F.col("order") > F.col("least"))
-    rest = rest.select("order", "key", F.array(place(F.col("i"))).alias("begins"))
-    return common_ones.unionByName(rest).select("order", "key", "begins", F.transform("begins", lambda x: x + window).alias("ends"))
-
-
-def covered_ranges(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(copies, ranges) of (doc_id, order, key, text): the keys of whole copies, and (order, key, begins, ends) of covered word ranges."""
-    outline = common.written(docs.select(F.col("order").alias("doc_id"), "key", "text").mapInArrow(_outline(window, phrase), "doc_id long, key long, n_words long, same binary, anchor array<long>, place array<int>"), "outline")
-    outline = outline.withColumnRenamed("doc_id", "order").filter(F.col("n_words") >= window)
-    least = outline.groupBy("same").agg(F.min("order").alias("least"))
-    told = outline.select("order", "key", "same").distinct().join(least, "same")
-    copies = common.written(told.filter(F.col("order") > F.col("least")).select("order", "key").distinct(), "copies")
-    firsts = outline.select("order", "key", "anchor").join(copies, ["order", "key"], "left_anti")
-    places = firsts.select("order", "key", F.explode("anchor").alias("anchor"))
-    shared = places.groupBy("anchor").agg(F.min("order").alias("a"), F.max("order").alias("b"), F.count("*").alias("n")).filter(F.col("a") < F.col("b")).select("anchor", "n")
-    wanted = places.join(shared, "anchor").groupBy("order", "key").agg(F.collect_set("anchor").alias("wanted"))  # no more than the document has
-    passages = docs.select("order", "key", "text").join(wanted, ["order", "key"]).select(F.col("order").alias("doc_id"), "key", "text", "wanted")
-    passages = passages.mapInArrow(_passages(window, phrase), "anchor long, doc_id long, key long, start int, offset int, words string").withColumnRenamed("doc_id", "order")
-    passages = common.written(passages, "passages")
-    counts = passages.groupBy("anchor").agg(F.count("*").alias("n"))
-    often = counts.filter(F.col("n") > hot).select("anchor")
-    n_shards = max(1, passages.count() // shard)
-    few = passages.join(often, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
-    ranges = few.groupBy("shard").applyInPandas(_shard(window, phrase), "order long, key long, begin int, end int")
-    ranges = ranges.select("order", "key", F.array("begin").alias("begins"), F.array("end").alias("ends"))
-    return copies, ranges.unionByName(hot_ranges(passages.join(often, "anchor", "left_semi"), window, phrase))
-
-
-def _kept(names: list[str], verbatim: bool):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["order", "key", "anchor", "phrase"])
+
+    return phrases
+
+
+def located(automaton: ahocorasick.Automaton, text: str, window: int, phrase: int) -> tuple[list[bytes], np.ndarray]:
+    """(words of ``text``; first words of all windows that hold one of the automaton's phrases, ascending)."""
+    words = text.encode().split()
+    line = f" {b' '.join(words).decode()} "
+    ends = np.fromiter((end for end, _ in automaton.iter(line)), np.int64) if len(words) >= window else np.zeros(0, np.int64)
+    if not len(ends):
+        return words, ends
+    blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 0x20)  # one before each word, one at the end
+    last = np.searchsorted(blanks, ends) - phrase  # first words of the occurrences
+    steps = np.zeros(len(words) + 2, np.int64)
+    np.add.at(steps, np.maximum(last + phrase - window, 0), 1)
+    np.add.at(steps, last + 1, -1)
+    starts = np.flatnonzero(np.cumsum(steps) > 0)
+    return words, starts[starts <= len(words) - window]
+
+
+def _streamed(window: int, phrase: int):
+    """The windows to compare of all texts. Rows come shard by shard, in each the phrases before the texts."""
+    names = ["order", "key", "at", "high", "low"]
+
+    def windows(order: int, key: int, words: list[bytes], starts: np.ndarray) -> pa.RecordBatch:
+        line, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begin = np.cumsum(size) - size
+        ends = (begin + size - 1)[starts + window - 1].tolist()
+        view = memoryview(line)
+        digest = b"".join([hashlib.blake2b(view[b:e], digest_size=16).digest() for b, e in zip(begin[starts].tolist(), ends, strict=True)])
+        halves = np.frombuffer(digest, "<i8").reshape(-1, 2)
+        n = len(starts)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, order)), pa.array(np.full(n, key)), pa.array(starts.astype(np.int32)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names)
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, automaton, ready, held, n = None, ahocorasick.Automaton(), False, [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                for own, order, key, text, is_text in zip(*[batch.column(c).slice(at, 500).to_pylist() for c in ("shard", "order", "key", "text", "is_text")], strict=True):
+                    if own != shard:
+                        shard, automaton, ready = own, ahocorasick.Automaton(ahocorasick.STORE_LENGTH), False
+                    if not is_text:
+                        automaton.add_word(f" {text} ")
+                        continue
+                    if not ready:
+                        automaton.make_automaton()
+                        ready = True
+                    if len(automaton):
+                        words, starts = located(automaton, text, window, phrase)
+                        if len(starts):
+                            held.append(windows(order, key, words, starts))
+                            n += len(starts)
+                    if n > 20_000:
+                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return streamed
+
+
+def covered_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(copies, covered) of (order, key, text): (order, key) of whole copies, and (order, key, at) of the covered windows of the others."""
+    texts = docs.select("order", "key", "text").filter("text is not null")
+    outline = texts.withColumn("same", F.unhex(F.md5("text"))).mapInArrow(_outline(window, phrase), "order long, key long, same binary, anchor array<long>, place array<int>")
+    outline = common.written(outline, "outline")
+    least = outline.groupBy("same").agg(F.min("order").alias("least"), F.max("order").alias("most")).filter("least < most").select("same", "least")
+    copies = common.written(outline.select("order", "key", "same").join(least, "same").filter("order > least").select("order", "key").distinct(), "copies")
+    firsts = outline.select("order", "key", F.arrays_zip("anchor", "place").alias("own")).join(copies, ["order", "key"], "left_anti").dropDuplicates(["order", "key"])
+    places = firsts.select("order", "key", F.inline("own"))
+    shared = places.groupBy("anchor").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a < b").select("anchor")
+    wanted = places.join(shared, "anchor").groupBy("order", "key").agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))  # no more than the document has
+    touched = common.written(texts.join(wanted, ["order", "key"]).dropDuplicates(["order", "key"]), "touched")
+    seen = touched.mapInArrow(_phrases(phrase), "order long, key long, anchor long, phrase string")
+    n_shards = max(1, touched.count() // shard)
+    dealt = F.pmod(F.xxhash64("order", "key"), F.lit(n_shards)).alias("shard")
+    seen = common.written(seen.groupBy("phrase", dealt).agg(F.min("order").alias("a"), F.max("order").alias("b")), "phrases")  # rows of a common phrase are at most as many as shards
+    confirmed = seen.groupBy("phrase").agg(F.min("a").alias("least"), F.max("b").alias("most")).filter("least < most").select("phrase")
+    none = F.lit(None).cast("long")
+    patterns = seen.select("phrase", "shard").join(confirmed, "phrase").select("shard", none.alias("order"), none.alias("key"), F.col("phrase").alias("text"), F.lit(False).alias("is_text"))
+    every = patterns.unionByName(touched.select(dealt, "order", "key", "text", F.lit(True).alias("is_text")))
+    every = every.repartition(min(n_shards, 4 * common.shuffle_partitions(docs.sparkSession)), "shard").sortWithinPartitions("shard", "is_text")
+    windows = common.written(every.mapInArrow(_streamed(window, phrase), "order long, key long, at int, high long, low long"), "windows")
+    least = windows.groupBy("high", "low").agg(F.min("order").alias("least"), F.max("order").alias("most")).filter("least < most").select("high", "low", "least")
+    return copies, windows.join(least, ["high", "low"]).filter("order > least").select("order", "key", "at")
+
+
+def _kept(names: list[str], window: int, verbatim: bool):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in hashing.slices(batch):
-                words, rows = hashing.Words(some.column("text")), []
-                copy, begins, ends = (some.column(c).to_pylist() for c in ("copy", "begins", "ends"))
-                text = words.raw.tobytes()
-                for i in range(some.num_rows):
-                    first, n = int(words.first[i]), int(words.count[i])
-                    if copy[i]:
+                rows = []
+                for text, copy, begins in zip(*[some.column(c).to_pylist() for c in ("text", "copy", "begins")], strict=True):
+                    words = (text or "").encode().split()
+                    n = len(words)
+                    if copy:
                         rows.append((n, n, ""))
-                    elif not begins[i]:
-                        own = text[words.at[i] : words.at[i + 1]]
-                        rows.append((n, 0, (own if verbatim else b" ".join(own.split())).decode()))
+                    elif not begins:
+                        rows.append((n, 0, (text or "") if verbatim else b" ".join(words).decode()))
                     else:
                         steps = np.zeros(n + 1, np.int64)
-                        np.add.at(steps, begins[i], 1)
-                        np.add.at(steps, ends[i], -1)
-                        left = (first + np.flatnonzero(np.cumsum(steps[:-1]) == 0)).tolist()
-                        rows.append((n, n - len(left), b" ".join([text[words.begin[w] : words.end[w]] for w in left]).decode()))
+                        np.add.at(steps, begins, 1)
+                        np.add.at(steps, np.array(begins) + window, -1)
+                        left = np.flatnonzero(np.cumsum(steps[:-1]) == 0).tolist()
+                        rows.append((n, n - len(left), b" ".join(map(words.__getitem__, left)).decode()))
                 out = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*[some.column(c) for c in names], *out], [*names, "n_words", "n_removed", "kept"])
 
     return kept
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD, hot: int = HOT, keep: tuple[str, ...] = (), verbatim: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD, keep: tuple[str, ...] = (), verbatim: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) of each row of (doc_id, text, ...), and the columns in ``keep``.
 
     Words are runs without ASCII white space. A null text has none. A null doc_id counts as larger than any;
-    rows with one doc_id don't cover each other. Each row is judged on the input as it is. ``verbatim``: a text
-    that loses nothing keeps its white space.
+    rows with one doc_id don't cover each other. Each row is judged on the input as it is; a repeated row is
+    judged as often as it stands there. A text of any length is read whole. ``verbatim``: a text that loses
+    nothing keeps its white space.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).withColumn("order", F.coalesce("doc_id", F.lit(_NEVER))).withColumn("key", F.xxhash64("text"))
-    copies, ranges = covered_ranges(rows, window, phrase, shard, hot)
-    merged = ranges.groupBy("order", "key").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends")).withColumn("copy", F.lit(False))
-    gone = merged.unionByName(copies.select("order", "key", F.lit(None).cast("array<int>").alias("begins"), F.lit(None).cast("array<int>").alias("ends"), F.lit(True).alias("copy")))
+    copies, covered = covered_windows(rows, window, phrase, shard)
+    merged = covered.groupBy("order", "key").agg(F.collect_list("at").alias("begins")).withColumn("copy", F.lit(False))  # no more than the document has words
+    gone = merged.unionByName(copies.select("order", "key", F.lit(None).cast("array<int>").alias("begins"), F.lit(True).alias("copy")))
     joined = rows.join(gone, ["order", "key"], "left")
     names = ["doc_id", *keep]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_words long, n_removed long, kept string"
-    return joined.select(*names, "text", "copy", "begins", "ends").mapInArrow(_kept(names, verbatim), schema)
+    return joined.select(*names, "text", "copy", "begins").mapInArrow(_kept(names, window, verbatim), schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

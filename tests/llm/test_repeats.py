@@ -1,6 +1,7 @@
 import random
 import re
 
+import ahocorasick
 import pytest
 
 from tessera.llm import repeats
@@ -35,14 +36,38 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(1000, 8000), (2, 7), (0, 7)])
-def test_as_by_hand(spark, hot, shard):
+@pytest.mark.parametrize("shard", [1, 7, 8000])
+def test_as_by_hand(spark, shard):
     rows = corpus()
     docs = spark.createDataFrame([(i, x, 1, "k") for i, x in rows], "doc_id long, text string, n_words int, key string")
-    got = repeats.remove_repeats(docs, window=5, phrase=2, hot=hot, shard=shard)
+    got = repeats.remove_repeats(docs, window=5, phrase=2, shard=shard)
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got.collect()) == brute(rows, 5)
 
 
+def test_long_texts_and_a_passage_that_most_share(spark):
+    random.seed(8)
+    text = lambda n: [f"w{random.randint(0, 5000)}" for _ in range(n)]
+    passage, long = text(80), text(60_000)
+    rows = [(i, " ".join(text(30) + passage[: 50 + i % 31] + text(30)) if i % 3 else " ".join(text(60))) for i in range(300)]
+    rows += [(400, " ".join(long)), (401, " ".join(text(10) + long[20_000:] + text(10))), (402, "\n".join(long)), (403, " ".join(["a"] * 70)), (404, " ".join(["a"] * 90))]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), shard=50)
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got.collect()) == brute(rows, 50)
+
+
+def test_automata_find_every_window_that_holds_a_phrase():
+    random.seed(9)
+    for _ in range(200):
+        words = [random.choice(["a", "b", "é", "日", "ab"]) for _ in range(random.randint(0, 30))]
+        phrases = {" ".join(random.choice(["a", "b", "é", "ab"]) for _ in range(2)) for _ in range(3)}
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in phrases:
+            automaton.add_word(f" {p} ")
+        automaton.make_automaton()
+        found, starts = repeats.located(automaton, "\t".join(words), 5, 2)
+        assert found == [w.encode() for w in words]
+        assert starts.tolist() == [s for s in range(len(words) - 4) if any(" ".join(words[p : p + 2]) in phrases for p in range(s, s + 4))]
+
+
 def test_untouched_texts_keep_their_blanks(spark):
     docs = spark.createDataFrame([(1, "a  b\nc", "s"), (2, None, "t")], "doc_id long, text string, source string")
     got = {r.doc_id: (r.kept, r.source) for r in repeats.remove_repeats(docs, keep=("source",), verbatim=True).collect()}
