@@ -1,9 +1,8 @@
 """Language identification: first the family, then one-versus-one linear SVMs inside it.
 
 Features are hashed pairs and triples of letters (bytes from 0x80 up, and ASCII letters in lower case; all else
-is a blank), as shares of the text's. The machines are fitted on a bounded sample: of each language the
-SAMPLE training documents with the least hash of doc_id, a slice of at most SLICE characters from each, at a
-place that the hash tells. Texts are scored whole.
+is a blank), as shares of the text's. The machines are fitted on a bounded sample: of each language the whole
+texts of the SAMPLE training documents with the least hashes of doc_id. Texts are scored whole.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import Window as W
 
 from . import common, hashing
 
-SAMPLE, SLICE, CELLS = 300, 2000, 1 << 13
+SAMPLE, CELLS = 300, 1 << 13
 UNKNOWN = "und"
 #: ISO 639-1 codes of some families; any other language is a family of its own.
 FAMILIES = {"germanic": "en de nl sv da no is", "romance": "fr es it pt ro ca", "slavic": "ru pl cs sk uk bg sr hr sl", "uralic": "fi et hu", "turkic": "tr az kk"}
@@ -61,12 +60,13 @@ def margins(texts: pa.StringArray, weights: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.StringArray) -> np.ndarray:
-    raw, at = hashing.text_bytes(texts)
-    out = np.zeros((len(at) - 1, CELLS + 1), np.float32)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    for cell in cells(raw, at):
-        for i in range(0, len(cell), 1 << 20):
-            np.add.at(out, (row[i : i + (1 << 20)], cell[i : i + (1 << 20)]), 1)
+    out, done = np.zeros((len(texts), CELLS + 1), np.float32), 0
+    for some in hashing.slices(pa.RecordBatch.from_arrays([texts], ["text"])):
+        raw, at = hashing.text_bytes(some.column("text"))
+        row = np.repeat(np.arange(done, done + some.num_rows), np.diff(at))
+        for cell in cells(raw, at):
+            np.add.at(out, (row, cell), 1)
+        done += some.num_rows
     return out[:, :-1] / np.maximum(out[:, :-1].sum(1, keepdims=True), 1)
 
 
@@ -147,17 +147,33 @@ def decide(model: dict, margin: np.ndarray) -> tuple[list[str], np.ndarray]:
     return out.tolist(), score
 
 
+def sampled(train: DataFrame, sample: int) -> list[tuple[str, int, str]]:
+    """(lang, hash, text) of at most ``sample`` rows of each language, those with the least hashes of doc_id.
+
+    Only ids are ranked, and of these only about four times as many as are wanted: rows whose hash lies above
+    what their language's count asks for are dropped where they are read. Texts come by a join with what is left.
+    """
+    usable = train.filter("text is not null and lang is not null and doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample + 100) / F.col("n"))
+    near = usable.select("lang", "h", "doc_id").join(counts, "lang").filter(F.shiftrightunsigned("h", 11) * 2.0**-53 < share)
+    picked = near.select("lang", "h", "doc_id").distinct().withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= sample).drop("k")
+    rows = sorted(tuple(r) for r in picked.collect())  # ``sample`` for each language
+    if not rows:
+        return []
+    wanted = F.broadcast(train.sparkSession.createDataFrame(rows, "lang string, h long, doc_id long"))
+    found = train.filter("text is not null").join(wanted, ["lang", "doc_id"]).select("lang", "h", "text").collect()
+    return sorted(tuple(r) for r in found)
+
+
 def identify(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """lang_pred, score, and the columns in ``keep`` (text always), of each row of (text, ...).
 
-    ``train``: (doc_id, text, lang); rows with a null in text or lang are passed over. A null text and one
-    without a letter are ``und`` with score 0, as is every text if there is nothing to learn from.
+    ``train``: (doc_id, text, lang); rows with a null are passed over. A null text and one without a letter are
+    ``und`` with score 0, as is every text if there is nothing to learn from. A text of any length is scored
+    whole, a repeated row like the first; ties, of families and of votes, go to the name that sorts first.
     """
-    usable = train.filter("text is not null and lang is not null").withColumn("h", F.xxhash64("doc_id", "text"))
-    top = W.partitionBy("lang").orderBy("h")
-    place = F.pmod("h", F.greatest(F.lit(1), F.length("text") - SLICE)).cast("int") + 1
-    rows = usable.select("lang", "h", F.substr("text", place, F.lit(SLICE)).alias("text")).withColumn("k", F.row_number().over(top)).filter(F.col("k") <= sample)
-    rows = sorted((r.lang, r.h, r.text) for r in rows.collect())
+    rows = sampled(train, sample)
     model = fit([r[0] for r in rows], [r[2] for r in rows]) if rows else None
     names = list(dict.fromkeys(["text", *keep]))
 

@@ -87,7 +87,7 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
 
 
 def _bands(bands: int, rows: int):
-    kind = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    kind = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +100,7 @@ def _bands(bands: int, rows: int):
                 has = np.zeros(n, bool)
                 has[row] = True
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(has, bands, 0))], pa.int32()), pa.array(keys.reshape(n, bands)[has].reshape(-1).view(np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("node"), lists], schema=kind)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("node"), pa.array(np.bincount(row, minlength=n), pa.int32()), lists], schema=kind)
 
     return banded
 
@@ -158,8 +158,8 @@ def mixed_buckets(bucket: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, similarity: float, rounds: int) -> DataFrame:
-    """Verified (a, b) of (node, least, bands); ``docs`` has their (doc_id, node, text)."""
-    placed = nodes.select("node", "least", F.explode("bands").alias("bucket"))
+    """Verified (a, b) of (node, least, size, bands); ``docs`` has their (doc_id, node, text)."""
+    placed = nodes.select("node", "least", "size", F.explode("bands").alias("bucket"))
     size = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     bucket = common.written(placed.join(size, "bucket"), "buckets")
     wanted = bucket.select("node", "least").distinct()
@@ -172,17 +172,18 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float, rounds: int) ->
         # the leader is the member that meets most others: the text that copies were made from meets all of them
         sized = bucket.join(bucket.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
         meets = sized.groupBy("node").agg(F.sum("n").alias("meets"))
-        order = F.struct((-F.col("meets")).alias("meets"), "least", "node")
-        leader = bucket.join(meets, "node").groupBy("bucket").agg(F.min(order)["node"].alias("a"))
+        order = F.struct((-F.col("meets")).alias("meets"), "least", "node", "size")
+        leader = bucket.join(meets, "node").groupBy("bucket").agg(F.min(order).alias("first")).select("bucket", F.col("first.node").alias("a"), F.col("first.size").alias("a_size"))
         led = common.written(bucket.join(leader, "bucket").filter("node <> a"), "led")
-        pairs = led.select("a", F.col("node").alias("b")).distinct()
+        alike = F.least("size", "a_size") >= similarity * F.greatest("size", "a_size") - 1e-9  # no set is alike to one that is much larger
+        pairs = led.filter(alike).select("a", F.col("node").alias("b")).distinct()
         if found is not None:
             pairs = pairs.join(label.select(F.col("node").alias("a"), F.col("la").alias("x")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("la").alias("y")), "b", "left")
             pairs = pairs.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
         new = common.written(verified(pairs, sets, similarity), "links")
         found = new if found is None else found.unionByName(new)
         label = joined_to(found)
-        bucket, turn = common.written(mixed_buckets(led.drop("a"), label), "buckets"), turn + 1
+        bucket, turn = common.written(mixed_buckets(led.drop("a", "a_size"), label), "buckets"), turn + 1
     if found is None or bucket.isEmpty():
         return found if found is not None else bucket.select(F.col("node").alias("a"), F.col("node").alias("b"))
     label = components(found).withColumnRenamed("label", "la")
@@ -228,14 +229,13 @@ def in_blocks(rest: DataFrame, similarity: float) -> DataFrame:
 
 
 def classes(rows: DataFrame, similarity: float, bands: int, per_band: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, nodes) of (doc_id, text, node): (doc_id, node) of each row, and (node, least, label, n_links) of each text."""
-    signed = common.written(rows.select("doc_id", "node", "text").mapInArrow(_bands(bands, per_band), "doc_id long, node binary, bands array<bigint>"), "signatures")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    """(rows, nodes) of (doc_id, text, node): (doc_id, node) of each row, and (node, least, label) of each text."""
+    signed = common.written(rows.select("doc_id", "node", "text").mapInArrow(_bands(bands, per_band), "doc_id long, node binary, size int, bands array<bigint>"), "signatures")
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = common.written(nodes, "nodes")
     found = common.written(links(rows, nodes, similarity, rounds), "links")
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    told = nodes.select("node", "least").join(components(found), "node", "left").join(degree, "node", "left")
-    return signed.select("doc_id", "node"), told.select("node", "least", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    told = nodes.select("node", "least").join(components(found), "node", "left")
+    return signed.select("doc_id", "node"), told.select("node", "least", F.coalesce("label", "node").alias("label"))
 
 
 def _with_node(docs: DataFrame) -> DataFrame:
@@ -243,10 +243,7 @@ def _with_node(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, class_id, n_links of each row of (doc_id, text, ...): the least doc_id of the row's class, and how many links of its text were found.
-
-    Links are verified pairs with a leader or across blocks; texts known to be joined aren't compared again, so not
-    every similar pair is counted.
+    """doc_id, class_id of each row of (doc_id, text, ...): the least doc_id of the row's class.
 
     Equal texts, and texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more, are in
     one class, and so on from text to text. A null text is in a class of its own (its doc_id); a text without
@@ -254,8 +251,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     """
     rows, nodes = classes(_with_node(docs.select("doc_id", "text")), similarity, bands, per_band, rounds)
     named = nodes.groupBy("label").agg(F.min("least").alias("class_id"))
-    out = rows.join(nodes.join(named, "label").select("node", "class_id", "n_links"), "node", "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = rows.join(nodes.join(named, "label").select("node", "class_id"), "node", "left")
+    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
@@ -268,5 +265,5 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BA
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id, n_links of every document."""
+    """doc_id, class_id of every document."""
     return near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))

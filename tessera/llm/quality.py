@@ -2,9 +2,11 @@
 
 Two zstandard dictionaries are trained, on good and on bad labelled text. A whole text is compressed with
 each, in chunks of CHUNK bytes, so that a long text doesn't become its own dictionary. The difference of the
-compressed sizes over the size of the text, with the compressed sizes themselves, becomes a score by logistic
-calibration. Dictionaries are trained on at most SLICE characters from each of at most SAMPLE labelled documents of either kind,
-the calibration on the sizes of at most CALIBRATION labelled documents, both those with the least hashes.
+compressed sizes over the size of the text becomes a score by isotonic calibration: the share of good texts
+among labelled texts with about that difference, never falling as the difference speaks more for good.
+Dictionaries are trained on the whole texts of at most SAMPLE labelled documents of either kind, the
+calibration on the differences of at most CALIBRATION other labelled documents, both those with the least
+hashes. Labelled documents are dealt to the two by a hash of doc_id, as a dictionary compresses the texts it was trained on too well.
 """
 
 from __future__ import annotations
@@ -16,16 +18,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import common, hashing
 
-SAMPLE, SLICE, CALIBRATION, CHUNK, DICTIONARY, LEVEL = 1500, 8192, 4000, 2048, 64 << 10, 3
+SAMPLE, CALIBRATION, CHUNK, DICTIONARY, LEVEL = 1500, 4000, 1024, 48 << 10, 3
 THRESHOLD = 0.3
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary; the samples themselves if they are too few to train on."""
+    """A trained dictionary; the samples' own text where zstandard finds too few of them to train on."""
     try:
         return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -50,63 +51,62 @@ def _sizes(good: bytes, bad: bytes, keep: list[str]):
     return sizes
 
 
-def columns(n: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """What the calibration sees: shares of the text's size, their squares, and a constant."""
-    n = np.maximum(n, 1)
-    d, g, size = (good - bad) / np.maximum(np.maximum(good, bad), 1), good / n, np.log1p(n) / 10
-    return np.stack([d, g, size, d * d, g * g, d * g, d * d * d, g * g * g, np.ones(len(n))], 1)
+def difference(n: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """How many bytes fewer, for each byte of text, the good dictionary needs; 0 for an empty text."""
+    return (bad - good) / np.maximum(n, 1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic regression, by Newton's method."""
-    w = np.zeros(x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, values) of the non-decreasing function of x that is nearest to y (1 or 0), by pooling neighbours that are out of order.
+
+    It is level from the first to the last place of a pool, straight between pools; each pool's share is drawn a little to a half.
+    """
+    x, at, counts = np.unique(x, return_inverse=True, return_counts=True)
+    pools: list[list[float]] = []  # sum, number, first x, last x
+    for place, total, n in zip(x, np.bincount(at, y, len(x)), counts, strict=True):
+        pools.append([total, n, place, place])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            total, n, _, last = pools.pop()
+            pools[-1] = [pools[-1][0] + total, pools[-1][1] + n, pools[-1][2], last]
+    return np.array([p[2:] for p in pools]).reshape(-1), np.repeat(np.maximum.accumulate([(p[0] + 0.5) / (p[1] + 1) for p in pools]), 2)
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep``, score and sizes of each row of (doc_id, text, ...).
+    """The columns in ``keep``, n_bytes, with_good, with_bad (compressed sizes) and score of each row of (doc_id, text, ...).
 
     ``labels``: (doc_id, label) to learn from, label 1 or 0; those with a null, and those of null texts, are
-    passed over. A null text counts as empty. If either label is missing, every score is the share of label 1,
-    or a half. The documents to learn from are picked by their ids, so no text is shuffled.
+    passed over; a repeated one counts once. A null text counts as empty, one of any length is compressed whole,
+    a repeated row has a score of its own, and equal texts have equal scores. If either label is missing, every
+    score is the share of label 1, or a half. The documents to learn from are picked by their ids, so no text is shuffled.
     """
     spark = docs.sparkSession
-    usable = labels.filter("label in (0, 1)").select("doc_id", "label").distinct().join(docs.filter("text is not null").select("doc_id"), "doc_id", "left_semi")
-    usable = usable.withColumns({"h": F.xxhash64("doc_id", "label"), "g": F.xxhash64("doc_id", "label", F.lit(1))})
-    first = W.partitionBy("label").orderBy("h", "doc_id")
-    for_dictionary = usable.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE).select("doc_id", "label", "h").collect()
-    for_curve = usable.orderBy("g", "doc_id").limit(CALIBRATION).select("doc_id", "label").collect()
-    picked = F.broadcast(spark.createDataFrame(for_dictionary, "doc_id long, label int, h long"))  # 2 x SAMPLE rows at most
-    place = F.pmod("h", F.greatest(F.lit(1), F.length("text") - SLICE)).cast("int") + 1
     texts = docs.select("doc_id", "text")
-    rows = texts.join(picked, "doc_id").select("label", "h", F.substr("text", place, F.lit(SLICE)).alias("text")).collect()
-    by = {k: [x[i : i + CHUNK] for r in sorted(rows, key=lambda r: r.h) if r.label == k for x in [r.text.encode()] for i in range(0, len(x), CHUNK)] for k in (0, 1)}
+    usable = labels.filter("label in (0, 1)").select("doc_id", "label").distinct().join(docs.filter("text is not null").select("doc_id"), "doc_id", "left_semi")
+    usable = usable.withColumns({"h": F.xxhash64("doc_id", "label"), "trains": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0})
+    first = lambda rows, n: rows.orderBy("h", "doc_id", "label").limit(n).select("doc_id", "label", "h").collect()
+    fetched = lambda rows: texts.join(F.broadcast(spark.createDataFrame(rows, "doc_id long, label int, h long")), "doc_id")  # noqa: E731  SAMPLE or CALIBRATION rows
+    trained = [r for k in (0, 1) for r in first(usable.filter(F.col("trains") & (F.col("label") == k)), SAMPLE)]
+    rows = fetched(trained).select("label", "h", "text").collect()
+    by = {k: [r.text.encode() for r in sorted(rows, key=lambda r: (r.h, r.text)) if r.label == k and r.text] for k in (0, 1)}
     good, bad = (dictionary(by[k]) if by[k] else b"" for k in (1, 0))
     kinds = "n_bytes long, with_good long, with_bad long"
-    ends = texts.join(F.broadcast(spark.createDataFrame(for_curve, "doc_id long, label int")), "doc_id")  # CALIBRATION rows at most
-    seen = ends.select("label", "text").mapInArrow(_sizes(good, bad, ["label"]), "label int, " + kinds).collect() if by[0] and by[1] else []
+    told, seen = first(usable.filter(~F.col("trains")), CALIBRATION), []
+    if by[0] and by[1] and told:
+        seen = fetched(told).select("label", "text").mapInArrow(_sizes(good, bad, ["label"]), "label int, " + kinds).collect()
     y = np.array([r.label for r in seen], float)
     if len(set(y)) == 2:
-        x = columns(*(np.array([r[c] for r in seen], float) for c in ("n_bytes", "with_good", "with_bad")))
-        w = logistic(x, y)
+        places, values = isotonic(difference(*(np.array([r[c] for r in seen], float) for c in ("n_bytes", "with_good", "with_bad"))), y)
     else:
-        w = np.zeros(9)
-        share = len(by[1]) / max(1, len(by[0]) + len(by[1])) if by[0] or by[1] else 0.5
-        w[-1] = np.log(min(max(share, 0.01), 0.99) / (1 - min(max(share, 0.01), 0.99)))
+        share = float(np.mean([r.label for r in [*trained, *told]] or [0.5]))
+        places, values = np.zeros(1), np.array([min(max(share, 0.01), 0.99)])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sizes(good, bad, list(keep))(batches):
+            d = difference(*(batch.column(c).to_numpy() for c in ("n_bytes", "with_good", "with_bad")))
+            yield batch.append_column("score", pa.array(np.interp(d, places, values), pa.float64()))
 
     schema = {f.name: f.dataType.simpleString() for f in docs.schema}
-    sized = docs.select(*keep, "text").mapInArrow(_sizes(good, bad, list(keep)), ", ".join(f"`{c}` {schema[c]}" for c in keep) + ", " + kinds)
-    n = F.greatest("n_bytes", F.lit(1))
-    d, g, size = (F.col("with_good") - F.col("with_bad")) / F.greatest("with_good", "with_bad", F.lit(1)), F.col("with_good") / n, F.log1p(n) / 10
-    terms = [d, g, size, d * d, g * g, d * g, d * d * d, g * g * g, F.lit(1.0)]
-    line = sum((t * float(k) for t, k in zip(terms, w, strict=True)), F.lit(0.0))
-    return sized.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(line, F.lit(-30.0)), F.lit(30.0)))))
+    return docs.select(*keep, "text").mapInArrow(scored, ", ".join(f"`{c}` {schema[c]}" for c in keep) + ", " + kinds + ", score double")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
