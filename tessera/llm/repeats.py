@@ -2,21 +2,18 @@
 
 A word goes if it lies in a window of ``window`` words that also starts in a document with a smaller doc_id.
 
-1. Candidates. In each run of ``window`` words the phrase of ``phrase`` words with the least hash is its anchor
-   (ties: the first), so two documents that share a window share its anchor. Each document is reduced to the
-   hashes and places of its anchors. A copy (by a 128-bit digest of the text) of a document with a smaller id
-   goes whole and takes no further part.
-2. Confirmation. The phrases of anchors that occur under two doc_ids are cut out of their texts; those that are
-   the same words under two doc_ids are confirmed.
-3. Automata. The documents that hold such anchors are dealt to shards of about SHARD documents. Each shard
-   compiles the confirmed phrases of its own documents to an Aho-Corasick automaton, and all of its documents
-   are streamed through, whole: every place where a phrase occurs is found, whatever its anchor there is. A
-   document is in one shard, so no text is read by more than one automaton, and an automaton grows with its
-   shard's texts only.
-4. Windows. Each window that holds an occurrence is told by a 128-bit digest of its words. A digest that occurs
-   under two doc_ids covers its windows in all documents but that with the least. Digests of one anchor are
-   many, so a passage that very many documents share is dealt out, and its rows are summed before they move.
-5. Covered windows go back to their documents, and the words that are left are put together.
+1. Recurring phrases. In each run of ``window`` words the phrase of ``phrase`` words with the least hash is its
+   anchor (ties: the first), so two documents that share a window share its anchor. Each document is reduced to
+   the hashes and places of its anchors. A copy (by a 128-bit digest of the text) of a document with a smaller
+   id goes whole and takes no further part. Anchors under two doc_ids are kept, with their places.
+2. Automata. Documents are dealt to shards of about SHARD. Each shard compiles its documents' kept phrases to an
+   Aho-Corasick automaton, and its documents are streamed through, whole: every place where a phrase occurs is
+   found, whatever its anchor there is. A document is in one shard, so no text is read by more than one
+   automaton, and an automaton grows with its shard's texts only. Documents without a kept phrase share nothing.
+3. Windows. Each window that holds an occurrence is told by a 128-bit digest of its words. A digest that occurs
+   under two doc_ids covers its windows in all documents but that with the least. Digests of one passage are
+   many, and a document tells each once, so what very many documents share is dealt out, and it is summed before it moves.
+4. Covered windows go back to their documents, and the words that are left are put together.
 """
 
 from __future__ import annotations
@@ -32,9 +29,9 @@ from pyspark.sql import functions as F
 
 from . import common, hashing
 
-WINDOW, PHRASE = 50, 10
+WINDOW, PHRASE = 50, 20
 #: Documents in a shard, about.
-SHARD = 300
+SHARD = 500
 _NEVER = (1 << 63) - 1
 
 
@@ -80,123 +77,113 @@ def _outline(window: int, phrase: int):
     return outline
 
 
-def _phrases(phrase: int):
-    """For each wanted anchor of a text its phrase, words joined by one space."""
-
-    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = []
-                for order, key, text, wanted in zip(*[batch.column(c).slice(at, 500).to_pylist() for c in ("order", "key", "text", "wanted")], strict=True):
-                    words = text.encode().split()
-                    rows += [(order, key, x["anchor"], b" ".join(words[x["place"] : x["place"] + phrase]).decode()) for x in wanted]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["order", "key", "anchor", "phrase"])
-
-    return phrases
-
-
-def located(automaton: ahocorasick.Automaton, text: str, window: int, phrase: int) -> tuple[list[bytes], np.ndarray]:
-    """(words of ``text``; first words of all windows that hold one of the automaton's phrases, ascending)."""
-    words = text.encode().split()
+def located(automaton: ahocorasick.Automaton, words: list[bytes], window: int, phrase: int) -> np.ndarray:
+    """First words of all windows that hold one of the automaton's phrases, ascending."""
     line = f" {b' '.join(words).decode()} "
-    ends = np.fromiter((end for end, _ in automaton.iter(line)), np.int64) if len(words) >= window else np.zeros(0, np.int64)
+    ends = np.fromiter((end for end, _ in automaton.iter(line)), np.int64)
     if not len(ends):
-        return words, ends
+        return ends
     blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 0x20)  # one before each word, one at the end
-    last = np.searchsorted(blanks, ends) - phrase  # first words of the occurrences
+    first = np.searchsorted(blanks, ends) - phrase  # words where the occurrences begin
     steps = np.zeros(len(words) + 2, np.int64)
-    np.add.at(steps, np.maximum(last + phrase - window, 0), 1)
-    np.add.at(steps, last + 1, -1)
+    np.add.at(steps, np.maximum(first + phrase - window, 0), 1)
+    np.add.at(steps, first + 1, -1)
     starts = np.flatnonzero(np.cumsum(steps) > 0)
-    return words, starts[starts <= len(words) - window]
+    return starts[starts <= len(words) - window]
+
+
+def digests(words: list[bytes], starts: np.ndarray, window: int) -> np.ndarray:
+    """(starts, 2): the halves of a 128-bit digest of the words of each window."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    begin = np.cumsum(size) - size
+    view, ends = memoryview(b" ".join(words)), (begin + size - 1)[starts + window - 1].tolist()
+    found = b"".join([hashlib.blake2b(view[b:e], digest_size=16).digest() for b, e in zip(begin[starts].tolist(), ends, strict=True)])
+    return np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
 def _streamed(window: int, phrase: int):
-    """The windows to compare of all texts. Rows come shard by shard, in each the phrases before the texts."""
+    """The windows to compare of all texts; ``at``: the first word, or -1 - it if that window comes again in the document. Rows come shard by shard, in each the places of kept phrases before the texts."""
     names = ["order", "key", "at", "high", "low"]
 
-    def windows(order: int, key: int, words: list[bytes], starts: np.ndarray) -> pa.RecordBatch:
-        line, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words)) + 1
-        begin = np.cumsum(size) - size
-        ends = (begin + size - 1)[starts + window - 1].tolist()
-        view = memoryview(line)
-        digest = b"".join([hashlib.blake2b(view[b:e], digest_size=16).digest() for b, e in zip(begin[starts].tolist(), ends, strict=True)])
-        halves = np.frombuffer(digest, "<i8").reshape(-1, 2)
-        n = len(starts)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, order)), pa.array(np.full(n, key)), pa.array(starts.astype(np.int32)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names)
+    def of(texts: list[tuple[int, int, list[bytes], list[int]]]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for _, _, words, places in texts:
+            for p in places:
+                automaton.add_word(f" {b' '.join(words[p : p + phrase]).decode()} ")
+        automaton.make_automaton()
+        for order, key, words, _ in texts:
+            starts = located(automaton, words, window, phrase)
+            halves, first, times = np.unique(digests(words, starts, window), axis=0, return_index=True, return_counts=True)
+            at = np.where(times > 1, -1 - starts[first], starts[first]).astype(np.int32)
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, order)), pa.array(np.full(n, key)), pa.array(at), *[pa.array(np.ascontiguousarray(halves[:, k])) for k in (0, 1)]], names)
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, automaton, ready, held, n = None, ahocorasick.Automaton(), False, [], 0
+        shard, wanted, texts = None, {}, []
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                for own, order, key, text, is_text in zip(*[batch.column(c).slice(at, 500).to_pylist() for c in ("shard", "order", "key", "text", "is_text")], strict=True):
+            for at in range(0, batch.num_rows, 200):
+                for own, order, key, text, places in zip(*[batch.column(c).slice(at, 200).to_pylist() for c in ("shard", "order", "key", "text", "places")], strict=True):
                     if own != shard:
-                        shard, automaton, ready = own, ahocorasick.Automaton(ahocorasick.STORE_LENGTH), False
-                    if not is_text:
-                        automaton.add_word(f" {text} ")
-                        continue
-                    if not ready:
-                        automaton.make_automaton()
-                        ready = True
-                    if len(automaton):
-                        words, starts = located(automaton, text, window, phrase)
-                        if len(starts):
-                            held.append(windows(order, key, words, starts))
-                            n += len(starts)
-                    if n > 20_000:
-                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                        held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        if texts:
+                            yield from pa.Table.from_batches(of(texts)).combine_chunks().to_batches()
+                        shard, wanted, texts = own, {}, []
+                    if places is not None:
+                        wanted[order, key] = places
+                    elif (found := wanted.pop((order, key), None)) is not None:
+                        texts.append((order, key, text.encode().split(), found))
+        if texts:
+            yield from pa.Table.from_batches(of(texts)).combine_chunks().to_batches()
 
     return streamed
 
 
 def covered_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(copies, covered) of (order, key, text): (order, key) of whole copies, and (order, key, at) of the covered windows of the others."""
+    """(copies, covered) of (order, key, text): (order, key) of whole copies, and (order, key, at) of the covered windows of the others, ``at`` as _streamed tells it."""
     texts = docs.select("order", "key", "text").filter("text is not null")
     outline = texts.withColumn("same", F.unhex(F.md5("text"))).mapInArrow(_outline(window, phrase), "order long, key long, same binary, anchor array<long>, place array<int>")
     outline = common.written(outline, "outline")
     least = outline.groupBy("same").agg(F.min("order").alias("least"), F.max("order").alias("most")).filter("least < most").select("same", "least")
     copies = common.written(outline.select("order", "key", "same").join(least, "same").filter("order > least").select("order", "key").distinct(), "copies")
-    firsts = outline.select("order", "key", F.arrays_zip("anchor", "place").alias("own")).join(copies, ["order", "key"], "left_anti").dropDuplicates(["order", "key"])
-    places = firsts.select("order", "key", F.inline("own"))
+    places = outline.select("order", "key", F.arrays_zip("anchor", "place").alias("own")).join(copies, ["order", "key"], "left_anti").select("order", "key", F.inline("own"))
     shared = places.groupBy("anchor").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a < b").select("anchor")
-    wanted = places.join(shared, "anchor").groupBy("order", "key").agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))  # no more than the document has
-    touched = common.written(texts.join(wanted, ["order", "key"]).dropDuplicates(["order", "key"]), "touched")
-    seen = touched.mapInArrow(_phrases(phrase), "order long, key long, anchor long, phrase string")
-    n_shards = max(1, touched.count() // shard)
-    dealt = F.pmod(F.xxhash64("order", "key"), F.lit(n_shards)).alias("shard")
-    seen = common.written(seen.groupBy("phrase", dealt).agg(F.min("order").alias("a"), F.max("order").alias("b")), "phrases")  # rows of a common phrase are at most as many as shards
-    confirmed = seen.groupBy("phrase").agg(F.min("a").alias("least"), F.max("b").alias("most")).filter("least < most").select("phrase")
-    none = F.lit(None).cast("long")
-    patterns = seen.select("phrase", "shard").join(confirmed, "phrase").select("shard", none.alias("order"), none.alias("key"), F.col("phrase").alias("text"), F.lit(False).alias("is_text"))
-    every = patterns.unionByName(touched.select(dealt, "order", "key", "text", F.lit(True).alias("is_text")))
-    every = every.repartition(min(n_shards, 4 * common.shuffle_partitions(docs.sparkSession)), "shard").sortWithinPartitions("shard", "is_text")
+    wanted = places.join(shared, "anchor").groupBy("order", "key").agg(F.collect_set("place").alias("places"))  # no more than the document has
+    n_shards = max(1, outline.count() // shard)
+    dealt = F.pmod(F.xxhash64("order", "key"), F.lit(n_shards)).cast("int").alias("shard")
+    every = wanted.select(dealt, "order", "key", F.lit(None).cast("string").alias("text"), "places").unionByName(texts.select(dealt, "order", "key", "text", F.lit(None).cast("array<int>").alias("places")))
+    every = every.repartition(min(n_shards, common.shuffle_partitions(docs.sparkSession)), "shard").sortWithinPartitions("shard", F.col("places").isNull())
     windows = common.written(every.mapInArrow(_streamed(window, phrase), "order long, key long, at int, high long, low long"), "windows")
     least = windows.groupBy("high", "low").agg(F.min("order").alias("least"), F.max("order").alias("most")).filter("least < most").select("high", "low", "least")
     return copies, windows.join(least, ["high", "low"]).filter("order > least").select("order", "key", "at")
 
 
 def _kept(names: list[str], window: int, verbatim: bool):
+    def left(words: list[bytes], found: list[int]) -> list[int]:
+        """The words outside the covered windows."""
+        at = np.array(found, np.int64)
+        if len(again := -1 - at[at < 0]):
+            starts = np.arange(len(words) - window + 1)
+            every = list(map(bytes, digests(words, starts, window)))
+            those = set(map(bytes, digests(words, again, window)))
+            at = np.r_[at[at >= 0], [s for s, d in zip(starts.tolist(), every, strict=True) if d in those]]
+        steps = np.zeros(len(words) + 1, np.int64)
+        np.add.at(steps, at, 1)
+        np.add.at(steps, at + window, -1)
+        return np.flatnonzero(np.cumsum(steps[:-1]) == 0).tolist()
+
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in hashing.slices(batch):
                 rows = []
-                for text, copy, begins in zip(*[some.column(c).to_pylist() for c in ("text", "copy", "begins")], strict=True):
+                for text, copy, found in zip(*[some.column(c).to_pylist() for c in ("text", "copy", "found")], strict=True):
                     words = (text or "").encode().split()
                     n = len(words)
                     if copy:
                         rows.append((n, n, ""))
-                    elif not begins:
+                    elif not found:
                         rows.append((n, 0, (text or "") if verbatim else b" ".join(words).decode()))
                     else:
-                        steps = np.zeros(n + 1, np.int64)
-                        np.add.at(steps, begins, 1)
-                        np.add.at(steps, np.array(begins) + window, -1)
-                        left = np.flatnonzero(np.cumsum(steps[:-1]) == 0).tolist()
-                        rows.append((n, n - len(left), b" ".join(map(words.__getitem__, left)).decode()))
+                        stay = left(words, found)
+                        rows.append((n, n - len(stay), b" ".join(map(words.__getitem__, stay)).decode()))
                 out = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*[some.column(c) for c in names], *out], [*names, "n_words", "n_removed", "kept"])
 
@@ -213,13 +200,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).withColumn("order", F.coalesce("doc_id", F.lit(_NEVER))).withColumn("key", F.xxhash64("text"))
     copies, covered = covered_windows(rows, window, phrase, shard)
-    merged = covered.groupBy("order", "key").agg(F.collect_list("at").alias("begins")).withColumn("copy", F.lit(False))  # no more than the document has words
-    gone = merged.unionByName(copies.select("order", "key", F.lit(None).cast("array<int>").alias("begins"), F.lit(True).alias("copy")))
+    merged = covered.groupBy("order", "key").agg(F.collect_list("at").alias("found")).withColumn("copy", F.lit(False))  # no more than the document has words
+    gone = merged.unionByName(copies.select("order", "key", F.lit(None).cast("array<int>").alias("found"), F.lit(True).alias("copy")))
     joined = rows.join(gone, ["order", "key"], "left")
     names = ["doc_id", *keep]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_words long, n_removed long, kept string"
-    return joined.select(*names, "text", "copy", "begins").mapInArrow(_kept(names, window, verbatim), schema)
+    return joined.select(*names, "text", "copy", "found").mapInArrow(_kept(names, window, verbatim), schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

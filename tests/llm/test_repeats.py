@@ -63,8 +63,7 @@ def test_automata_find_every_window_that_holds_a_phrase():
         for p in phrases:
             automaton.add_word(f" {p} ")
         automaton.make_automaton()
-        found, starts = repeats.located(automaton, "\t".join(words), 5, 2)
-        assert found == [w.encode() for w in words]
+        starts = repeats.located(automaton, [w.encode() for w in words], 5, 2)
         assert starts.tolist() == [s for s in range(len(words) - 4) if any(" ".join(words[p : p + 2]) in phrases for p in range(s, s + 4))]
 
 
