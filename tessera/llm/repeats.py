@@ -11,8 +11,9 @@ A word goes if it lies in a window of ``window`` words that also starts in a doc
    found, whatever its anchor there is. A document is in one shard, so no text is read by more than one
    automaton, and an automaton grows with its shard's texts only. Documents without a kept phrase share nothing.
 3. Windows. Each window that holds an occurrence is told by a 128-bit digest of its words. A digest that occurs
-   under two doc_ids covers its windows in all documents but that with the least. Digests of one passage are
-   many, and a document tells each once, so what very many documents share is dealt out, and it is summed before it moves.
+   under two doc_ids covers its windows in all documents but that with the least. Of what a task has in hand all
+   but the documents with the least doc_id are decided there; one row for each digest goes on to meet those of
+   other tasks, so a passage that very many documents share is no larger a group than there are tasks.
 4. Covered windows go back to their documents, and the words that are left are put together.
 """
 
@@ -26,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import common, hashing
 
 WINDOW, PHRASE = 50, 20
-#: Documents in a shard, about.
-SHARD = 500
+#: Documents in a shard, about; windows that a task has in hand at a time, about.
+SHARD, IN_HAND = 500, 100_000
 _NEVER = (1 << 63) - 1
 
 
@@ -101,11 +103,16 @@ def digests(words: list[bytes], starts: np.ndarray, window: int) -> np.ndarray:
     return np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
-def _streamed(window: int, phrase: int):
-    """The windows to compare of all texts; ``at``: the first word, or -1 - it if that window comes again in the document. Rows come shard by shard, in each the places of kept phrases before the texts."""
-    names = ["order", "key", "at", "high", "low"]
+def _streamed(window: int, phrase: int, in_hand: int):
+    """The windows of all texts that are covered or to be compared. Rows come shard by shard, in each the places of kept phrases before the texts.
 
-    def of(texts: list[tuple[int, int, list[bytes], list[int]]]) -> Iterator[pa.RecordBatch]:
+    ``at``: the first word, or -1 - it if that window comes again in the document. ``covered``: that is known
+    here; high and low are those of the document then, so that such rows spread.
+    """
+    names = ["order", "key", "at", "high", "low", "covered"]
+
+    def windows(texts: list[tuple[int, int, list[bytes], list[int]]]) -> Iterator[np.ndarray]:
+        """(5, windows) of each text: order, key, at, high, low."""
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for _, _, words, places in texts:
             for p in places:
@@ -114,30 +121,41 @@ def _streamed(window: int, phrase: int):
         for order, key, words, _ in texts:
             starts = located(automaton, words, window, phrase)
             halves, first, times = np.unique(digests(words, starts, window), axis=0, return_index=True, return_counts=True)
-            at = np.where(times > 1, -1 - starts[first], starts[first]).astype(np.int32)
-            n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, order)), pa.array(np.full(n, key)), pa.array(at), *[pa.array(np.ascontiguousarray(halves[:, k])) for k in (0, 1)]], names)
+            at = starts[first]
+            yield np.stack([np.full(len(at), order), np.full(len(at), key), np.where(times > 1, -1 - at, at), halves[:, 0], halves[:, 1]])
+
+    def decided(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held, axis=1)
+        rows = rows[:, np.lexsort((rows[0], rows[4], rows[3]))]
+        new = np.r_[True, (rows[3:, 1:] != rows[3:, :-1]).any(0)]
+        least = rows[0][np.flatnonzero(new)][np.cumsum(new) - 1]
+        covered = rows[0] > least
+        rows[3:, covered] = rows[:2, covered]
+        return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(x), pa.int32() if k == 2 else pa.int64()) for k, x in enumerate(rows.astype(np.int64))], pa.array(covered)], names)
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, wanted, texts = None, {}, []
+        shard, wanted, texts, held = None, {}, [], []
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 for own, order, key, text, places in zip(*[batch.column(c).slice(at, 200).to_pylist() for c in ("shard", "order", "key", "text", "places")], strict=True):
                     if own != shard:
-                        if texts:
-                            yield from pa.Table.from_batches(of(texts)).combine_chunks().to_batches()
+                        held += windows(texts) if texts else []
                         shard, wanted, texts = own, {}, []
+                        if sum(x.shape[1] for x in held) > in_hand:
+                            yield decided(held)
+                            held = []
                     if places is not None:
                         wanted[order, key] = places
                     elif (found := wanted.pop((order, key), None)) is not None:
                         texts.append((order, key, text.encode().split(), found))
-        if texts:
-            yield from pa.Table.from_batches(of(texts)).combine_chunks().to_batches()
+        held += windows(texts) if texts else []
+        if held:
+            yield decided(held)
 
     return streamed
 
 
-def covered_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+def covered_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD, in_hand: int = IN_HAND) -> tuple[DataFrame, DataFrame]:
     """(copies, covered) of (order, key, text): (order, key) of whole copies, and (order, key, at) of the covered windows of the others, ``at`` as _streamed tells it."""
     texts = docs.select("order", "key", "text").filter("text is not null")
     outline = texts.withColumn("same", F.unhex(F.md5("text"))).mapInArrow(_outline(window, phrase), "order long, key long, same binary, anchor array<long>, place array<int>")
@@ -151,9 +169,9 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     dealt = F.pmod(F.xxhash64("order", "key"), F.lit(n_shards)).cast("int").alias("shard")
     every = wanted.select(dealt, "order", "key", F.lit(None).cast("string").alias("text"), "places").unionByName(texts.select(dealt, "order", "key", "text", F.lit(None).cast("array<int>").alias("places")))
     every = every.repartition(min(n_shards, common.shuffle_partitions(docs.sparkSession)), "shard").sortWithinPartitions("shard", F.col("places").isNull())
-    windows = common.written(every.mapInArrow(_streamed(window, phrase), "order long, key long, at int, high long, low long"), "windows")
-    least = windows.groupBy("high", "low").agg(F.min("order").alias("least"), F.max("order").alias("most")).filter("least < most").select("high", "low", "least")
-    return copies, windows.join(least, ["high", "low"]).filter("order > least").select("order", "key", "at")
+    windows = every.mapInArrow(_streamed(window, phrase, in_hand), "order long, key long, at int, high long, low long, covered boolean")
+    least = F.min("order").over(W.partitionBy("high", "low"))  # a few rows for each task at most
+    return copies, windows.withColumn("least", least).filter("covered or order > least").select("order", "key", "at")
 
 
 def _kept(names: list[str], window: int, verbatim: bool):
@@ -190,7 +208,7 @@ def _kept(names: list[str], window: int, verbatim: bool):
     return kept
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD, keep: tuple[str, ...] = (), verbatim: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard: int = SHARD, in_hand: int = IN_HAND, keep: tuple[str, ...] = (), verbatim: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) of each row of (doc_id, text, ...), and the columns in ``keep``.
 
     Words are runs without ASCII white space. A null text has none. A null doc_id counts as larger than any;
@@ -199,7 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     nothing keeps its white space.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).withColumn("order", F.coalesce("doc_id", F.lit(_NEVER))).withColumn("key", F.xxhash64("text"))
-    copies, covered = covered_windows(rows, window, phrase, shard)
+    copies, covered = covered_windows(rows, window, phrase, shard, in_hand)
     merged = covered.groupBy("order", "key").agg(F.collect_list("at").alias("found")).withColumn("copy", F.lit(False))  # no more than the document has words
     gone = merged.unionByName(copies.select("order", "key", F.lit(None).cast("array<int>").alias("found"), F.lit(True).alias("copy")))
     joined = rows.join(gone, ["order", "key"], "left")

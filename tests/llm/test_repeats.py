@@ -36,11 +36,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("shard", [1, 7, 8000])
-def test_as_by_hand(spark, shard):
+@pytest.mark.parametrize(("shard", "in_hand"), [(1, 1), (7, 20), (8000, 100_000)])
+def test_as_by_hand(spark, shard, in_hand):
     rows = corpus()
     docs = spark.createDataFrame([(i, x, 1, "k") for i, x in rows], "doc_id long, text string, n_words int, key string")
-    got = repeats.remove_repeats(docs, window=5, phrase=2, shard=shard)
+    got = repeats.remove_repeats(docs, window=5, phrase=2, shard=shard, in_hand=in_hand)
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got.collect()) == brute(rows, 5)
 
 
