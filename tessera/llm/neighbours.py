@@ -3,7 +3,9 @@
 On a bounded sample (the SAMPLE vectors with the least hashes) a graph of nearest neighbours is built and cut
 into equal parts by recursive bisection. A small neural classifier learns the parts of each vector's
 neighbours. Every row is indexed in its likeliest part; a query goes to its ``probes`` likeliest, so many that
-on the sample they hold RECALL of the true neighbours, and is compared exactly with all that is there.
+for vectors of the sample that were held out of graph and classifier they hold RECALL of the true neighbours, and
+is compared exactly with all that is there. How few probes do depends on the vectors: a few where they lie in
+clusters, nearly all where they lie alike in all directions of a space with many.
 
 Equal vectors are one candidate with its K + 1 least ids, more can't be among K nearest; equal queries are one
 query. Large parts, and large sets of queries of one part, are cut into blocks, and each block meets each.
@@ -21,15 +23,19 @@ from pyspark.sql import Window as W
 
 from . import common
 
-K, SAMPLE, GRAPH, HIDDEN, PART_ROWS, MAX_PARTS, BLOCK, RECALL = 10, 4096, 10, 128, 1500, 256, 4000, 0.97
+K, SAMPLE, GRAPH, HIDDEN, PART_ROWS, MAX_PARTS, BLOCK, RECALL = 10, 4096, 10, 128, 125, 256, 4000, 0.95
+#: The share of the sample on which probes are chosen.
+HELD_OUT = 0.25
 
 
-def nearest(x: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest other rows of each row."""
-    norms, out = (x * x).sum(1), np.empty((len(x), k), np.int64)
-    for at in range(0, len(x), 512):
-        d = norms[None, :] - 2 * (x[at : at + 512] @ x.T)
-        d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+def nearest(x: np.ndarray, k: int, of: np.ndarray | None = None) -> np.ndarray:
+    """The k nearest other rows of each row of ``x`` with a number in ``of`` (all by default)."""
+    of = np.arange(len(x)) if of is None else of
+    norms, out = (x * x).sum(1), np.empty((len(of), k), np.int64)
+    for at in range(0, len(of), 512):
+        own = of[at : at + 512]
+        d = norms[None, :] - 2 * (x[own] @ x.T)
+        d[np.arange(len(d)), own] = np.inf
         out[at : at + len(d)] = np.argpartition(d, k - 1, axis=1)[:, :k]
     return out
 
@@ -75,7 +81,9 @@ def scores(model: list[np.ndarray], x: np.ndarray) -> np.ndarray:
 def fit(x: np.ndarray, parts: int, recall: float = RECALL) -> tuple[list[np.ndarray], int]:
     """The classifier of ``parts`` parts (a power of two) and the number of probes."""
     rng = np.random.default_rng(7)
-    x = x.astype(np.float32)
+    every = x.astype(np.float32)
+    held = rng.permutation(len(every))[: int(HELD_OUT * len(every))]
+    x = np.delete(every, held, axis=0)
     k = min(GRAPH, len(x) - 1)
     near = nearest(x, k)
     edges = np.stack([np.repeat(np.arange(len(x)), k), near.reshape(-1)], 1)
@@ -101,9 +109,10 @@ def fit(x: np.ndarray, parts: int, recall: float = RECALL) -> tuple[list[np.ndar
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 weights[i] = weights[i] - np.float32(0.003) * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
     model = [mean, scale, *weights]
-    order = np.argsort(-scores(model, x), axis=1, kind="stable")
-    home, rank = order[:, 0], np.argsort(order, axis=1)
-    needed = np.sort(rank[np.repeat(np.arange(len(x)), k), home[near.reshape(-1)]])  # how far down the list the neighbours' parts are
+    order = np.argsort(-scores(model, every), axis=1, kind="stable")
+    home, rank = order[:, 0], np.argsort(order[held], axis=1)
+    near = nearest(every, k, held)
+    needed = np.sort(rank[np.repeat(np.arange(len(held)), k), home[near.reshape(-1)]])  # how far down the list the neighbours' parts are
     return model, int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1
 
 
@@ -147,14 +156,15 @@ def _ranked(k: int):
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int = PART_ROWS, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row of ``queries``, among ``vectors`` (both vec_id, embedding).
 
-    Euclidean distance in double precision; ties to the smaller vec_id; a row with the query's vec_id is its
+    Euclidean distance in double precision on the vectors as they are; ties to the smaller vec_id; a row with the query's vec_id is its
     own. Null vectors, zero ones, ones with null, NaN or infinite components, ones without id, and ones that
     aren't as long as most take no part; a repeated row counts once.
     """
     spark = vectors.sparkSession
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     ok = F.col("embedding").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
-    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter(ok)
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).filter(ok)
     rows = clean(vectors)
     length = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     rows, asked = (df.filter(F.size("embedding") == (length.d if length else 0)) for df in (rows, clean(queries)))
@@ -167,10 +177,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int =
     if parts > 1:
         some = distinct.orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).select("embedding").collect()
         model, probes = fit(np.array([r.embedding for r in some], np.float32), parts, recall)
-    indexed = common.written(distinct.mapInPandas(_route(model, 1), "embedding array<float>, ids array<long>, parts array<int>").select("embedding", "ids", F.col("parts")[0].alias("part")), "index")
+    indexed = common.written(distinct.mapInPandas(_route(model, 1), f"embedding {kind}, ids array<long>, parts array<int>").select("embedding", "ids", F.col("parts")[0].alias("part")), "index")
     asked = common.written(asked.distinct(), "queries")
     one = common.written(asked.select("embedding").distinct().withColumn("q", F.monotonically_increasing_id()), "asked")
-    routed = one.mapInPandas(_route(model, probes), "embedding array<float>, q long, parts array<int>").select("embedding", "q", F.explode("parts").alias("part"))
+    routed = one.mapInPandas(_route(model, probes), f"embedding {kind}, q long, parts array<int>").select("embedding", "q", F.explode("parts").alias("part"))
     routed = common.written(routed, "routed")
     # one row for each part: in how many blocks its vectors and its queries are compared
     cut = lambda df, into: df.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(into))

@@ -4,8 +4,8 @@ A word goes if it lies in a window of ``window`` words that also starts in a doc
 
 1. Recurring phrases. In each run of ``window`` words the phrase of ``phrase`` words with the least hash is its
    anchor (ties: the first), so two documents that share a window share its anchor. Each document is reduced to
-   the hashes and places of its anchors. A copy (by a 128-bit digest of the text) of a document with a smaller
-   id goes whole and takes no further part. Anchors under two doc_ids are kept, with their places.
+   the hashes of its anchors, each with one place. Anchors of two different texts are kept, with their places. A
+   copy (by a 128-bit digest of the text) of a document with a smaller id goes whole and takes no further part.
 2. Automata. Documents are dealt to shards of about SHARD. Each shard compiles its documents' kept phrases to an
    Aho-Corasick automaton, and its documents are streamed through, whole: every place where a phrase occurs is
    found, whatever its anchor there is. A document is in one shard, so no text is read by more than one
@@ -51,7 +51,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(words: hashing.Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the anchors of all texts, places counted in all words of the column, ascending."""
+    """(hash, place) of the anchors of all texts, each hash once for a text, places counted in all words of the column, ascending."""
     at, h = words.grams(phrase)
     every = np.full(len(words.begin), np.iinfo(np.uint64).max, np.uint64)
     every[at] = h
@@ -59,6 +59,7 @@ def anchors(words: hashing.Words, window: int, phrase: int) -> tuple[np.ndarray,
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     place = np.unique(sliding_least(every, window - phrase + 1)[starts])
+    place = np.sort(place[np.unique(np.stack([words.row[place].astype(np.uint64), every[place]]), axis=1, return_index=True)[1]])
     return every[place], place
 
 
@@ -70,7 +71,7 @@ def _outline(window: int, phrase: int):
             for some in hashing.slices(batch):
                 words = hashing.Words(some.column("text"))
                 h, place = anchors(words, window, phrase)
-                cuts = pa.array(np.searchsorted(place, words.first), pa.int32())
+                cuts = pa.array(np.searchsorted(place, words.first), pa.int32())  # places ascend, and so do their rows
                 inside = place - words.first[words.row[place]] if len(place) else place
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(v, t)) for v, t in ((h.view(np.int64), pa.int64()), (inside, pa.int32()))]
                 out = pa.RecordBatch.from_arrays([*[some.column(c) for c in ("order", "key", "same")], *lists], schema=kind)
@@ -104,7 +105,7 @@ def digests(words: list[bytes], starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def _streamed(window: int, phrase: int, in_hand: int):
-    """The windows of all texts that are covered or to be compared. Rows come shard by shard, in each the places of kept phrases before the texts.
+    """The windows of all texts that are covered or to be compared. Rows come shard by shard, in each the places of kept phrases and the keys of copies before the texts.
 
     ``at``: the first word, or -1 - it if that window comes again in the document. ``covered``: that is known
     here; high and low are those of the document then, so that such rows spread.
@@ -116,9 +117,10 @@ def _streamed(window: int, phrase: int, in_hand: int):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for _, _, words, places in texts:
             for p in places:
-                automaton.add_word(f" {b' '.join(words[p : p + phrase]).decode()} ")
+                if len(own := words[p : p + phrase]) == phrase:
+                    automaton.add_word(f" {b' '.join(own).decode()} ")
         automaton.make_automaton()
-        for order, key, words, _ in texts:
+        for order, key, words, _ in texts if len(automaton) else []:
             starts = located(automaton, words, window, phrase)
             halves, first, times = np.unique(digests(words, starts, window), axis=0, return_index=True, return_counts=True)
             at = starts[first]
@@ -134,22 +136,25 @@ def _streamed(window: int, phrase: int, in_hand: int):
         return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(x), pa.int32() if k == 2 else pa.int64()) for k, x in enumerate(rows.astype(np.int64))], pa.array(covered)], names)
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, wanted, texts, held = None, {}, [], []
+        shard, wanted, done, texts, held = None, {}, set(), [], []
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                for own, order, key, text, places in zip(*[batch.column(c).slice(at, 200).to_pylist() for c in ("shard", "order", "key", "text", "places")], strict=True):
+                for own, doc, order, key, text, places in zip(*[batch.column(c).slice(at, 200).to_pylist() for c in ("shard", "doc", "order", "key", "text", "places")], strict=True):
                     if own != shard:
                         held += windows(texts) if texts else []
-                        shard, wanted, texts = own, {}, []
+                        shard, wanted, done, texts = own, {}, set(), []
                         if sum(x.shape[1] for x in held) > in_hand:
                             yield decided(held)
                             held = []
-                    if places is not None:
-                        wanted[order, key] = places
-                    elif (found := wanted.pop((order, key), None)) is not None:
-                        texts.append((order, key, text.encode().split(), found))
+                    if places is not None and key is None:
+                        wanted[doc] = places
+                    elif places is not None:
+                        done.add((order, key))
+                    elif (order, key) not in done and doc in wanted:
+                        done.add((order, key))
+                        texts.append((order, key, text.encode().split(), wanted[doc]))
         held += windows(texts) if texts else []
-        if held:
+        if any(x.shape[1] for x in held):
             yield decided(held)
 
     return streamed
@@ -162,12 +167,16 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     outline = common.written(outline, "outline")
     least = outline.groupBy("same").agg(F.min("order").alias("least"), F.max("order").alias("most")).filter("least < most").select("same", "least")
     copies = common.written(outline.select("order", "key", "same").join(least, "same").filter("order > least").select("order", "key").distinct(), "copies")
-    places = outline.select("order", "key", F.arrays_zip("anchor", "place").alias("own")).join(copies, ["order", "key"], "left_anti").select("order", "key", F.inline("own"))
-    shared = places.groupBy("anchor").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a < b").select("anchor")
-    wanted = places.join(shared, "anchor").groupBy("order", "key").agg(F.collect_set("place").alias("places"))  # no more than the document has
+    doc = F.coalesce(F.nullif("order", F.lit(_NEVER)), "key").alias("doc")  # should two texts have one, each gets the places of both, and that does no harm
+    places = outline.select(doc, "key", F.inline(F.arrays_zip("anchor", "place")))
+    shared = places.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("anchor")
+    wanted = places.select("doc", "anchor", "place").join(shared, "anchor").groupBy("doc").agg(F.collect_set("place").alias("places"))  # no more than the document has
     n_shards = max(1, outline.count() // shard)
-    dealt = F.pmod(F.xxhash64("order", "key"), F.lit(n_shards)).cast("int").alias("shard")
-    every = wanted.select(dealt, "order", "key", F.lit(None).cast("string").alias("text"), "places").unionByName(texts.select(dealt, "order", "key", "text", F.lit(None).cast("array<int>").alias("places")))
+    dealt = F.pmod(F.xxhash64("doc"), F.lit(n_shards)).cast("int").alias("shard")
+    none = F.lit(None).cast("long")
+    no_text, no_places = F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<int>").alias("places")
+    every = wanted.select("doc", none.alias("order"), none.alias("key"), no_text, "places").unionByName(copies.select(doc, "order", "key", no_text, F.array().cast("array<int>").alias("places")))
+    every = every.unionByName(texts.select(doc, "order", "key", "text", no_places)).withColumn("shard", dealt)
     every = every.repartition(min(n_shards, common.shuffle_partitions(docs.sparkSession)), "shard").sortWithinPartitions("shard", F.col("places").isNull())
     windows = every.mapInArrow(_streamed(window, phrase, in_hand), "order long, key long, at int, high long, low long, covered boolean")
     least = F.min("order").over(W.partitionBy("high", "low"))  # a few rows for each task at most

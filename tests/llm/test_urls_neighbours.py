@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -54,6 +56,84 @@ def test_many_segments_become_a_wildcard(spark):
     assert got.select("template").distinct().count() == 1
 
 
+def templates_by_hand(counts):
+    """{(host, shape): (template, purity)} of {(host, shape): (n, labelled, good)}, level by level."""
+    place, up = {k: "" for k in counts}, {k: "" for k in counts}
+    for level in range(1, max(len(s) for _, s in counts) + 1):
+        seen = {}
+        for (host, shape), c in counts.items():
+            if len(shape) >= level:
+                own = seen.setdefault((host, place[host, shape]), {}).setdefault(shape[level - 1], [0, 0, 0])
+                own[:] = [x + y for x, y in zip(own, c)]
+        step = {}
+        for at, below in seen.items():
+            pages = sum(c[0] for c in below.values())
+            if (len(below) > urls.CHILDREN and len(below) > urls.SPREAD * pages) or len(below) > urls.MANY:
+                step |= {(at, s): "*" for s in below}
+                continue
+            groups, before = [], None
+            for s, (_, n, g) in sorted(((s, c) for s, c in below.items() if c[1]), key=lambda x: (x[1][2] / x[1][1], x[0])):
+                z = 0
+                if before and 0 < (p := (g + before[1]) / (n + before[0])) < 1:
+                    z = (g / n - before[1] / before[0]) / (p * (1 - p) * (1 / n + 1 / before[0])) ** 0.5
+                if before is None or z >= urls.Z:
+                    groups.append([])
+                groups[-1].append(s)
+                before = (n, g)
+            for group in [*groups, [s for s, c in below.items() if not c[1]]]:
+                step |= {(at, s): min(group) + "~" * (len(group) > 1) for s in group}
+        for key in counts:
+            if len(key[1]) >= level:
+                up[key] = place[key]
+                place[key] += "/" + step[(key[0], up[key]), key[1][level - 1]]
+    def total(keys):
+        return [sum(counts[k][i] for k in keys) for i in (1, 2)]
+    def smooth(keys, prior):
+        n, g = total(keys)
+        return (g + urls.WEIGHT * prior) / (n + urls.WEIGHT)
+    n, g = total(counts)
+    out = {}
+    for key in counts:
+        hosts = [k for k in counts if k[0] == key[0]]
+        ups = [k for k in hosts if up[k] == up[key]]
+        leaf = [k for k in ups if place[k] == place[key]]
+        out[key] = place[key], smooth(leaf, smooth(ups, smooth(hosts, (g + 1) / (n + 2))))
+    return out
+
+
+def test_templates_are_those_of_the_tree_by_hand(spark):
+    random.seed(5)
+    counts = {}
+    for _ in range(600):
+        host, depth = random.choice("hijk"), random.choice([0, 1, 2, 3, 12])
+        shape = tuple(random.choice("abcdef") + random.choice(["", "", str(random.randint(0, 40) if host == "k" else "")]) for _ in range(depth))
+        n = random.randint(1, 30)
+        labelled = random.choice([0, 0, random.randint(0, n)])
+        good = labelled if shape[:1] == ("a",) else sum(random.random() < (0.1 if "c" in shape else 0.8) for _ in range(labelled))
+        counts[host, shape] = (n, labelled, good)
+    rows = [(h, list(s), *c) for (h, s), c in counts.items()]
+    got = urls.templates(spark.createDataFrame(rows, "host string, shape array<string>, n long, labelled long, good long")).collect()
+    expected = templates_by_hand(counts)
+    assert len(got) == len(expected)
+    for r in got:
+        template, purity = expected[r.host, tuple(r.shape)]
+        assert r.template == template and abs(r.purity - purity) < 1e-12
+
+
+def test_deep_paths_are_judged_to_their_ends(spark):
+    deep = "http://h.test/" + "/".join("abcdefghijk")
+    rows = [(i, f"{deep}/{'good' if i % 2 else 'bad'}/{i}") for i in range(200)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(i, i % 2) for i in range(100)], "page_id long, good int")).collect()
+    assert {(r.page_id % 2, r.verdict) for r in got} == {(1, "allow"), (0, "block")}
+
+
+def test_rules_label_the_pages_that_they_fit(spark):
+    rows = [(i, f"http://x.com/en/{i}") for i in range(30)] + [(100 + i, f"http://x.com/en{i % 2}/a") for i in range(10)] + [(200, "http://y.test/a"), (200, "http://y.test/a")]
+    rows += [(300 + i, f"http://example.net/d{k}/{i}") for i, k in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(400 + i, f"http://example.net/de/8{i}") for i in range(9)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == len(rows) and {(r.host, r.rule, r.verdict) for r in got} == {("x.com", "com/en/", "block"), ("x.com", None, "allow"), ("y.test", None, "allow"), ("example.net", "example.net/de/8", "block"), ("example.net", "net/de/", "allow"), ("example.net", None, "block")}
+
+
 def test_no_pages(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, good int")).count() == 0
 
@@ -92,3 +172,23 @@ def test_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (3, [1.0, 3.0])], schema)
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.search(few, few.filter("vec_id = 0")).collect()] == [(0, 1, 3)]
     assert neighbours.search(few.limit(0), few.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("width", [16, 64])
+def test_few_parts_hold_the_neighbours_of_vectors_that_were_never_seen(width):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((150, width)) * 2
+    x = (centres[rng.integers(0, 150, 9000)] + 0.6 * rng.standard_normal((9000, width))).astype(np.float32)
+    parts = 64
+    model, probes = neighbours.fit(x[: neighbours.SAMPLE], parts)
+    order = np.argsort(-neighbours.scores(model, x), axis=1, kind="stable")
+    asked = np.arange(neighbours.SAMPLE, len(x), 50)
+    near, rank = neighbours.nearest(x, 10, asked), np.argsort(order[asked], axis=1)
+    recall = (rank[np.repeat(np.arange(len(asked)), 10), order[near.reshape(-1), 0]] < probes).mean()
+    assert recall >= 0.9 and probes <= parts / 5
+
+
+def test_vectors_of_doubles_stay_doubles(spark):
+    rows = [(100 * i, [1.0 + i * 1e-12, 2.0]) for i in range(5)]
+    got = neighbours.search(df := spark.createDataFrame(rows, "vec_id long, embedding array<double>"), df.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [100, 200, 300, 400] and all(r.score > 0 for r in got)
