@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,10 +22,12 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine) a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, and all runs on one machine, a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: tables between steps need a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="tessera-"))
         atexit.register(shutil.rmtree, _own_folder[0], True)
@@ -43,20 +46,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(df: DataFrame, group: str, order: list, into: str, rows_per_bucket: int = 4_000) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list, into: str, rows_per_bucket: int = 4_000, broadcast_rows: int = 400_000) -> DataFrame:
     """Adds ``into``: the rank from 0 of each row in its ``group``, by ``order`` (columns that make rows distinct).
 
     A group may hold any share of the rows: the rows of each group are cut into buckets of equal ranges of a
-    hash of ``order``, ranked inside the bucket, and moved by the counts of the buckets before. Only those
-    counts, one row for each group and bucket, are summed by window. Ranks follow the hash, so they also
-    shuffle the group. ``df`` is read twice and must give the same rows each time.
+    digest of ``order``, ranked inside the bucket, and moved by the counts of the buckets before. Only those
+    counts, one row for each group and bucket, are summed by window; they are broadcast if they are
+    ``broadcast_rows`` at most. Ranks follow the digest, so they also shuffle the group. ``df`` is read twice and
+    must give the same rows each time; its columns may have any names but _h, _b, _g, _c, _before and _r.
     """
-    n = df.count()
+    n, groups = df.select(F.count("*"), F.approx_count_distinct(group)).first()
     buckets = 1 << min(16, max(4, math.ceil(math.log2(max(1, n / rows_per_bucket)))))
-    keyed = df.withColumn("_h", F.xxhash64(*order)).withColumn("_b", F.shiftrightunsigned("_h", 64 - int(math.log2(buckets))).cast("int"))
+    keyed = df.withColumn("_h", F.md5(F.concat_ws(" ", *[F.col(c).cast("string") for c in order]))).withColumn("_b", F.shiftright(F.conv(F.substr("_h", F.lit(1), F.lit(4)), 16, 10).cast("int"), 16 - int(math.log2(buckets))))
     counts = keyed.groupBy(group, "_b").agg(F.count("*").alias("_n"))
     before = W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     moved = counts.select(F.col(group).alias("_g"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    moved = F.broadcast(moved) if 2 * (groups + 1) * buckets <= broadcast_rows else moved
     inside = W.partitionBy(group, "_b").orderBy("_h", *order)
     out = keyed.withColumn("_r", F.row_number().over(inside) - 1)
     out = out.join(moved, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c")))

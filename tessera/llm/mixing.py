@@ -18,6 +18,8 @@ from . import common
 
 BLOCK_DOCS = 16
 PERIOD = 1024
+#: No more rows of shares and schedule than this are broadcast, 16 MB.
+BROADCAST_ROWS = 200_000
 
 
 def shares(counts: DataFrame, temperature: float = 0.5, period: int = PERIOD) -> DataFrame:
@@ -68,22 +70,46 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, block_docs: int = BLO
     ``targets``: (source, q), whole shares of the period; by default from the counts, damped by
     ``temperature``. Every row stays, once: as long as all sources have blocks, each is within less than one
     block of its share of the slots so far; the slots of a source that has run out are passed over. Documents
-    of a source are dealt to its blocks in the order of a hash of doc_id. A null source is a source. Repeated
-    rows are told apart by a number of their own, so each gets its own place. Sources that have no target share one.
+    of a source are dealt to its blocks in the order of the MD5 digest of doc_id as text. A null source is a source. Repeated
+    rows are told apart by a number of their own, so each gets its own place. Sources that have no target share
+    one. An empty table gives an empty mix. Columns named block, slot or place are replaced; others, of whatever name and size, pass.
     """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")).withColumns({"source": F.col("_doc.source"), "doc_id": F.col("_doc.doc_id")})
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
     wanted = shares(counts, temperature, period) if targets is None else counts.join(targets.select(F.col("source").alias("_s"), F.col("q").cast("long")), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", F.coalesce("q", F.lit(1)).alias("q"))
-    plan = schedule(wanted).select(F.col("source").alias("_s"), F.col("k").alias("_k"), F.col("q").alias("_q"), F.col("slot").alias("_slot"), F.col("period").alias("_period"))
-    share = wanted.select(F.col("source").alias("_s"), F.col("q").alias("_q"))
-    rows = common.ranked(docs, "source", ["doc_id", *[c for c in ("_row",) if c in docs.columns]], "_rank")
+    slots, sources = wanted.agg(F.coalesce(F.sum("q"), F.lit(0)), F.count("*")).first()
+    small = F.broadcast if slots + sources <= BROADCAST_ROWS else lambda df: df  # so many rows have both tables that are joined
+    plan = small(schedule(wanted).select(F.col("source").alias("_s"), F.col("k").alias("_k"), F.col("slot").alias("_slot"), F.col("period").alias("_period")))
+    share = small(wanted.select(F.col("source").alias("_s"), F.col("q").alias("_q")))
+    rows = common.ranked(whole, "source", ["doc_id"], "_rank")
     placed = rows.withColumn("block", F.expr(f"_rank div {int(block_docs)}")).withColumn("place", (F.col("_rank") % block_docs).cast("int"))
-    # both tables have at most period + one row for each source: Spark broadcasts them if they are small
-    placed = placed.join(share, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_j", F.col("block") % F.col("_q")).withColumn("_turn", F.expr("block div _q")).drop("_q")
+    placed = placed.join(share, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_j", F.col("block") % F.col("_q")).withColumn("_turn", F.expr("block div _q"))
     placed = placed.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_j") == F.col("_k")))
-    return placed.withColumn("slot", F.col("_turn") * F.col("_period") + F.col("_slot")).drop("_rank", "_j", "_turn", "_s", "_k", "_q", "_slot", "_period")
+    own = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in ("block", "slot", "place")]
+    return placed.select(*own, "block", (F.col("_turn") * F.col("_period") + F.col("_slot")).alias("slot"), "place")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, block, slot, place of all documents."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source")
     return mix(docs).select("doc_id", "source", "block", "slot", "place")
+
+
+SQL = f"""
+WITH RECURSIVE wanted AS (
+    SELECT source, greatest(1, round(pow(n, 0.5) / sum(pow(n, 0.5)) OVER () * {PERIOD}))::BIGINT AS q FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)
+), numbered AS (SELECT source, q, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM wanted),
+one AS (SELECT list(q ORDER BY i) AS qs, sum(q)::BIGINT AS period FROM numbered),
+run AS (
+    SELECT -1::BIGINT AS slot, [0::BIGINT FOR q IN qs] AS done, -1::BIGINT AS i, 0::BIGINT AS k FROM one
+    UNION ALL
+    SELECT slot + 1, list_transform(range(1, len(done) + 1), lambda j: done[j] + (j - 1 = next)::BIGINT), next, done[next + 1]
+    FROM (
+        SELECT slot, done, list_min(list_transform(range(1, len(qs) + 1), lambda j: CASE WHEN done[j] < qs[j] AND done[j] * period < (slot + 2) * qs[j]
+            THEN ((done[j] + 1) * period + qs[j] - 1) // qs[j] * 1000000 + j - 1 END)) % 1000000 AS next
+        FROM run, one WHERE slot + 1 < period
+    )
+), dealt AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - 1 AS r FROM documents)
+SELECT doc_id, d.source, r // {BLOCK_DOCS} AS block, (r // {BLOCK_DOCS} // q * period + slot)::BIGINT AS slot, (r % {BLOCK_DOCS})::INTEGER AS place
+FROM dealt d JOIN numbered n ON d.source IS NOT DISTINCT FROM n.source JOIN run ON run.i = n.i AND run.k = r // {BLOCK_DOCS} % q, one
+"""

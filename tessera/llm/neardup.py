@@ -267,3 +267,18 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BA
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id of every document."""
     return near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+sets AS (
+    SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(words) - {SHINGLE - 2}, 2)), lambda i: array_to_string(words[i : i + {SHINGLE - 1}], ' ')))) AS shingle FROM texts WHERE len(words) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+meets AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM sets x JOIN sets y USING (shingle) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+edges AS (
+    SELECT a, b FROM meets JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE m >= {SIMILARITY} * (x.n + y.n - m) - 1e-9
+    UNION SELECT x.doc_id, y.doc_id FROM texts x JOIN texts y ON x.text = y.text AND x.doc_id < y.doc_id
+), either AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+reached AS (SELECT doc_id, doc_id AS other FROM texts UNION SELECT doc_id, b FROM reached JOIN either ON other = a)
+SELECT doc_id, min(other) AS class_id FROM reached GROUP BY doc_id
+"""

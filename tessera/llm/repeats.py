@@ -240,3 +240,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     found = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i : i + {WINDOW - 1}], ' ') AS own FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM texts)),
+least AS (SELECT own, min(doc_id) AS first FROM windows GROUP BY own HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM windows JOIN least USING (own) WHERE doc_id > first) GROUP BY doc_id),
+held AS (
+    SELECT doc_id, words, CASE WHEN places IS NULL THEN words ELSE list_transform(list_filter(range(1, len(words) + 1), lambda p: NOT list_contains(places, p)), lambda p: words[p]) END AS kept
+    FROM texts LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, len(words) AS n_words, len(words) - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM held
+"""

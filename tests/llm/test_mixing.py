@@ -44,3 +44,32 @@ def test_given_targets_and_an_empty_table(spark):
     found = places(mixing.mix(docs, targets, block_docs=1))
     assert [x[2] for x in found[:8]].count("a") == 6 and len(found) == 40
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_the_schedule_is_that_of_a_plain_loop(spark):
+    shares = {"a": 13, "b": 3, "c": 1, "d": 7, "e": 40}
+    got = sorted((r.slot, r.source, r.k) for r in mixing.schedule(spark.createDataFrame(list(shares.items()), "source string, q long")).collect())
+    total, done, expected = sum(shares.values()), dict.fromkeys(shares, 0), []
+    for slot in range(total):
+        released = [(-(-(done[s] + 1) * total // q), s) for s, q in shares.items() if done[s] < q and done[s] * total < (slot + 1) * q]
+        _, s = min(released)
+        expected.append((slot, s, done[s]))
+        done[s] += 1
+    assert got == expected
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["_b", "_h", "_r", "_rank", "_row", "_doc", "_s", "_q", "a.b", "k", "q"]
+    docs = spark.createDataFrame([(i, f"s{i % 2}", *[f"{n}{i}" for n in names], i) for i in range(50)], "doc_id long, source string, " + ", ".join(f"`{n}` string" for n in names) + ", slot long")
+    got = mixing.mix(docs, block_docs=2, period=16)
+    assert got.columns == ["doc_id", "source", *names, "block", "slot", "place"]
+    rows = got.collect()
+    assert len(rows) == 50 and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    plain = mixing.mix(docs.select("doc_id", "source"), block_docs=2, period=16)
+    assert sorted((r.doc_id, r.slot, r.place) for r in rows) == sorted((r.doc_id, r.slot, r.place) for r in plain.collect())
+
+
+def test_one_hot_source_and_null_ids(spark):
+    rows = [(i, "hot") for i in range(500)] + [(None, "hot")] * 200 + [(i, None) for i in range(9)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_docs=4, period=8).collect()
+    assert len({(r.slot, r.place) for r in got}) == len(rows)

@@ -45,3 +45,36 @@ def test_run_gives_the_last_stage(spark, folder):
 
 def test_the_queries_are_all_there():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+def test_empty_tables_stay_empty(spark, folder):
+    docs = common.table(spark, folder, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.written(stage(spark, docs, folder), name)
+        assert docs.count() == 0
+
+
+def test_repeated_rows_nulls_and_long_texts(spark, folder, tmp_path):
+    random.seed(7)
+    text = lambda n: " ".join(random.choice(["the", "ing", "th"]) + str(random.randint(0, 99)) for _ in range(n))
+    short, long = text(40), text(30_000)
+    rows = [(1, short, "en", "a"), (1, short, "en", "a"), (None, text(60), None, None), (None, None, None, None), (2, "", "en", "a"), (3, long, "en", "b"), (4, text(60), "en", None)]
+    spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {None, 1, 3, 4} and sum(r.doc_id == 1 for r in got) == 1
+    assert sum(r.length for r in got if r.doc_id == 3) > packing.CAPACITY
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    rows = [(i, f"the {i}", "en", "ab"[i % 4 == 0], 5) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mixed(spark, docs, "")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored = common.written(mixed, "mixing")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    source = {r[0]: r[3] for r in rows}
+    got = corpus_pipeline.packed(spark, stored, "").orderBy("sequence_id").collect()
+    first = [source[r.doc_id] for r in got[:1000]]
+    assert 0.3 < first.count("b") / 1000 < 0.5  # damped weights: 0.37 of the mix, against a quarter of the rows

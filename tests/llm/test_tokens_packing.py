@@ -113,3 +113,18 @@ def test_sweeps_are_best_fit_decreasing():
         assert sum(end - first for _, first, end, _, _ in plan) == len(lengths)
         assert all(sum(n for _, n in held) <= capacity for held in used.values())
         assert len(used) == len(gaps)
+
+
+def test_windows_are_packed_each_on_its_own(spark):
+    random.seed(3)
+    rows = [(i, "word " * random.randint(0, 30), random.choice([0, 1, 2, None])) for i in range(200)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, run long"), capacity=40, window="run").collect()
+    window, of = {i: w or 0 for i, _, w in rows}, {}
+    for r in got:
+        of.setdefault(r.sequence_id, set()).add(window[r.doc_id])
+    assert {r.doc_id for r in got} == set(window) and all(len(x) == 1 for x in of.values())
+    order = [min(of[k]) for k in sorted(of)]
+    assert order == sorted(order)
+    for w in (0, 1, 2):
+        own = sum(r.length for r in got if window[r.doc_id] == w)
+        assert sum(w in x for x in of.values()) <= own / 40 * 1.1 + 1
