@@ -20,6 +20,8 @@ from . import common, hashing
 
 SAMPLE, CELLS = 300, 1 << 13
 UNKNOWN = "und"
+#: About so many bytes of text are scored in one go: each takes four for each machine.
+SCORED = 250_000
 #: ISO 639-1 codes of some families; any other language is a family of its own.
 FAMILIES = {"germanic": "en de nl sv da no is", "romance": "fr es it pt ro ca", "slavic": "ru pl cs sk uk bg sr hr sl", "uralic": "fi et hu", "turkic": "tr az kk"}
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
@@ -179,7 +181,7 @@ def identify(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, keep: tupl
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in hashing.slices(batch):
+            for some in hashing.slices(batch, size=SCORED):
                 if model:
                     langs, score = decide(model, margins(some.column("text"), model["weights"]))
                 else:
