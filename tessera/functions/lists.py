@@ -19,6 +19,7 @@ PII = (
     ("DOB-REDACTED", r"\b(?:0?[1-9]|1[0-2])/(?:0?[1-9]|[12]\d|3[01])/(?:19|20)\d{2}\b"),
     ("DOB-REDACTED", r"\b(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\b"),
     ("CC-REDACTED", r"\b(?:\d{4}[-\s]?){3}\d{4}\b"),
+    ("ROUTING-REDACTED", r"\b\d{9}\b(?=.{0,20}routing)"),
 )
 
 # fixed values: signs of a question that takes a larger model
@@ -44,6 +45,9 @@ INTENTS = {
     "dec_page": r"(?i)(?:declaration|dec\s+page)",
     "earthquake": r"(?i)\b(?:earthquake|quake|seismic)\b",
     "property": r"(?i)\b(?:property|building|structure)\b",
+    "gl": r"(?i)(?:general\s+liab|(?<!\w)gl(?!\w)|commercial\s+general)",
+    "workers_comp": r"(?i)(?:workers?\s+comp|(?<!\w)wc(?!\w))",
+    "do": r"(?i)(?:d\s*&\s*o|directors\s+and\s+officers)",
     "crime": r"(?i)(?:crime|fidelity|employee\s+dishonesty)",
     "epli": r"(?i)(?:epli|employment\s+practices)",
     "umbrella": r"(?i)\b(?:umbrella|excess)\b",

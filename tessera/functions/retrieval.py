@@ -16,27 +16,47 @@ def top_k(df: DataFrame, group: str, score: str, key: str, k: int) -> DataFrame:
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+#: Queries up to this many are broadcast to the vectors: at 1,024 dimensions 80 MB.
+BROADCAST_PROBES = 10_000
+#: Query terms up to this many are broadcast to the documents' tokens: about 50 MB.
+BROADCAST_TERMS = 500_000
+
+
 def dense(probes: DataFrame, vectors: DataFrame, k: int, least: float | None = None, allowed: Column | None = None, digits: int = 6) -> DataFrame:
     """(query_id, vec_id, score, rank): cosine of (query_id, probe) and (vec_id, embedding, ...), filtered before it is ranked.
 
-    ``probes`` is a bounded list of queries (it is broadcast); for very many queries use partitions of vectors.
+    Each query is compared with every vector. Up to BROADCAST_PROBES of them are counted and broadcast; Spark
+    compares more block by block.
     """
     rows = vectors if allowed is None else vectors.filter(allowed)
-    scored = rows.join(F.broadcast(probes)).select("query_id", "vec_id", F.round(cosine("embedding", "probe"), digits).alias("score"))
+    probes = F.broadcast(probes) if probes.limit(BROADCAST_PROBES + 1).count() <= BROADCAST_PROBES else probes
+    scored = rows.crossJoin(probes).select("query_id", "vec_id", F.round(cosine("embedding", "probe"), digits).alias("score"))
     scored = scored if least is None else scored.filter(F.col("score") >= least)
     return top_k(scored, "query_id", "score", "vec_id", k)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, key, score) of (query_id, terms); the textbook weights. Only postings of the queries' terms move."""
-    terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    counted = docs.select(key, ascii_tokens(text, 2).alias("tokens")).select(key, F.size("tokens").alias("len"), "tokens")
-    whole = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
-    posting = counted.select(key, "len", F.explode("tokens").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term").groupBy("term", key, "len").agg(F.count("*").alias("tf"))
-    df = posting.groupBy("term").agg(F.count("*").alias("df"))
+    """(query_id, key, score) of (query_id, terms); the textbook weights.
+
+    Documents are read and tokenised once: each gives its tokens and an empty one that stands for itself. Only
+    tokens of the queries and the empty ones are counted and moved; document frequencies, the number of
+    documents and their mean length come from the same counts, which one exchange serves.
+    """
+    terms = queries.select("query_id", F.explode("terms").alias("term")).distinct()
+    wanted = terms.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else wanted
+    counted = docs.select(key, ascii_tokens(text, 2).alias("tokens"))
+    each = counted.select(key, F.size("tokens").alias("len"), F.explode_outer(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
+    posting = each.join(wanted.select(F.col("term").alias("asked")), F.col("term") == F.col("asked"), "left").filter("term IS NOT NULL AND (term = '' OR asked IS NOT NULL)")
+    posting = posting.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
+    # the aggregates below all read tf, so that the plans of the three branches are alike down to their exchange
+    docs_of = F.sum(F.when(F.col("term") == "", F.col("tf")))
+    whole = posting.agg(docs_of.alias("n"), (F.sum(F.when(F.col("term") == "", F.col("tf") * F.col("len"))) / docs_of).alias("mean_len"))
+    df = posting.groupBy(F.col("term").alias("of")).agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    return posting.join(df, "term").join(terms, "term").join(F.broadcast(whole)).groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
+    found = posting.join(df, F.col("term") == F.col("of")).join(terms.withColumnRenamed("term", "t"), F.col("term") == F.col("t")).crossJoin(F.broadcast(whole))  # one row
+    return found.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def fuse(a: DataFrame, b: DataFrame, key: str, k: int = 60) -> DataFrame:

@@ -45,5 +45,6 @@ def keyword_lookup(queries: DataFrame, keywords: DataFrame, query_id: str, entry
     often = rare.groupBy("t").agg(F.count("*").alias("n"))
     chosen = rare.join(often, "t").groupBy(entry_id).agg(F.min_by("t", F.struct("n", "t")).alias("t"))
     entries = keywords.join(chosen, entry_id).select(entry_id, "t", F.col("tokens").alias("needed"))
-    asked = queries.select(query_id, "tokens", F.explode("tokens").alias("t"))
-    return asked.join(entries, "t").filter(F.size(F.array_except("needed", "tokens")) == 0).select(query_id, entry_id)
+    asked = queries.select(query_id, F.explode("tokens").alias("t"))  # token by token, without the whole list beside each
+    found = asked.join(entries, "t").select(query_id, entry_id, "needed").join(queries.select(query_id, "tokens"), query_id)
+    return found.filter(F.size(F.array_except("needed", "tokens")) == 0).select(query_id, entry_id)

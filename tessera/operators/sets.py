@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .windows import ranked
+
 
 def union_tagged(parts: dict[str, DataFrame], into: str) -> DataFrame:
     """UNION ALL of frames, each with its name in a column."""
@@ -20,11 +22,15 @@ def first_found(parts: list[DataFrame], key: str) -> DataFrame:
     return every.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy("_p"))).filter("_k = 1").drop("_k", "_p")
 
 
-def interleave(df: DataFrame, lists: str, order: list[Column], text: str, prefix: int = 200) -> DataFrame:
-    """(rows, place): lists merged position by position; of rows with the same first ``prefix`` characters the first stays."""
-    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(lists).orderBy(*order)))
-    first = W.partitionBy(F.substring(text, 1, prefix)).orderBy("_r", lists)
-    return ranked.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k").withColumnRenamed("_r", "place")
+def interleave(df: DataFrame, lists: str, key: str, text: str, prefix: int = 200) -> DataFrame:
+    """(lists, key, place): lists, each in order of a key, merged position by position; of rows with the same first ``prefix`` characters the first stays.
+
+    A digest of those characters stands for them, so no text is ranked or moved.
+    """
+    start = df.select(lists, key, F.md5(F.substring(text, 1, prefix)).alias("_p"))
+    rows = ranked(start, lists, key).select(lists, key, F.col("_rank").alias("place")).join(start, [lists, key])
+    first = rows.groupBy("_p").agg(F.min(F.struct("place", lists, key)).alias("f"))
+    return first.select(f"f.{lists}", f"f.{key}", "f.place")
 
 
 def by_content(df: DataFrame, text: str, key: str) -> DataFrame:

@@ -38,13 +38,31 @@ def fit_and_skip(df: DataFrame, group: str, order: Column, key: str, cost: str,
     return held.select(group, F.explode(taken).alias(key))
 
 
-def spread_sample(df: DataFrame, group: list[str], order: list[Column], each: int = 3) -> DataFrame:
-    """Of each group the first, the middle and the last ``each`` rows; small groups whole."""
-    k = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    rows = df.withColumn("_k", k).withColumn("_n", F.count("*").over(W.partitionBy(*group)))
-    middle = F.floor(F.col("_n") / 2) - F.floor(F.lit(each) / 2)
-    keep = (F.col("_n") <= 3 * each) | (F.col("_k") <= each) | (F.col("_k") > F.col("_n") - each) | ((F.col("_k") > middle) & (F.col("_k") <= middle + each))
-    return rows.filter(keep).drop("_k", "_n")
+def ranked(df: DataFrame, group: str, key: str, buckets: int = 256) -> DataFrame:
+    """(group, key, _rank, _size): the rank from 1 of each row in its group by ``key``, a number that is no row's twice, and the group's size.
+
+    A few groups may hold all rows: each is cut into ranges of the key, ranked inside them, and moved by the
+    counts of the ranges before. Only those counts, ``buckets`` for each group, are summed by group.
+    """
+    rows = df.select(group, key)
+    ends = rows.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))  # one row
+    place = F.least(F.floor((F.col(key) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * buckets), F.lit(buckets - 1))
+    rows = rows.crossJoin(F.broadcast(ends)).withColumn("_b", F.coalesce(place, F.lit(-1))).drop("_low", "_high")
+    counts = rows.groupBy(group, "_b").agg(F.count("*").alias("_c"))
+    before = W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(F.col(group).alias("_g"), F.col("_b").alias("_at"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy(group)).alias("_size"))
+    inside = rows.withColumn("_k", F.row_number().over(W.partitionBy(group, "_b").orderBy(key)))
+    found = inside.join(counts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_at")))
+    return found.select(group, key, (F.col("_before") + F.col("_k")).alias("_rank"), "_size")
+
+
+def spread_sample(df: DataFrame, group: str, key: str, each: int = 3) -> DataFrame:
+    """Of each group the first, the middle and the last ``each`` rows by ``key``; small groups whole. Keys are ranked, the other columns come to those that are left."""
+    k, n = F.col("_rank"), F.col("_size")
+    middle = F.floor(n / 2) - F.floor(F.lit(each) / 2)
+    keep = (n <= 3 * each) | (k <= each) | (k > n - each) | ((k > middle) & (k <= middle + each))
+    chosen = ranked(df, group, key).filter(keep).select(F.col(group).alias("_g"), F.col(key).alias("_key"))
+    return df.join(chosen, F.col(group).eqNullSafe(F.col("_g")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
 
 def versions(df: DataFrame, key: str, begin: str) -> DataFrame:
@@ -53,7 +71,11 @@ def versions(df: DataFrame, key: str, begin: str) -> DataFrame:
 
 
 def greedy_distinct(df: DataFrame, group: str, order: list[str], key: str, items: str, threshold: float) -> DataFrame:
-    """(group, key) of the rows kept when each is dropped whose Jaccard similarity with a kept one is above the threshold. Groups are small."""
+    """(group, key) of the rows kept when each is dropped whose Jaccard similarity with a kept one is above the threshold.
+
+    A row depends on all kept before it, so a group is folded in one row: for groups that something else bounds,
+    such as a query's candidates or a conversation.
+    """
     from ..functions.text import jaccard
 
     held = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(key).alias("k"), F.col(items).alias("i")))).alias("l"))

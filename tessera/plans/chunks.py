@@ -119,8 +119,8 @@ def table_name_slug(t):
 
 @query(
     "row_value_samples",
-    """WITH s AS (SELECT 'p_type' AS name, lower(trim(p_type)) AS value, min(p_partkey) AS k FROM part GROUP BY 2 UNION ALL SELECT 'p_brand', lower(trim(p_brand)), min(p_partkey) FROM part GROUP BY 2 UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), min(p_partkey) FROM part GROUP BY 2)
-       SELECT name, value FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k, value) AS r FROM s) WHERE r <= 50""",
+    """WITH s AS (SELECT 'p_type' AS name, lower(trim(p_type)) AS value, min(p_partkey) AS k FROM part GROUP BY 2 UNION ALL SELECT 'p_brand', lower(trim(p_brand)), min(p_partkey) FROM part GROUP BY 2 UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), min(p_partkey) FROM part GROUP BY 2 UNION ALL SELECT 'p_retailprice', CAST(p_retailprice AS VARCHAR), min(p_partkey) FROM part GROUP BY 2)
+       SELECT name, value FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k, value) AS r, count(*) OVER (PARTITION BY name) AS n FROM s) WHERE r <= 50 AND n <= 200""",
 )
 def row_value_samples(t):
     return ch.value_samples(t.part, "p_partkey", ["p_type", "p_brand", "p_size", "p_retailprice"])

@@ -56,15 +56,15 @@ def route_threshold(t):
 
 @query(
     "route_curated_qa",
-    """WITH c AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]{2,}'))) AS toks FROM conversations),
-            k AS (SELECT item_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]{2,}'))))[1:3] AS need FROM benchmark)
-       SELECT conv_id, turn, min(item_id) AS item_id FROM c, k WHERE len(need) > 0 AND list_has_all(toks, need) GROUP BY ALL""",
+    """WITH c AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]{2,}'))) AS toks FROM documents),
+            k AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]{2,}'))) AS need FROM benchmark)
+       SELECT doc_id, min(item_id) AS item_id FROM c, k WHERE len(need) > 0 AND list_has_all(toks, need) GROUP BY ALL""",
 )
 def route_curated_qa(t):
-    """The first curated item (priority: its id) all of whose three keywords a message has."""
-    messages = t.conversations.select(F.struct("conv_id", "turn").alias("q"), tokens("text").alias("tokens"))
-    items = t.benchmark.select("item_id", F.slice(F.array_sort(tokens("text")), 1, 3).alias("tokens")).filter(F.size("tokens") > 0)
-    return jn.keyword_lookup(messages, items, "q", "item_id").groupBy("q").agg(F.min("item_id").alias("item_id")).select("q.conv_id", "q.turn", "item_id")
+    """The first curated item (priority: its id) all of whose keywords a document has."""
+    texts = t.documents.select("doc_id", tokens("text").alias("tokens"))
+    items = t.benchmark.select("item_id", tokens("text").alias("tokens")).filter(F.size("tokens") > 0)
+    return jn.keyword_lookup(texts, items, "doc_id", "item_id").groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
 
 
 @query("route_action", "SELECT doc_id, c AS confidence, CASE WHEN c >= 40 THEN 'CITE' ELSE 'ROUTE' END AS action FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN o WHEN doc_id % 3 = 1 THEN least(o, 50) ELSE least(o, 30) END AS c FROM (SELECT doc_id, CAST(doc_id * 7 % 101 AS INTEGER) AS o FROM documents))")

@@ -83,16 +83,15 @@ def join_cross_candidates(t):
 
 @query(
     "join_trigger_lookup",
-    """WITH k AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))[1:2] AS needed FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 1),
-            c AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]{2,}'))) AS toks FROM conversations)
-       SELECT conv_id, turn, item_id FROM c, (SELECT item_id, list_sort(list_distinct(list_filter(needed, lambda x: length(x) >= 2))) AS need FROM (SELECT item_id, list_filter(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]{2,}'))))[1:4], lambda x: true) AS needed FROM benchmark)) k2
-       WHERE len(need) > 0 AND list_has_all(toks, need)""",
+    """WITH c AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]{2,}'))) AS toks FROM documents),
+            k AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]{2,}'))) AS need FROM benchmark)
+       SELECT doc_id, item_id FROM c, k WHERE len(need) > 0 AND list_has_all(toks, need)""",
 )
 def join_trigger_lookup(t):
-    """Entries of which all keywords (here the first four tokens of a benchmark item, in order of letters) are in a message."""
-    asked = t.conversations.select(F.struct("conv_id", "turn").alias("q"), tokens("text").alias("tokens"))
-    entries = t.benchmark.select("item_id", F.slice(F.array_sort(tokens("text")), 1, 4).alias("tokens")).filter(F.size("tokens") > 0)
-    return jn.keyword_lookup(asked, entries, "q", "item_id").select("q.conv_id", "q.turn", "item_id")
+    """Entries (here benchmark items) of which all keywords are in a document."""
+    asked = t.documents.select("doc_id", tokens("text").alias("tokens"))
+    entries = t.benchmark.select("item_id", tokens("text").alias("tokens")).filter(F.size("tokens") > 0)
+    return jn.keyword_lookup(asked, entries, "doc_id", "item_id")
 
 
 @query("join_dual_registry_override", "SELECT table_name, CASE WHEN n_regionkey % 2 = 0 THEN 'document' ELSE 'sheet' END AS registry FROM (SELECT n_name AS table_name, n_regionkey FROM nation)")

@@ -62,7 +62,7 @@ def udf_nl2sql(t):
 @query("udf_summary_chunk")
 def udf_summary_chunk(t):
     """Each source's nine sample documents and what a summary would be made from."""
-    rows = win.spread_sample(t.documents, ["source"], [F.col("doc_id")])
+    rows = win.spread_sample(t.documents, "source", "doc_id")
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length(F.substring("text", 1, 500))).alias("n_chars"))
 
 

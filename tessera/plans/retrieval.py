@@ -67,21 +67,20 @@ def topk_multi_query(t):
 
 _TOK = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]{2,}'))"
 _BM25 = f"""tk AS (SELECT doc_id, {_TOK} AS toks FROM documents), n AS (SELECT count(*) AS n, avg(len(toks)) AS mean_len FROM tk),
-  q AS (SELECT item_id AS query_id, unnest(list_sort(list_distinct({_TOK}))[1:5]) AS term FROM benchmark), ex AS (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM tk),
+  q AS (SELECT item_id AS query_id, unnest(list_sort(list_distinct({_TOK}))) AS term FROM benchmark), ex AS (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM tk),
   po AS (SELECT term, doc_id, len, count(*) AS tf FROM ex WHERE term IN (SELECT term FROM q) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
   lex AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean_len))), 6) AS score FROM po JOIN dfs USING (term) JOIN q USING (term), n GROUP BY ALL)"""
 
 
-def lexical(t, most=None):
-    """BM25 of all tokens of each benchmark item, or of the first ``most`` in order, as the SQL has them."""
-    terms = tokens("text") if most is None else F.slice(F.array_sort(tokens("text")), 1, most)
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), terms.alias("terms"))
+def lexical(t):
+    """BM25 of all tokens of each benchmark item."""
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), tokens("text").alias("terms"))
     return ret.bm25(t.documents, asked, "doc_id", "text")
 
 
-@query("lex_sparse_bm25", f"WITH {_BM25} SELECT query_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM lex) WHERE k <= 10")
+@query("lex_sparse_bm25", f"WITH {_BM25} SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM lex) WHERE k <= 10")
 def lex_sparse_bm25(t):
-    return ret.top_k(lexical(t, 5), "query_id", "score", "doc_id", 10).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return ret.top_k(lexical(t), "query_id", "score", "doc_id", 10).select("query_id", "doc_id", "score")
 
 
 _RRF = f"""WITH {_BM25}, l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM lex),
@@ -89,8 +88,8 @@ _RRF = f"""WITH {_BM25}, l AS (SELECT query_id, doc_id, row_number() OVER (PARTI
   f AS (SELECT query_id, doc_id, round(coalesce(1 / (60 + l.k), 0) + coalesce(1 / (60 + d.k), 0), 8) AS score FROM (SELECT * FROM l WHERE k <= 30) l FULL JOIN (SELECT * FROM d WHERE k <= 30) d USING (query_id, doc_id))"""
 
 
-def hybrid(t, prefetch=30, most=None):
-    lex = ret.top_k(lexical(t, most), "query_id", "score", "doc_id", prefetch)
+def hybrid(t, prefetch=30):
+    lex = ret.top_k(lexical(t), "query_id", "score", "doc_id", prefetch)
     own = t.benchmark.select(F.col("item_id").alias("vec_id")).join(t.embeddings, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
     near = ret.dense(own, t.embeddings, prefetch).withColumnRenamed("vec_id", "doc_id")
     return ret.fuse(lex, near, "doc_id")
@@ -98,22 +97,30 @@ def hybrid(t, prefetch=30, most=None):
 
 @query("hybrid_rrf_fusion", f"{_RRF} SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM f) WHERE k <= 10")
 def hybrid_rrf_fusion(t):
-    return ret.top_k(hybrid(t, most=5), "query_id", "score", "doc_id", 10).select("query_id", "doc_id", "score")
+    return ret.top_k(hybrid(t), "query_id", "score", "doc_id", 10).select("query_id", "doc_id", "score")
 
 
 @query("score_minmax_normalize", f"{_RRF} SELECT query_id, doc_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score FROM f WINDOW w AS (PARTITION BY query_id)")
 def score_minmax_normalize(t):
-    return hybrid(t, most=5).withColumn("score", F.round(ret.min_max("score", "query_id"), 6))
+    return hybrid(t).withColumn("score", F.round(ret.min_max("score", "query_id"), 6))
 
 
-@query("hybrid_degraded_paths")
+@query(
+    "hybrid_degraded_paths",
+    f"""WITH {_BM25}, l AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM lex WHERE score > 3) WHERE k <= 30),
+  d AS (SELECT * FROM (SELECT query_id, e.vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, e.vec_id) AS k FROM embeddings e, {_PROBES} p) WHERE k <= 30),
+  f AS (SELECT query_id, doc_id, round(coalesce(1 / (60 + l.k), 0) + coalesce(1 / (60 + d.k), 0), 8) AS score, l.k AS lk, d.k AS dk FROM l FULL JOIN d USING (query_id, doc_id)),
+  m AS (SELECT query_id, CASE WHEN count(dk) = 0 THEN 'lexical' WHEN count(lk) = 0 THEN 'dense' ELSE 'hybrid' END AS mode FROM f GROUP BY 1)
+  SELECT query_id, doc_id, score, mode FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM f) JOIN m USING (query_id) WHERE k <= 10""",
+)
 def hybrid_degraded_paths(t):
-    """Both lists where a query has lexical hits, the dense list alone where it has none."""
+    """Both lists where a query has hits in both, else the one that it has: without lexical hits the dense list, without a vector the lexical one."""
     lex = ret.top_k(lexical(t).filter("score > 3"), "query_id", "score", "doc_id", 30)
     near = ret.dense(probes(t), t.embeddings, 30).withColumnRenamed("vec_id", "doc_id")
-    has = lex.select("query_id").distinct().withColumn("mode", F.lit("hybrid"))
+    lists_ = lex.select("query_id", F.lit(1).alias("l"), F.lit(0).alias("d")).unionByName(near.select("query_id", F.lit(0).alias("l"), F.lit(1).alias("d")))
+    mode = F.when(F.max("d") == 0, "lexical").when(F.max("l") == 0, "dense").otherwise("hybrid")
     fused = ret.top_k(ret.fuse(lex, near, "doc_id"), "query_id", "score", "doc_id", 10)
-    return fused.join(has, "query_id", "left").select("query_id", "doc_id", "score", F.coalesce("mode", F.lit("dense")).alias("mode"))
+    return fused.join(lists_.groupBy("query_id").agg(mode.alias("mode")), "query_id").select("query_id", "doc_id", "score", "mode")
 
 
 _RANKED = "SELECT o_orderkey, o_custkey, o_totalprice / 600000 AS s, CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate) END AS y FROM orders"
@@ -151,14 +158,14 @@ def retrieval_quality_pipeline(t):
 
 @query(
     "semantic_cache_lookup",
-    f"""WITH c AS (SELECT p.query_id, e.vec_id, {_COS} AS s FROM {_PROBES} p, embeddings e WHERE e.vec_id % 25 <> p.query_id AND e.label < 5),
+    f"""WITH c AS (SELECT p.query_id, e.vec_id, {_COS} AS s FROM {_PROBES} p, embeddings e WHERE e.vec_id <> p.query_id AND e.label < 5),
              b AS (SELECT query_id, arg_max(vec_id, s * 1000000 - vec_id / 1000000) AS vec_id, max(s) AS s FROM c WHERE s > 0.35 GROUP BY 1)
         SELECT query_id, vec_id, s AS score FROM b""",
 )
 def semantic_cache_lookup(t):
     """For each query the cached entry with the best cosine strictly above the threshold."""
     cached = t.embeddings.filter("label < 5")
-    scored = cached.join(F.broadcast(probes(t)), F.col("vec_id") % 25 != F.col("query_id")).select("query_id", "vec_id", F.round(cosine("embedding", "probe"), 6).alias("score"))
+    scored = cached.join(F.broadcast(probes(t)), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine("embedding", "probe"), 6).alias("score"))
     best = scored.filter("score > 0.35").groupBy("query_id").agg(F.max_by(F.struct("vec_id", "score"), F.struct("score", -F.col("vec_id"))).alias("b"))
     return best.select("query_id", "b.vec_id", "b.score")
 
@@ -171,9 +178,16 @@ def backfill_sparse(t):
     return done.unionByName(todo.select("doc_id", F.size(tokens("text")).cast("long").alias("n_terms"))).withColumn("sparse_indexed", F.lit(True))
 
 
-@query("chunk_id_uuid5")
+_NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
+
+
+@query(
+    "chunk_id_uuid5",
+    f"""SELECT l_orderkey, l_linenumber, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][1 + (instr('0123456789abcdef', h[17:17]) - 1) % 4] || h[18:20] || '-' || h[21:32] AS chunk_id
+        FROM (SELECT l_orderkey, l_linenumber, sha1(unhex('{_NAMESPACE.replace("-", "")}') || encode(l_orderkey || ':' || l_linenumber)) AS h FROM lineitem)""",
+)
 def chunk_id_uuid5(t):
     """Name-based ids of chunks: SHA-1 of a namespace and 'doc:chunk', with version and variant set."""
     from ..functions.ids import uuid5
 
-    return t.lineitem.select("l_orderkey", "l_linenumber", uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.concat_ws(":", "l_orderkey", "l_linenumber")).alias("chunk_id"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", uuid5(_NAMESPACE, F.concat_ws(":", "l_orderkey", "l_linenumber")).alias("chunk_id"))

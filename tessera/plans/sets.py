@@ -60,7 +60,7 @@ def distinct_rows(t):
        SELECT doc_id, source, place FROM (SELECT *, row_number() OVER (PARTITION BY substr(text, 1, 200) ORDER BY place, source) AS k FROM r) WHERE k = 1""",
 )
 def interleave_round_robin(t):
-    return st.interleave(t.documents, "source", [F.col("doc_id")], "text").select("doc_id", "source", F.col("place").cast("long").alias("place"))
+    return st.interleave(t.documents, "source", "doc_id", "text").select("doc_id", "source", F.col("place").cast("long").alias("place"))
 
 
 @query("dedup_jaccard_greedy")

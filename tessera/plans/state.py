@@ -1,5 +1,6 @@
 """States of jobs, and events as streams and as their batch forms."""
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,10 @@ from .registry import query
 
 
 def scratch(t):
-    """A new folder: a shared one where the session names one, on one machine a temporary one."""
+    """A new folder: in the shared one that the session names; where it names none, and all runs on one machine, a temporary one."""
     where = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where and not re.fullmatch(r"local(\[[^]]*\])?", t.spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: streams and files need a folder that all executors share")
     return f"{(where or 'file://' + tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -21,7 +24,7 @@ def scratch(t):
 def stream_tumbling_hour(t):
     """Hourly windows of the events as a stream; those that the watermark has closed."""
     streamed = ev.tumbling(ev.stream(t.events, f"{t.folder}/events.parquet*"), "1 hour", "10 minutes")
-    out = ev.run_to_end(streamed, f"hours_{uuid.uuid4().hex}", "append", scratch(t))
+    out = ev.run_to_end(streamed, scratch(t), "append")
     return out.select(F.date_format("begin", "yyyy-MM-dd HH").alias("hour"), "n", "mean")
 
 
@@ -29,7 +32,7 @@ def stream_tumbling_hour(t):
 def stream_progress_poll(t):
     """Progress of each user, told whenever it has changed; the last that was told."""
     streamed = ev.progress(ev.stream(t.events, f"{t.folder}/events.parquet*").select("user_id"), "user_id")
-    out = ev.run_to_end(streamed, f"progress_{uuid.uuid4().hex}", "append", scratch(t))
+    out = ev.run_to_end(streamed, scratch(t), "update")
     return out.groupBy("user_id").agg(F.max("done").alias("done"))
 
 

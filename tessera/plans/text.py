@@ -1,10 +1,12 @@
 """Text functions and rules. The corpus has no question of the trade, so messages get one in front, picked by their key."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from ..functions import lists, rules
 from ..functions import text as tx
-from ..operators import windows as win
+from ..operators import joins as jn
 from .registry import query
 
 #: Questions that are put before the messages, by turn of their key.
@@ -12,6 +14,7 @@ QUESTIONS = (
     "What is the current policy limit?", "Compare the quote versus the binder", "next 5 expiring policies", "Show the loss run and claims history", "umbrella or excess endorsement",
     "Who signed the application?", "12 expiring certificates", "Is earthquake property coverage active?", "next 90 renewals", "Summarize the trend across all buildings",
     "Tell me a story", "dec page and EPLI", "policy number for the building", "crime and fidelity",
+    "GL limits and commercial general", "workers comp audit, WC payroll", "D&O for directors and officers",
 )
 _Q = "['" + "', '".join(QUESTIONS) + "']"
 ASKED_SQL = f"(SELECT conv_id, turn, {_Q}[1 + (conv_id * 3 + turn) % {len(QUESTIONS)}] || ' ' || text AS q FROM conversations)"
@@ -42,9 +45,9 @@ def txt_keyword_subset(t):
     return t.documents.select("doc_id", (F.size(F.array_except(F.array(F.lit("the"), F.lit("of"), F.lit("and")), tx.tokens("text"))) == 0).alias("matched"))
 
 
-@query("txt_key_terms", f"SELECT doc_id, len(list_filter({_toks(3)}, lambda x: NOT list_contains({_STOP}, x))) AS n_terms FROM documents")
+@query("txt_key_terms", f"SELECT doc_id, array_to_string(list_sort(list_filter({_toks(3)}, lambda x: NOT list_contains({_STOP}, x))), ' ') AS terms FROM documents")
 def txt_key_terms(t):
-    return t.documents.select("doc_id", F.size(tx.key_terms("text", lists.STOP_WORDS)).cast("long").alias("n_terms"))
+    return t.documents.select("doc_id", F.array_join(F.array_sort(tx.key_terms("text", lists.STOP_WORDS)), " ").alias("terms"))
 
 
 _TERMS = f"list_filter({_toks(3)}, lambda x: NOT list_contains({_STOP}, x))"
@@ -71,7 +74,13 @@ def txt_confidence(t):
     return _covered(t).select("conv_id", "turn", found.alias("overall"))
 
 
-_INTENTS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(q, '{p}') THEN '{k}' END" for k, p in lists.INTENTS.items()) + "], lambda x: x IS NOT NULL)"
+
+def _edges(pattern):
+    """A pattern in the form of an engine without look-around: a word's edges instead."""
+    return pattern.replace(r"(?<!\w)", r"\b").replace(r"(?!\w)", r"\b")
+
+
+_INTENTS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(q, '{_edges(p)}') THEN '{k}' END" for k, p in lists.INTENTS.items()) + "], lambda x: x IS NOT NULL)"
 
 
 @query("txt_intent_detect", f"SELECT conv_id, turn, array_to_string({_INTENTS}, ',') AS labels, {_INTENTS}[1] AS first, least(1.0, 0.5 * len({_INTENTS})) AS confidence FROM {ASKED_SQL}")
@@ -146,10 +155,10 @@ def txt_citation_extract(t):
     return rows.select("conv_id", "turn", found, snippet.alias("snippet")).withColumn("place", F.col("place") + 1)
 
 
-@query("txt_context_format", "SELECT conv_id, string_agg('[' || role || '] page: ' || CASE WHEN turn % 2 = 0 THEN CAST(turn AS VARCHAR) ELSE 'N/A' END || chr(10) || substr(text, 1, 60), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY 1")
+@query("txt_context_format", "SELECT conv_id, string_agg('[' || role || '] page: ' || CASE WHEN turn % 2 = 0 THEN CAST(turn AS VARCHAR) ELSE 'N/A' END || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY 1")
 def txt_context_format(t):
     page = F.coalesce(F.when(F.col("turn") % 2 == 0, F.col("turn").cast("string")), F.lit("N/A"))
-    block = F.format_string("[%s] page: %s\n%s", "role", page, F.substring("text", 1, 60))
+    block = F.format_string("[%s] page: %s\n%s", "role", page, "text")
     listed = F.array_sort(F.collect_list(F.struct("turn", block.alias("b"))))
     return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(listed, lambda x: x["b"]), "\n\n").alias("context"))
 
@@ -163,15 +172,15 @@ def _planted(t):
 
 
 def _replaced(column):
-    for name, pattern in lists.PII:
+    for name, pattern in lists.PII[:-1]:  # the last looks ahead, and finds only numbers that the second has replaced
         column = f"regexp_replace({column}, '{pattern}', '[{name}]', 'g')"
     return column
 
 
-@query("txt_pii_redact", f"SELECT doc_id, length(x) - length(replace(x, '-REDACTED]', '')) AS marks FROM (SELECT doc_id, {_replaced(_PLANT)} AS x FROM documents)")
+@query("txt_pii_redact", f"SELECT doc_id, x AS redacted, (length(x) - length(replace(x, '-REDACTED]', ''))) // 10 AS n FROM (SELECT doc_id, {_replaced(_PLANT)} AS x FROM documents)")
 def txt_pii_redact(t):
     out = tx.redact("text", lists.PII)
-    return _planted(t).select("doc_id", out.alias("x")).select("doc_id", (F.length("x") - F.length(F.replace("x", F.lit("-REDACTED]"), F.lit("")))).cast("long").alias("marks"))
+    return _planted(t).select("doc_id", out.alias("redacted")).withColumn("n", F.regexp_count("redacted", F.lit(r"-REDACTED\]")).cast("long"))
 
 
 @query("txt_pii_high_risk", f"SELECT doc_id, regexp_replace(regexp_replace({_PLANT}, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b', '***', 'g'), '\\b\\d{{9,18}}\\b', '***', 'g') = {_PLANT} AS clean FROM documents")
@@ -180,12 +189,13 @@ def txt_pii_high_risk(t):
     return _planted(t).select("doc_id", (out == F.col("text")).alias("clean"))
 
 
-@query("txt_encrypt_column", "SELECT c_custkey, c_name, true AS hidden FROM customer")
+@query("txt_encrypt_column", "SELECT c_custkey, c_name, CAST(4 * ceil((12 + strlen(c_name) + 16) / 3) AS INTEGER) AS token_chars, true AS hidden FROM customer")
 def txt_encrypt_column(t):
-    """A column encrypted and decrypted again; the key is a parameter."""
-    key = F.lit("0123456789abcdef")
-    rows = t.customer.select("c_custkey", "c_name", F.base64(F.aes_encrypt("c_name", key)).alias("token"))
-    return rows.select("c_custkey", F.aes_decrypt(F.unbase64("token"), key).cast("string").alias("c_name"), (~F.contains("token", F.col("c_name"))).alias("hidden"))
+    """A column encrypted (12 bytes of nonce, the text, 16 of tag, in base 64) and decrypted again. The key is a row of a table, so no plan prints it."""
+    keys = t.spark.createDataFrame([(os.environ.get("TESSERA_KEY", "an example's key"),)], "key string")
+    rows = t.customer.join(F.broadcast(keys)).select("c_custkey", "c_name", "key", F.base64(F.aes_encrypt("c_name", "key")).alias("token"))
+    again = F.aes_decrypt(F.unbase64("token"), "key").cast("string")
+    return rows.select("c_custkey", again.alias("c_name"), F.length("token").alias("token_chars"), (~F.contains("token", F.col("c_name"))).alias("hidden"))
 
 
 @query("txt_canonicalize_signal", "SELECT p_partkey, CASE WHEN s IN ('a','an','the','of','in','is','at','for','to','and','or') OR length(s) < 3 OR length(s) > 80 THEN '' ELSE s END AS signal FROM (SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(p_name || '_' || p_type, '[-_]', ' ', 'g'), '\\s+', ' ', 'g'))) AS s FROM part)")
@@ -226,7 +236,12 @@ def txt_year_range(t):
     return t.part.select("p_partkey", rules.year_range(F.col("p_size").cast("string")).alias("years"))
 
 
-@query("txt_alias_resolve", "SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'exact' WHEN c_nationkey % 3 = 1 THEN 'case' ELSE 'slug' END AS how, CASE WHEN c_nationkey % 3 < 2 THEN 'N' || c_nationkey ELSE lower('nation-' || c_nationkey) END AS name FROM customer")
+@query(
+    "txt_alias_resolve",
+    """WITH a AS (SELECT CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE lower(n_name) END AS alias, 'N' || n_nationkey AS canon FROM nation WHERE n_nationkey % 3 < 2), c AS (SELECT c_custkey, 'NATION_' || c_nationkey AS raw FROM customer)
+       SELECT c_custkey, CASE WHEN e.canon IS NOT NULL THEN 'exact' WHEN f.canon IS NOT NULL THEN 'case' ELSE 'slug' END AS how, coalesce(e.canon, f.canon, regexp_replace(regexp_replace(lower(raw), '[\\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g')) AS name
+       FROM c LEFT JOIN a e ON e.alias = raw LEFT JOIN a f ON lower(f.alias) = lower(raw)""",
+)
 def txt_alias_resolve(t):
     """A name by its alias, by the alias without case, or as a slug; two thirds of the nations have an alias."""
     alias = t.nation.filter("n_nationkey % 3 < 2").select(F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).otherwise(F.lower("n_name")).alias("alias"), F.concat(F.lit("N"), "n_nationkey").alias("canon"))
@@ -238,7 +253,11 @@ def txt_alias_resolve(t):
     return rows.select("c_custkey", how.alias("how"), F.coalesce("a", "b", tx.slug("raw")).alias("name"))
 
 
-@query("txt_carrier_resolve", "SELECT s_suppkey, 'R' || (s_suppkey % 10) AS carrier FROM supplier WHERE s_suppkey < 10 UNION ALL SELECT s_suppkey, 'R' || substr(s_name, 10, 1) FROM supplier WHERE false UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey >= 10")
+@query(
+    "txt_carrier_resolve",
+    """WITH a AS (SELECT 'supplier#00000000' || n_nationkey AS alias, 'R' || n_nationkey AS canon, n_nationkey AS place FROM nation WHERE n_nationkey < 10), k AS (SELECT s_suppkey, s_name, lower(trim(s_name)) AS k FROM supplier)
+       SELECT s_suppkey, coalesce(arg_min(canon, CASE WHEN k = alias THEN -1 ELSE place END), any_value(s_name)) AS carrier FROM k LEFT JOIN a ON k = alias OR starts_with(k, alias) OR starts_with(alias, k) GROUP BY s_suppkey""",
+)
 def txt_carrier_resolve(t):
     """The canonical name of an alias that equals the name, else of the first alias where one starts the other, else the name."""
     alias = t.nation.filter("n_nationkey < 10").select(F.concat(F.lit("supplier#00000000"), "n_nationkey").alias("alias"), F.concat(F.lit("R"), "n_nationkey").alias("canon"), F.col("n_nationkey").alias("place"))
@@ -301,14 +320,22 @@ def txt_compliance_gap_simple(t):
     return found.select("c_nationkey", F.array_join(F.array_sort(F.array_except(needed, "has")), ",").alias("missing"))
 
 
-@query("txt_date_parse_multi", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders")
+@query(
+    "txt_date_parse_multi",
+    """WITH f AS (SELECT o_orderkey, [strftime(o_orderdate, '%m/%d/%Y'), strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%-m/%-d/%Y'), strftime(o_orderdate, '%d %b %Y')][1 + o_orderkey % 4] AS x FROM orders)
+       SELECT o_orderkey, CASE WHEN regexp_full_match(x, '\\d{1,2}/\\d{1,2}/\\d{4}') THEN CAST(try_strptime(x, '%m/%d/%Y') AS DATE) WHEN regexp_full_match(x, '\\d{4}-\\d{1,2}-\\d{1,2}') THEN CAST(try_strptime(x, '%Y-%m-%d') AS DATE) END AS day FROM f""",
+)
 def txt_date_parse_multi(t):
     forms = F.array(F.date_format("o_orderdate", "MM/dd/yyyy"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "M/d/yyyy"), F.date_format("o_orderdate", "dd MMM yyyy"))
     text = F.element_at(forms, (1 + F.col("o_orderkey") % 4).cast("int"))
     return t.orders.select("o_orderkey", tx.parse_date(text).alias("day"))
 
 
-@query("txt_tag_validate", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'reserved' WHEN p_partkey % 5 = 1 THEN 'characters' WHEN p_partkey % 5 = 2 THEN 'hyphens' ELSE 'ok' END AS reason FROM part")
+@query(
+    "txt_tag_validate",
+    """WITH m AS (SELECT p_partkey, lower(trim([' Public ', p_brand, 'a--' || p_size, lower(p_type), 't-' || p_partkey][1 + p_partkey % 5])) AS tag FROM part)
+       SELECT p_partkey, CASE WHEN tag IN ('public', 'system') THEN 'reserved' WHEN length(tag) NOT BETWEEN 1 AND 64 THEN 'length' WHEN contains(tag, '--') THEN 'hyphens' WHEN NOT regexp_full_match(tag, '[a-z0-9]([a-z0-9-]*[a-z0-9])?') THEN 'characters' ELSE 'ok' END AS reason FROM m""",
+)
 def txt_tag_validate(t):
     made = F.element_at(F.array(F.lit(" Public "), F.col("p_brand"), F.concat(F.lit("a--"), "p_size"), F.lower("p_type"), F.concat(F.lit("t-"), "p_partkey")), (1 + F.col("p_partkey") % 5).cast("int"))
     tag = F.lower(F.trim(made))
@@ -323,9 +350,17 @@ def txt_score_sanitize(t):
 
 @query("txt_answer_check", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) OR contains(lower(b.text), lower(d.text))")
 def txt_answer_check(t):
-    """Documents that hold a benchmark item or lie in one. The items are a fixed list."""
-    items = F.broadcast(t.benchmark.select("item_id", F.lower("text").alias("b")))
-    rows = t.documents.select("doc_id", F.lower("text").alias("a")).join(items, F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
+    """Documents that hold a benchmark item or lie in one: whoever holds the other has all of its words, so pairs are found by a word and then compared."""
+    item, text = t.benchmark.select("item_id", F.lower("text").alias("b")), t.documents.select("doc_id", F.lower("text").alias("a"))
+    # a word at an end of the one that lies inside may be a part of a longer one
+    inner = lambda c: F.array_distinct(F.slice(tx.words(c), F.lit(2), F.greatest(F.size(tx.words(c)) - 2, F.lit(0))))
+    items, texts = (df.withColumn("tokens", F.array_distinct(tx.words(c))).withColumn("needed", inner(c)) for df, c in ((item, "b"), (text, "a")))
+    held = jn.keyword_lookup(texts, items.select("item_id", F.col("needed").alias("tokens")), "doc_id", "item_id")
+    lies = jn.keyword_lookup(items, texts.select("doc_id", F.col("needed").alias("tokens")), "item_id", "doc_id")
+    short_texts, short_items = texts.filter(F.size("needed") == 0), items.filter(F.size("needed") == 0)  # of two words or fewer
+    few = short_texts.join(item, F.col("b").contains(F.col("a"))).select("doc_id", "item_id").unionByName(text.join(short_items, F.col("a").contains(F.col("b"))).select("doc_id", "item_id"))
+    pairs = held.unionByName(lies.select("doc_id", "item_id")).unionByName(few).distinct()
+    rows = pairs.join(text, "doc_id").join(item, "item_id").filter(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
     return rows.select("doc_id", "item_id")
 
 
@@ -336,15 +371,15 @@ def txt_answer_variants(t):
     return t.part.select("p_partkey", ((low == "red widget") | F.exists(variants, lambda v: low.contains(v) | v.contains(low))).alias("passed"))
 
 
-@query("txt_markdown_fence_strip", "SELECT event_id, props FROM events")
+@query("txt_markdown_fence_strip", "SELECT event_id, regexp_replace(regexp_replace(CASE WHEN event_id % 3 = 0 THEN props ELSE '```json' || chr(10) || props || chr(10) || '```' END, '^\\s*```[a-z]*\\s*\\n?', ''), '\\n?\\s*```\\s*$', '') AS props FROM events")
 def txt_markdown_fence_strip(t):
-    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    fenced = F.when(F.col("event_id") % 3 == 0, F.col("props")).otherwise(F.concat(F.lit("```json\n"), "props", F.lit("\n```")))
     return t.events.select("event_id", F.regexp_replace(F.regexp_replace(fenced, r"^\s*```[a-z]*\s*\n?", ""), r"\n?\s*```\s*$", "").alias("props"))
 
 
-@query("txt_strip_think", "SELECT conv_id, turn, text AS answer FROM conversations")
+@query("txt_strip_think", "SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 2 = 0 THEN '<think>a' || chr(10) || 'b</think>' || text || '<think>c</think>' ELSE text || '<think>' || text || '</think> so' END, '<think>.*?</think>', '', 'gs') AS answer FROM conversations")
 def txt_strip_think(t):
-    full = F.concat(F.lit("<think>a\nb</think>"), "text", F.lit("<think>c</think>"))
+    full = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think>a\nb</think>"), "text", F.lit("<think>c</think>"))).otherwise(F.concat("text", F.lit("<think>"), "text", F.lit("</think> so")))
     return t.conversations.select("conv_id", "turn", F.regexp_replace(full, r"(?s)<think>.*?</think>", "").alias("answer"))
 
 

@@ -71,7 +71,7 @@ def win_budget_split(t):
        WHERE n <= 9 OR k <= 3 OR k > n - 3 OR (k > n // 2 - 1 AND k <= n // 2 + 2)""",
 )
 def win_session_gap_chunks(t):
-    return win.spread_sample(t.documents, ["source"], [F.col("doc_id")]).select("source", "doc_id")
+    return win.spread_sample(t.documents.select("source", "doc_id"), "source", "doc_id").select("source", "doc_id")
 
 
 @query("win_lru_evict", "SELECT user_id FROM (SELECT user_id, max(ts) AS last FROM events GROUP BY 1) ORDER BY last DESC, user_id LIMIT 50")

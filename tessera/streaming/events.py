@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream(df_like: DataFrame, folder: str, files_per_trigger: int = 4) -> DataFrame:
@@ -24,23 +19,25 @@ def tumbling(events: DataFrame, length: str, late: str) -> DataFrame:
 
 
 def progress(events: DataFrame, key: str) -> DataFrame:
-    """(key, done) whenever the count of a key's events has changed in a batch."""
+    """(key, done): run in update mode, a row whenever the count of a key's events has changed in a batch."""
+    return events.groupBy(key).agg(F.count("*").alias("done"))
+
+
+def run_to_end(streamed: DataFrame, folder: str, mode: str) -> DataFrame:
+    """All that is there goes through, batch by batch, into Parquet files in a new ``folder``.
 
-    def step(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0
-        done = before + sum(len(f) for f in frames)
-        state.update((done,))
-        if done != before:
-            yield pd.DataFrame({key: [group[0]], "done": [done]})
+    A batch that is run again after a failure replaces its own files, so each row is there once.
+    """
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} long, done long", "done long", "append", GroupStateTimeout.NoTimeout)
+    done = []
 
+    def store(rows: DataFrame, batch: int) -> None:
+        done.append(batch)
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/of={batch}")
 
-def run_to_end(streamed: DataFrame, table: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is there goes through, batch by batch, into a table in memory."""
-    query = streamed.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = streamed.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return streamed.sparkSession.table(table)
+    return streamed.sparkSession.read.schema(streamed.schema).parquet(f"{folder}/rows/*") if done else streamed.sparkSession.createDataFrame([], streamed.schema)
 
 
 def since(events: DataFrame, key: str, seq: str, last: int | None, latest: int) -> DataFrame:

@@ -60,7 +60,7 @@ def test_progress_is_told_on_change(spark, tmp_path):
     for ids in ([1, 1, 2], [1]):
         spark.createDataFrame([(i,) for i in ids], "user_id long").coalesce(1).write.mode("append").parquet(folder)
     like = spark.read.parquet(folder)
-    out = events.run_to_end(events.progress(events.stream(like, folder, 1), "user_id"), "told", "append", str(tmp_path / "state"))
+    out = events.run_to_end(events.progress(events.stream(like, folder, 1), "user_id"), str(tmp_path / "state"), "update")
     assert sorted(tuple(r) for r in out.collect()) in ([(1, 1), (1, 3), (2, 1)], [(1, 2), (1, 3), (2, 1)])
 
 
@@ -72,7 +72,7 @@ def test_late_events_are_dropped(spark, tmp_path):
     for k, f in enumerate(sorted(files, key=os.path.getmtime)):
         os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
     streamed = events.tumbling(events.stream(spark.read.parquet(folder), folder, 1), "1 hour", "1 hour")
-    out = events.run_to_end(streamed, "hours", "append", str(tmp_path / "state"))
+    out = events.run_to_end(streamed, str(tmp_path / "state"), "append")
     assert [(str(r.begin), r.n) for r in out.orderBy("begin").collect()] == [("2024-01-01 10:00:00", 1), ("2024-01-01 15:00:00", 2)]
 
 

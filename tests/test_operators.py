@@ -121,7 +121,7 @@ def test_greedy_operators(spark):
 
 def test_samples_of_nine(spark):
     rows = spark.createDataFrame([("a", i) for i in range(20)] + [("b", i) for i in range(9)], "g string, k int")
-    got = [(r.g, r.k) for r in win.spread_sample(rows, ["g"], [F.col("k")]).collect()]
+    got = [(r.g, r.k) for r in win.spread_sample(rows, "g", "k").collect()]
     assert sorted(k for g, k in got if g == "a") == [0, 1, 2, 9, 10, 11, 17, 18, 19] and len([1 for g, _ in got if g == "b"]) == 9
 
 
