@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import backends, lists, rules
+from ..functions import backends, enrichment, lists, rules
 from ..functions import text as tx
 from ..operators import windows as win
 from ..sources import sql
@@ -59,6 +59,37 @@ def udf_nl2sql(t):
     return routed.join(F.broadcast(counted), "o_orderstatus").select("conv_id", "turn", "n")
 
 
+@query(
+    "udf_classify_llm",
+    """SELECT doc_id, CASE WHEN length(text) % 4 = 3 THEN 'partial' ELSE 'completed' END AS status, CASE WHEN length(text) % 4 < 3 THEN 'lang:' || lang END AS tag,
+       CASE WHEN length(text) % 4 = 3 THEN NULL WHEN length(text) % 100 / 100 < 0.4 THEN 'discard' ELSE 'apply' END AS decision FROM documents""",
+)
+def udf_classify_llm(t):
+    """Tags from a model's answers (here a stand-in's): batches, parsing with repair, the decision table; an answer without an object leaves a document partly done."""
+    head = F.concat(F.lit("Source: "), "source", F.lit("\nLanguage: "), "lang", F.lit("\nLength: "), F.length("text").cast("string"), F.lit("\n\n"), "text")
+    answers = enrichment.prompted(t.documents.select("doc_id", head.alias("prompt")), ["doc_id"], "prompt", enrichment.tagging_stand_in)
+    rows = answers.select("doc_id", enrichment.parsed(F.col("answer"), "tags array<struct<tag:string,confidence:double>>").alias("p"))
+    tags = rows.select("doc_id", F.when(F.col("p").isNull(), "partial").otherwise("completed").alias("status"), F.explode_outer("p.tags").alias("g"))
+    return tags.select("doc_id", "status", "g.tag", F.when(F.col("g").isNotNull(), rules.decision(F.col("g.confidence"), 0.4, F.lit(False))).alias("decision"))
+
+
+_MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
+
+
+@query(
+    "udf_enrich_synopsis_entities",
+    f"""WITH c AS (SELECT doc_id, i, substr(text, 1 + 500 * i, 500) AS t FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 500) AS BIGINT)))) AS i FROM documents))
+        SELECT doc_id, i // 8 AS batch, count(*) AS n_chunks, CAST(sum(length(t)) AS BIGINT) AS n_chars, array_to_string(list_sort(list_distinct(flatten(list(regexp_extract_all(t, '{_MAIL}'))))), ',') AS entities FROM c GROUP BY ALL""",
+)
+def udf_enrich_synopsis_entities(t):
+    """Entities from a model's answers (here a stand-in's) to batches of eight chunks of 500 characters, joined back to their batches."""
+    batches = enrichment.chunk_batches(t.documents, "doc_id", "text")
+    answers = enrichment.prompted(batches, ["doc_id", "batch", "n_chunks", "n_chars"], "prompt", enrichment.mail_stand_in)
+    found = enrichment.parsed(F.col("answer"), "array<struct<entity_type:string,value:string,confidence:double,chunk_index:int>>")
+    values = F.array_sort(F.array_distinct(F.transform(F.coalesce(found, F.array().cast("array<struct<entity_type:string,value:string,confidence:double,chunk_index:int>>")), lambda x: x["value"])))
+    return answers.select("doc_id", "batch", "n_chunks", "n_chars", F.array_join(values, ",").alias("entities"))
+
+
 @query("udf_summary_chunk")
 def udf_summary_chunk(t):
     """Each source's nine sample documents and what a summary would be made from."""

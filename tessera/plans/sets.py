@@ -63,7 +63,15 @@ def interleave_round_robin(t):
     return st.interleave(t.documents, "source", "doc_id", "text").select("doc_id", "source", F.col("place").cast("long").alias("place"))
 
 
-@query("dedup_jaccard_greedy")
+@query(
+    "dedup_jaccard_greedy",
+    """WITH RECURSIVE m AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+            f AS (SELECT conv_id, k, turn, [w] AS kept, true AS keep FROM m WHERE k = 1
+                  UNION ALL SELECT conv_id, k, turn, CASE WHEN alike THEN kept ELSE list_append(kept, w) END, NOT alike FROM (
+                    SELECT m.conv_id, m.k, m.turn, m.w, f.kept, len(list_filter(f.kept, lambda y: len(m.w) + len(y) > 0 AND len(list_intersect(m.w, y)) / (len(m.w) + len(y) - len(list_intersect(m.w, y))) > 0.9)) > 0 AS alike
+                    FROM f JOIN m ON m.conv_id = f.conv_id AND m.k = f.k + 1))
+       SELECT conv_id, turn FROM f WHERE keep""",
+)
 def dedup_jaccard_greedy(t):
     """In each conversation the messages that are not 0.9 alike to one kept before."""
     rows = t.conversations.withColumn("w", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")))

@@ -36,10 +36,32 @@ def stream_progress_poll(t):
     return out.groupBy("user_id").agg(F.max("done").alias("done"))
 
 
-@query("stream_replay_since", "SELECT event_id, seq FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) WHERE seq > 60")
+@query(
+    "stream_replay_since",
+    """WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+            h AS (SELECT * FROM e WHERE seq > n - 50), c AS (SELECT DISTINCT user_id, [NULL, '60', 'b7e1-x', '2'][1 + user_id % 4] AS last FROM events), k AS (SELECT user_id, last, try_cast(last AS BIGINT) AS l FROM c)
+       SELECT user_id, event_id, seq, 'event' AS kind FROM h JOIN k USING (user_id) WHERE l IS NULL OR seq > l
+       UNION ALL SELECT user_id, NULL, l, 'state' FROM k JOIN (SELECT user_id, min(seq) AS oldest FROM h GROUP BY 1) USING (user_id) WHERE l < oldest - 1""",
+)
 def stream_replay_since(t):
-    rows = win.numbered(t.events, ["user_id"], [F.col("ts"), F.col("event_id")], "seq")
-    return ev.since(rows, "user_id", "seq", 60, 20).select("event_id", "seq")
+    """A client for each user: some without a last number, some with one that is none, some whose next events are held no more."""
+    rows = win.numbered(t.events, ["user_id"], [F.col("ts"), F.col("event_id")], "seq").select("user_id", "event_id", "seq")
+    last = F.element_at(F.array(F.lit(None).cast("string"), F.lit("60"), F.lit("b7e1-x"), F.lit("2")), (1 + F.col("user_id") % 4).cast("int"))
+    return ev.since(rows, t.events.select("user_id").distinct().withColumn("last", last), "user_id", "seq", 50)
+
+
+@query(
+    "stream_job_poll",
+    """WITH j AS (SELECT user_id AS job, CASE WHEN user_id % 2 = 0 THEN 'cache_warming' ELSE 'reindex' END AS type, event_id, ts, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM events),
+            r AS (SELECT *, count(*) FILTER (status IN ('completed', 'failed')) OVER (PARTITION BY job ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM j)
+       SELECT job, type, event_id, status FROM r WHERE coalesce(before, 0) = 0""",
+)
+def stream_job_poll(t):
+    """Two kinds of jobs as one stream of states, each job to its first terminal state (here users are jobs, their events states)."""
+    states = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
+    of = lambda rest, kind: ev.stream(t.events, f"{t.folder}/events.parquet*").filter(F.col("user_id") % 2 == rest).select(F.col("user_id").alias("job"), F.lit(kind).alias("type"), "event_id", "ts", states.alias("status"))
+    told = ev.run_to_end(of(0, "cache_warming").unionByName(of(1, "reindex")), scratch(t), "append")
+    return ev.until_terminal(told, "job", ["ts", "event_id"], "status", ("completed", "failed")).select("job", "type", "event_id", "status")
 
 
 @query("stream_bounded_queue", "SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS offered, greatest(0, count(*) - 3) AS dropped FROM events GROUP BY 1")
@@ -48,10 +70,10 @@ def stream_bounded_queue(t):
     return t.events.groupBy(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute")).agg(F.count("*").alias("offered"), F.greatest(F.lit(0), F.count("*") - 3).alias("dropped"))
 
 
-@query("stream_live_sample")
+@query("stream_live_sample", "SELECT event_id FROM events WHERE ('0x' || md5(CAST(event_id AS VARCHAR))[1:8])::BIGINT % 10 = 0")
 def stream_live_sample(t):
     """A tenth of the events, by a hash of their id: sampling is the feature, and it is the same each time."""
-    return t.events.filter(F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0).select("event_id")
+    return t.events.filter(F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 8), 16, 10).cast("long") % 10 == 0).select("event_id")
 
 
 @query(

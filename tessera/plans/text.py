@@ -282,7 +282,11 @@ def txt_name_match_tiers(t):
     return rows.select("s_suppkey", score.alias("score")).filter("score >= 0.6")
 
 
-@query("txt_soundex_variant")
+@query(
+    "txt_soundex_variant",
+    """WITH l AS (SELECT p_partkey, regexp_replace(upper(split_part(p_name, ' ', 1)), '[^A-Z]', '', 'g') AS x FROM part), c AS (SELECT p_partkey, x, translate(x, 'AEIOUHWBFPVCGJKQSXZYDTLMNR', '00000001111222222222334556') AS d FROM l)
+       SELECT p_partkey, CASE WHEN x = '' THEN '0000' ELSE rpad(x[1:1] || array_to_string(list_transform(list_filter(range(2, length(d) + 1), lambda i: d[i:i] <> '0' AND d[i:i] <> d[i-1:i-1]), lambda i: d[i:i]), ''), 4, '0')[1:4] END AS code FROM c""",
+)
 def txt_soundex_variant(t):
     return t.part.select("p_partkey", tx.phonetic(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("code"))
 

@@ -46,7 +46,13 @@ def win_running_token_budget_stop(t):
     return win.within_budget(rows, ["conv_id"], [F.desc("turn")], "cost", 400).select("conv_id", "turn")
 
 
-@query("win_greedy_fit_skip")
+@query(
+    "win_greedy_fit_skip",
+    """WITH RECURSIVE c AS (SELECT source, doc_id, n_chars // 4 AS cost, row_number() OVER (PARTITION BY source ORDER BY -coalesce(quality, 0), doc_id) AS k FROM documents LEFT JOIN labels USING (doc_id)),
+            f AS (SELECT source, k, CASE WHEN cost <= 3000 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 3000 THEN doc_id END AS doc_id FROM c WHERE k = 1
+                  UNION ALL SELECT c.source, c.k, CASE WHEN used + cost <= 3000 THEN used + cost ELSE used END, CASE WHEN used + cost <= 3000 THEN c.doc_id END FROM f JOIN c ON c.source = f.source AND c.k = f.k + 1 WHERE c.k <= 15)
+       SELECT source, doc_id FROM f WHERE doc_id IS NOT NULL""",
+)
 def win_greedy_fit_skip(t):
     """For each source: of its 15 best documents (by quality, then id) those that fit 3,000 tokens one after the other. 15 is the operator's limit of candidates."""
     rows = t.documents.join(t.labels, "doc_id", "left").withColumn("cost", F.expr("n_chars div 4")).withColumn("o", -F.coalesce("quality", F.lit(0)))

@@ -40,10 +40,24 @@ def run_to_end(streamed: DataFrame, folder: str, mode: str) -> DataFrame:
     return streamed.sparkSession.read.schema(streamed.schema).parquet(f"{folder}/rows/*") if done else streamed.sparkSession.createDataFrame([], streamed.schema)
 
 
-def since(events: DataFrame, key: str, seq: str, last: int | None, latest: int) -> DataFrame:
-    """What a client missed: rows after its last number; without one the ``latest`` newest of each key."""
+def since(events: DataFrame, clients: DataFrame, key: str, seq: str, buffer: int) -> DataFrame:
+    """What each client (key, last) missed of its key's events, and ``kind``.
+
+    Of each key the ``buffer`` newest events are held. Without a last number, or with one that is none, a client
+    gets all that is held; else what comes after it. If events right after it are held no more, a row of kind
+    ``state`` with its last number goes before.
+    """
     from ..operators.windows import first_per_group
 
-    if last is not None:
-        return events.filter(F.col(seq) > last)
-    return first_per_group(events, [key], [F.desc(seq)], latest)
+    held = first_per_group(events, [key], [F.desc(seq)], buffer)
+    last = F.col("last").try_cast("long")
+    rows = held.join(clients, key).filter(last.isNull() | (F.col(seq) > last)).drop("last").withColumn("kind", F.lit("event"))
+    oldest = held.groupBy(key).agg(F.min(seq).alias("_oldest"))
+    pruned = clients.join(oldest, key).filter(last < F.col("_oldest") - 1).select(key, last.alias(seq), F.lit("state").alias("kind"))
+    return rows.unionByName(pruned, allowMissingColumns=True)
+
+
+def until_terminal(jobs: DataFrame, job: str, order: list[str], status: str, terminal: tuple[str, ...]) -> DataFrame:
+    """The states of each job up to the first terminal one."""
+    ends = jobs.filter(F.col(status).isin(*terminal)).groupBy(job).agg(F.min(F.struct(*order)).alias("_end"))
+    return jobs.join(ends, job, "left").filter(F.col("_end").isNull() | (F.struct(*order) <= F.col("_end"))).drop("_end")
