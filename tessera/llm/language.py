@@ -156,7 +156,7 @@ def sampled(train: DataFrame, sample: int) -> list[tuple[str, int, str]]:
     what their language's count asks for are dropped where they are read. Texts come by a join with what is left.
     """
     usable = train.filter("text is not null and lang is not null and doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = F.broadcast(usable.groupBy("lang").agg(F.count("*").alias("n")))  # a row for each language, of which the model has ``sample`` texts
     share = F.least(F.lit(1.0), F.lit(4.0 * sample + 100) / F.col("n"))
     near = usable.select("lang", "h", "doc_id").join(counts, "lang").filter(F.shiftrightunsigned("h", 11) * 2.0**-53 < share)
     picked = near.select("lang", "h", "doc_id").distinct().withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= sample).drop("k")
