@@ -106,7 +106,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
             yield batch.append_column("score", pa.array(np.interp(d, places, values), pa.float64()))
 
     schema = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(*keep, "text").mapInArrow(scored, ", ".join(f"`{c}` {schema[c]}" for c in keep) + ", " + kinds + ", score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(scored, ", ".join(f"`{c}` {schema[c]}" for c in keep) + ", " + kinds + ", score double")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,34 @@ def test_quality_without_labels(spark):
     assert [r.score for r in quality.score(docs, docs.limit(0)).collect()] == [0.5]
     assert quality.score(docs.limit(0), docs).count() == 0
     assert quality.score(docs, docs).first().score > 0.9
+
+
+def test_ties_go_to_the_name_that_sorts_first():
+    model = {"families": ["germanic", "romance"], "members": [["de", "en"], ["es", "fr"]], "pairs": [("de", "en"), ("es", "fr")], "slopes": np.ones(4)}
+    langs, score = language.decide(model, np.zeros((1, 4)))
+    assert langs == ["de"] and score[0] == 0.25
+
+
+def test_equal_texts_have_equal_scores(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, "en", 60) if i % 2 else "### " * rng.randint(5, 60), i % 2) for i in range(80)]
+    rows += [(200 + i, rows[i][1], None) for i in range(80)] + [(i, *rows[i][1:]) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    by = {}
+    for r in quality.score(docs, docs.filter("label is not null"), ("doc_id", "text")).collect():
+        by.setdefault(r.text, set()).add(r.score)
+    assert all(len(x) == 1 for x in by.values())
+
+
+def test_isotonic_is_the_nearest_rising_function():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, 200).astype(float)
+    y = (rng.random(200) < x / 12).astype(float)
+    places, values = quality.isotonic(x, y)
+    assert (np.diff(values) >= 0).all() and (np.diff(places) >= 0).all()
+    levels = np.unique(x)
+    share, n = np.array([y[x == k].mean() for k in levels]), np.array([(x == k).sum() for k in levels])
+    for i, k in enumerate(levels):  # the largest of the least means over ranges around k
+        best = max(min(np.average(share[a : b + 1], weights=n[a : b + 1]) for b in range(i, len(levels))) for a in range(i + 1))
+        own = np.interp(k, places, values)
+        assert abs(own - best) < 0.06

@@ -57,3 +57,27 @@ def test_no_two_terms_of_long_texts_are_merged():
     assert (found[0] == found[1]).mean() < 0.02 and not found[3].any()
     assert (fp.sampled(pa.array(texts), samples=256, terms=1 << 12) == found).all()
     assert (fp.sampled(pa.array(texts[:1]), samples=256) == found[:1]).all()
+
+
+def test_marks_are_those_of_the_least_of_all_terms():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(n)], m)) for n, m in ((5, 1), (3, 40), (400, 900), (50, 3))] + ["é é é", "one"]
+    got = fp.sampled(pa.array(texts), samples=96, terms=64)
+    for text, marks in zip(texts, got, strict=True):
+        words = text.split()
+        column = fp.hashing.Words(pa.array([text]))
+        count = {}
+        for h in fp.hashing.mix(column.hash, 12).tolist() + column.grams(2, 11)[1].tolist():
+            count[h] = count.get(h, 0) + 1
+        assert len(count) == len(set(words)) + len(set(zip(words, words[1:])))
+        r, b, one = fp.variates(np.array(list(count), np.uint64), 96)
+        value = np.array([[o - (rr * np.floor(np.log(n).astype(np.float32) / rr + bb) if n > 1 else 0) for o, rr, bb in zip(*row, strict=True)] for n, row in zip(count.values(), zip(one, r, b, strict=True), strict=True)], np.float32)
+        least = value.min(0)
+        assert (marks == (fp.hashing.mix(least.view(np.uint32).astype(np.uint64), 13) & np.uint64(0xFFFF)).astype(np.uint16)).all()
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 70_000}" for i in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, "a b")]
+    got = {r.doc_id: r for r in fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].near_next > 0.95 and got[2].near_next < 0.05 and got[1].n_chars == len(long)

@@ -85,3 +85,13 @@ def test_repeats_within_a_text_do_not_hide_it(spark):
         rows += [(3 * i, text), (3 * i + 1, " ".join([text] * 2)), (3 * i + 2, " ".join([text] * 5))]
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 3 for i in range(60)}
+
+
+def test_very_long_texts_and_one_large_group(spark):
+    random.seed(9)
+    long = [f"w{random.randint(0, 5000)}" for _ in range(60_000)]
+    base = [f"b{random.randint(0, 300)}" for _ in range(120)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:30_000], "new", *long[30_000:]])), (3, " ".join(long[:20_000]))]
+    rows += [(10 + i, " ".join(base)) for i in range(300)] + [(400 + i, " ".join([*base[: i % 110], f"x{i}", *base[i % 110 :]])) for i in range(300)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 1 if i < 3 else 3 if i == 3 else 10 for i, _ in rows}

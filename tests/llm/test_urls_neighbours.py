@@ -192,3 +192,10 @@ def test_vectors_of_doubles_stay_doubles(spark):
     rows = [(100 * i, [1.0 + i * 1e-12, 2.0]) for i in range(5)]
     got = neighbours.search(df := spark.createDataFrame(rows, "vec_id long, embedding array<double>"), df.filter("vec_id = 0")).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [100, 200, 300, 400] and all(r.score > 0 for r in got)
+
+
+def test_long_urls_repeated_rows_and_rules_of_one_length(spark):
+    deep = "http://h.test/" + "/".join(f"s{i % 7}" for i in range(20))
+    rows = [(i % 3, deep + "x" * 3000) for i in range(6)] + [(9, "http://a.b.test/p/q")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=(("allow", "b.test/p/"), ("block", "b.test/p/q"), ("allow", "test/p/qqq"))).collect()
+    assert len(got) == 7 and {(r.rule, r.verdict) for r in got} == {(None, "allow"), ("b.test/p/q", "block")}
