@@ -32,7 +32,7 @@ from . import common, hashing, tokens
 CAPACITY = 4096
 END = 1
 _END_BYTES = struct.pack("<I", END)
-#: A worker forgets the ids of the units that it has met when it holds more than so many.
+#: When a worker holds the ids of more units than so many, it forgets those that aren't in the texts at hand.
 HELD = 200_000
 #: About so many bytes of text are cut into units before the units are looked up.
 LOOKED_UP = 6_000_000
@@ -70,12 +70,13 @@ _ids: dict[str, dict[str, bytes]] = {}  # of each vocabulary
 def encoded(columns: list[pa.StringArray], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text column (ids of all texts, each with the end id behind it; where each text ends). Units that were met before are looked up, the library gets the others."""
     known = _ids.setdefault(path, {})
-    if len(known) > HELD:
-        known.clear()
     cut = [tokens.units(x) for x in columns]
     code = pa.concat_arrays([units for units, _ in cut]).dictionary_encode()
     distinct = code.dictionary.to_numpy(zero_copy_only=False).tolist()
     found = list(map(known.get, distinct))
+    if len(known) > HELD:
+        known.clear()
+        known.update((u, x) for u, x in zip(distinct, found, strict=True) if x is not None)
     new = [i for i, x in enumerate(found) if x is None]
     for i, own in zip(new, tokens.encode([distinct[i] for i in new], path), strict=True):
         found[i] = known[distinct[i]] = own
