@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import email
 import email.policy
+import email.utils
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -35,14 +37,46 @@ def parsed_files(spark: SparkSession, path: str, parser: Callable[[bytes], str])
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, PARSED)
 
 
-def email_text(content: bytes) -> str:
-    """Subject, sender and body of a message; HTML bodies as text."""
+def email_fields(content: bytes) -> dict:
+    """subject, sender, recipients (to and cc, addresses in lower case), date (ISO 8601, UTC), attachments (file names), body (HTML as text) of a message; what it lacks is empty or null."""
     message = email.message_from_bytes(content, policy=email.policy.default)
     body = message.get_body(("plain", "html"))
     text = body.get_content() if body else ""
     if body and body.get_content_type() == "text/html":
         text = dom_text(text)
-    return "\n".join(x for x in (f"Subject: {message['subject'] or ''}", f"From: {message['from'] or ''}", text.strip()) if x)
+    addresses = lambda *names: [a.lower() for _, a in email.utils.getaddresses([str(v) for n in names for v in message.get_all(n, [])]) if a]
+    try:
+        sent = email.utils.parsedate_to_datetime(str(message["date"]))
+        date = (sent.astimezone(datetime.UTC) if sent.tzinfo else sent).replace(tzinfo=None).isoformat()
+    except (TypeError, ValueError):
+        date = None
+    return {
+        "subject": str(message["subject"] or ""), "sender": (addresses("from") or [""])[0], "recipients": addresses("to", "cc"), "date": date,
+        "attachments": [p.get_filename() or "" for p in message.iter_attachments()] if message.is_multipart() else [], "body": text.strip(),
+    }
+
+
+def email_text(content: bytes) -> str:
+    """Subject, sender and body of a message; HTML bodies as text."""
+    found, sender = email_fields(content), email.message_from_bytes(content, policy=email.policy.default)["from"] or ""
+    return "\n".join(x for x in (f"Subject: {found['subject']}", f"From: {sender}", found["body"]) if x)
+
+
+def email_rows(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each message file below ``path``: path, the fields of email_fields, and an error in place of them where a file can't be read."""
+    schema = "path string, subject string, sender string, recipients array<string>, date string, attachments array<string>, body string, error string"
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    rows.append({"path": name, **email_fields(bytes(content)), "error": None})
+                except Exception as problem:  # a message may be broken anywhere
+                    rows.append({"path": name, "error": f"{type(problem).__name__}: {problem}"})
+            yield pd.DataFrame(rows, columns=["path", "subject", "sender", "recipients", "date", "attachments", "body", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schema)
 
 
 class _Text(HTMLParser):

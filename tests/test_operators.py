@@ -235,3 +235,38 @@ def test_lexical_asks_for_all_tokens(spark):
             want[k] = want.get(k, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
     got = {r.doc_id: r.score for r in retrieval.lexical(t).collect()}
     assert got == pytest.approx(want, abs=1e-5) and set(got) == {1, 2, 3}
+
+
+def test_messages_are_read_with_all_their_fields(spark, tmp_path):
+    (tmp_path / "a.eml").write_bytes(
+        b"From: Ann <Ann@X.org>\r\nTo: b@y.org, C <c@y.org>\r\nCc: d@z.org\r\nSubject: Renewal\r\nDate: Mon, 01 Jan 2024 10:00:00 +0200\r\nMIME-Version: 1.0\r\n"
+        b'Content-Type: multipart/mixed; boundary="q"\r\n\r\n--q\r\nContent-Type: text/html\r\n\r\n<p>Hello <b>you</b></p>\r\n--q\r\n'
+        b'Content-Type: application/pdf\r\nContent-Disposition: attachment; filename="quote.pdf"\r\n\r\nxx\r\n--q--\r\n'
+    )
+    (tmp_path / "b.eml").write_bytes(b"Subject: bare\r\nDate: never\r\n\r\nbody")
+    got = {r.path[-5:]: r for r in files.email_rows(spark, str(tmp_path / "*.eml")).collect()}
+    a, b = got["a.eml"], got["b.eml"]
+    assert (a.sender, a.recipients, a.date, a.attachments, a.error) == ("ann@x.org", ["b@y.org", "c@y.org", "d@z.org"], "2024-01-01T08:00:00", ["quote.pdf"], None)
+    assert "Hello" in a.body and "<b>" not in a.body
+    assert (b.subject, b.sender, b.recipients, b.date, b.attachments, b.body) == ("bare", "", [], None, [], "body")
+
+
+def test_a_model_that_cant_be_reached_is_asked_again(spark):
+    from tessera.functions import enrichment
+
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(5)], "id long, prompt string").coalesce(1)
+    calls = {"n": 0}
+
+    def sometimes(prompts):
+        calls["n"] += 1
+        if calls["n"] < 3:
+            raise ConnectionError("down")
+        return [p.upper() for p in prompts]
+
+    def never(prompts):
+        raise TimeoutError("slow")
+
+    assert sorted(r.answer for r in enrichment.prompted(rows, ["id"], "prompt", sometimes, wait=0.01).collect()) == [f"P{i}" for i in range(5)]
+    assert {(r.answer, r.error) for r in enrichment.prompted(rows, ["id"], "prompt", never, wait=0.01).collect()} == {(None, "TimeoutError: slow")}
+    answers = spark.createDataFrame([('{"a": 1}',), ("```json\n{\"a\": 2}\n```",), ('so: {"a": 3} ok',), ("none",), (None,)], "answer string")
+    assert [r.p and r.p.a for r in answers.select(enrichment.parsed(F.col("answer"), "a int").alias("p")).collect()] == [1, 2, 3, None, None]
