@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import filters as flt
+from ..sources import sql
 from .registry import query
 
 
@@ -149,6 +150,28 @@ def cache_access_verify(t):
     return cited.join(readable, "doc_id", "left").groupBy("conv_id").agg((F.count("*") == F.count("ok")).alias("valid"))
 
 
+#: Statements as a model may write them, by turn of an order's key; the order's own values stand in them.
+STATEMENTS = ("SELECT {k} AS k FROM orders LIMIT 5", "select * from orders where o_orderkey = {k}", "DROP TABLE orders_{k}", "SELECT {k}; delete from orders", "  SELECT '%s' LIMIT {k}", "WITH x AS (SELECT {k}) SELECT * FROM x", "SELECT updated_{k} FROM orders LIMIT 1")
+_STATEMENT = f"replace([{', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in STATEMENTS)}][1 + o_orderkey % {len(STATEMENTS)}], '{{k}}', CAST(o_orderkey AS VARCHAR))"
+_WORDS = "(?i)\\b(" + "|".join(sql.FORBIDDEN) + ")\\b"
+_REFUSED = f"WHEN NOT regexp_matches(s, '(?i)^\\s*select\\b') THEN 'only SELECT is allowed' WHEN regexp_matches(s, '{_WORDS}') THEN upper(regexp_extract(s, '{_WORDS}', 1)) || ' is not allowed'"
+
+
+def _statements(t):
+    made = F.element_at(F.array(*[F.lit(x) for x in STATEMENTS]), (1 + F.col("o_orderkey") % len(STATEMENTS)).cast("int"))
+    return t.orders.select("o_orderkey", F.replace(made, F.lit("{k}"), F.col("o_orderkey").cast("string")).alias("s"))
+
+
+@query("sql_guard_select_only", f"SELECT o_orderkey, CASE {_REFUSED} END AS refusal FROM (SELECT o_orderkey, {_STATEMENT} AS s FROM orders)")
+def sql_guard_select_only(t):
+    return _statements(t).select("o_orderkey", sql.refusal(F.col("s")).alias("refusal"))
+
+
+@query("sql_template_validate", f"SELECT o_orderkey, CASE {_REFUSED} WHEN NOT regexp_matches(s, '(?i)\\blimit\\b') THEN 'a template needs a LIMIT' WHEN regexp_matches(s, '\\{{\\w*\\}}|%s|%\\(') THEN 'values belong in named parameters' END AS refusal FROM (SELECT o_orderkey, {_STATEMENT} AS s FROM orders)")
+def sql_template_validate(t):
+    return _statements(t).select("o_orderkey", sql.refusal(F.col("s"), template=True).alias("refusal"))
+
+
 @query("soft_pref_should", "SELECT doc_id, CAST((lang = 'de')::INT + (source = 'src2')::INT AS BIGINT) AS preferred FROM documents")
 def soft_pref_should(t):
     """Preferred tags rank, they don't filter."""

@@ -90,11 +90,15 @@ def udf_enrich_synopsis_entities(t):
     return answers.select("doc_id", "batch", "n_chunks", "n_chars", F.array_join(values, ",").alias("entities"))
 
 
-@query("udf_summary_chunk")
+@query(
+    "udf_summary_chunk",
+    """SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents)
+       WHERE n <= 9 OR k <= 3 OR k > n - 3 OR (k > n // 2 - 1 AND k <= n // 2 + 2) GROUP BY 1""",
+)
 def udf_summary_chunk(t):
     """Each source's nine sample documents and what a summary would be made from."""
     rows = win.spread_sample(t.documents, "source", "doc_id")
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length(F.substring("text", 1, 500))).alias("n_chars"))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
 @query("udf_token_count", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import config
 from ..operators import mutations as mut
 from ..operators import windows as win
+from ..sources import connectors
 from .registry import query
 
 
@@ -62,6 +64,28 @@ def soft_delete_versioning(t):
     return win.versions(rows, "o_custkey", "valid_from").select("o_custkey", "o_orderkey", F.col("valid_to").isNull().alias("current"))
 
 
+@query(
+    "claim_update_where",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' OR (o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1998-01-01') THEN 'running' ELSE CASE o_orderstatus WHEN 'O' THEN 'running' ELSE 'done' END END AS status, o_orderstatus = 'P' OR (o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1998-01-01') AS claimed FROM orders",
+)
+def claim_update_where(t):
+    """Items that a worker gets: pending ones, and running ones whose lease (here the day of the order) is over. Others keep their state."""
+    status = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "O", "running").otherwise("done")
+    now = F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")
+    over = (status == "pending") | ((status == "running") & (F.col("o_orderdate") < now))
+    return t.orders.select("o_orderkey", config.claim(status, F.col("o_orderdate"), now).alias("status"), over.alias("claimed"))
+
+
+@query("export_chunks_excel", "SELECT s_suppkey, s_nationkey, s_name FROM supplier")
+def export_chunks_excel(t):
+    """Suppliers exported as delimited files, a folder for each nation, and read again."""
+    from .state import scratch
+
+    path = scratch(t)
+    connectors.export(t.supplier.select("s_suppkey", "s_nationkey", "s_name"), path, "s_nationkey")
+    return t.spark.read.option("header", True).schema("s_suppkey long, s_name string, s_nationkey int").csv(path).select("s_suppkey", "s_nationkey", "s_name")
+
+
 @query("retention_purge", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-16' - INTERVAL 7 DAY")
 def retention_purge(t):
     return mut.purge(t.events, "ts", F.expr("TIMESTAMP_NTZ '2024-01-16 00:00:00' - INTERVAL '7' DAY")).select("event_id")

@@ -103,10 +103,21 @@ def state_retry_backoff(t):
     return t.events.select("event_id", F.element_at(delays, (F.least(F.col("event_id") % 6, F.lit(2)) + 1).cast("int")).alias("delay"))
 
 
-@query("state_reindex_job", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY 1")
+@query(
+    "state_reindex_job",
+    """WITH m AS (SELECT unnest(['all', 'ready', 'failed']) AS mode, unnest([['F', 'O', 'P'], ['F'], ['P']]) AS takes)
+       SELECT mode, count(*) AS selected, count(*) FILTER (o_orderpriority = '1-URGENT') AS failed, CASE WHEN count(*) FILTER (o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0) > 0 THEN 'paused' ELSE 'completed' END AS state,
+              count(*) FILTER (o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 1) AS skipped, count(*) FILTER (o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 2) AS retried
+       FROM m JOIN orders ON list_contains(takes, o_orderstatus) GROUP BY 1""",
+)
 def state_reindex_job(t):
-    """What a job in the mode 'ready and failed' selects."""
-    return t.orders.filter(F.col("o_orderstatus").isin("F", "P")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    """What a job selects in each mode, and how it stands: of its failures some are skipped, some are tried again, and one that is neither pauses it."""
+    modes = {"all": ("F", "O", "P"), "ready": ("F",), "failed": ("P",)}
+    rows = t.orders.withColumn("mode", F.explode(F.array_compact(F.array(*[F.when(F.col("o_orderstatus").isin(*takes), m) for m, takes in modes.items()]))))
+    failed, how = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey") % 3
+    count = lambda c: F.count_if(failed & c)
+    state = F.when(count(how == 0) > 0, "paused").otherwise("completed")
+    return rows.groupBy("mode").agg(F.count("*").alias("selected"), F.count_if(failed).alias("failed"), state.alias("state"), count(how == 1).alias("skipped"), count(how == 2).alias("retried"))
 
 
 @query("state_ttl_expiry", "SELECT event_id FROM events WHERE coalesce(CASE WHEN event_type = 'view' THEN ts + INTERVAL 2 DAY END, ts) >= TIMESTAMP '2024-01-16' - INTERVAL 7 DAY")
@@ -122,10 +133,21 @@ def state_stuck_recovery(t):
     return t.orders.select("o_orderkey", F.when(stuck, "pending").otherwise(F.col("o_orderstatus")).alias("status"))
 
 
-@query("plug_settings", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+@query(
+    "plug_settings",
+    """WITH l AS (SELECT user_id, event_type AS key, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type IN ('view', 'click') AND user_id % 3 < 2),
+            d AS (SELECT unnest(['view', 'click', 'limit']) AS key, unnest([NULL, 7.5, NULL]) AS env, unnest([1.0, 2.0, 3.0]) AS base), u AS (SELECT DISTINCT user_id FROM events)
+       SELECT u.user_id, d.key, CAST(coalesce(l.value, env, base) AS DOUBLE) AS value, CASE WHEN l.value IS NOT NULL THEN 'stored' WHEN env IS NOT NULL THEN 'environment' ELSE 'default' END AS found
+       FROM u CROSS JOIN d LEFT JOIN l ON l.user_id = u.user_id AND l.key = d.key AND l.k = 1""",
+)
 def plug_settings(t):
-    """The setting in force of each key: the last change in its audit."""
-    return win.first_per_group(t.events, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "value")
+    """The setting in force of each user and key: the last change in the audit, else the environment's, else the default."""
+    stored = win.first_per_group(t.events.filter("event_type IN ('view', 'click') AND user_id % 3 < 2"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")])
+    stored = stored.select("user_id", F.col("event_type").alias("key"), F.col("value").alias("stored"))
+    keys = F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(env).cast("double").alias("env"), F.lit(base).alias("base")) for k, env, base in (("view", None, 1.0), ("click", 7.5, 2.0), ("limit", None, 3.0))]))
+    rows = t.events.select("user_id").distinct().select("user_id", keys).join(stored, ["user_id", "key"], "left")
+    found = F.when(F.col("stored").isNotNull(), "stored").when(F.col("env").isNotNull(), "environment").otherwise("default")
+    return rows.select("user_id", "key", F.coalesce("stored", "env", "base").alias("value"), found.alias("found"))
 
 
 @query("repo_generic_crud", "SELECT n_regionkey, count(*) AS n, max(CASE WHEN n_nationkey = 7 THEN 'renamed' ELSE n_name END) AS name FROM nation WHERE n_nationkey <> 3 GROUP BY 1")

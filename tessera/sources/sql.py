@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..catalog import NAMES, Tables
 
@@ -20,6 +21,15 @@ def guard(sql: str) -> None:
         raise ValueError(f"{found[1].upper()} is not allowed")
 
 
+def refusal(sql: Column, template: bool = False) -> Column:
+    """Why a statement in a column is refused, null if it is not: the rules of guard(), and for templates those of validate()."""
+    words = "|".join(FORBIDDEN)
+    why = F.when(~sql.rlike(r"(?i)^\s*select\b"), "only SELECT is allowed").when(sql.rlike(rf"(?i)\b({words})\b"), F.concat(F.upper(F.regexp_extract(sql, rf"(?i)\b({words})\b", 1)), F.lit(" is not allowed")))
+    if template:
+        why = why.when(~sql.rlike(r"(?i)\blimit\b"), "a template needs a LIMIT").when(sql.rlike(r"\{\w*\}|%s|%\("), "values belong in named parameters")
+    return why
+
+
 def validate(sql: str) -> None:
     """A template: guarded, with a LIMIT, and without text put in by formatting."""
     guard(sql)
