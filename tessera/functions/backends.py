@@ -62,8 +62,8 @@ def hashed_vectors(dim: int = 64) -> Embedder:
         out = np.zeros((len(texts), dim))
         for i, text in enumerate(texts):
             for word in (text or " ").lower().split() or [" "]:
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                out[i, h % dim] += 1 if h >> 63 else -1
+                h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+                out[i, int(h[:8], 16) % dim] += 1 if h[8] >= "8" else -1
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(size == 0, 1, size)).tolist()
 

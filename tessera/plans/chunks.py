@@ -82,7 +82,7 @@ def form_label_humanize(t):
     return t.part.select("p_partkey", ch.humanized(field).alias("label"))
 
 
-@query("form_intent_rows")
+@query("form_intent_rows", "SELECT o_orderkey, grp, 9000 + i AS chunk_index, CASE WHEN i = 0 THEN 0.95 ELSE 0.9 END AS score, '[' || grp || '] order ' || o_orderkey AS chunk_text FROM (SELECT o_orderkey, unnest(CASE WHEN o_orderstatus = 'F' THEN ['Policy', 'Insured'] ELSE ['Policy'] END) AS grp, unnest(CASE WHEN o_orderstatus = 'F' THEN [0, 1] ELSE [0] END) AS i FROM orders)")
 def form_intent_rows(t):
     """Result rows for the groups that an intent asks for, with fixed scores and indexes."""
     groups = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("Policy"), F.lit("Insured"))).otherwise(F.array(F.lit("Policy")))

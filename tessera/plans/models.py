@@ -8,14 +8,34 @@ from ..functions import text as tx
 from ..operators import windows as win
 from ..sources import sql
 from .registry import query
-from .text import asked
+from .text import _TERMS, ASKED_SQL, asked
 
 
-@query("udf_embed")
+@query(
+    "udf_embed",
+    """WITH w AS (SELECT doc_id, md5(unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''))) AS h FROM documents),
+            p AS (SELECT doc_id, ('0x' || h[1:8])::BIGINT % 64 AS place, sum(CASE WHEN h[9:9] >= '8' THEN 1 ELSE -1 END) AS v FROM w GROUP BY ALL), m AS (SELECT doc_id, list(place) AS places, list(v) AS vs, sqrt(sum(v * v)) AS size FROM p GROUP BY 1)
+       SELECT doc_id, list_transform(range(64), lambda i: round(coalesce(vs[list_position(places, i)], 0) / CASE WHEN size = 0 THEN 1 ELSE size END, 6)) AS embedding FROM m""",
+)
 def udf_embed(t):
-    """Vectors of all documents from the hashing stand-in, as their first and greatest places."""
-    rows = backends.embedded(t.documents, "doc_id", "text", backends.hashed_vectors(64))
-    return rows.select("doc_id", F.size("embedding").alias("dim"), F.round(F.array_max("embedding"), 6).alias("most"))
+    """Vectors of all documents from the hashing stand-in."""
+    rows = backends.embedded(t.documents.filter("text rlike '\\\\S'"), "doc_id", "text", backends.hashed_vectors(64))
+    return rows.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'))"
+#: What first_sentence() answers: the first of the sentences that share most words with the question.
+_ANSWERS = f"""c AS (SELECT conv_id || ':' || turn AS id, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS context FROM conversations),
+  s AS (SELECT id, text, context, list_filter(string_split(regexp_replace(context, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM c WHERE context IS NOT NULL),
+  n AS (SELECT *, list_transform(parts, lambda p: len(list_intersect({_WORDS.format("p")}, {_WORDS.format("text")}))) AS shares FROM s), a AS (SELECT id, text, context, coalesce(parts[list_position(shares, list_max(shares))], '') AS answer FROM n)"""
+
+
+def _key_terms(column):
+    return _TERMS.replace("lower(text)", f"lower({column})")
+
+
+_COVERED = f"CASE WHEN len({_key_terms('answer')}) = 0 THEN 0.0 ELSE len(list_intersect({_key_terms('answer')}, {_key_terms('context')})) / len({_key_terms('answer')}) END"
+_UNION = f"len(list_distinct(list_concat({_key_terms('answer')}, {_key_terms('text')})))"
 
 
 def _answers(t):
@@ -29,20 +49,20 @@ def _answers(t):
     return rows.join(backends.generated(rows, "id", "text", "context", [down, backends.first_sentence()]), "id")
 
 
-@query("udf_generate")
+@query("udf_generate", f"WITH {_ANSWERS} SELECT id, answer, 1 AS backend FROM a")
 def udf_generate(t):
     """Answers by a chain of backends whose first always fails."""
     return _answers(t).select("id", "answer", "backend")
 
 
-@query("udf_hallucination_score")
+@query("udf_hallucination_score", f"WITH {_ANSWERS} SELECT id, CAST(trunc({_COVERED} * 100) AS INTEGER) AS score FROM a")
 def udf_hallucination_score(t):
     """The stand-in for a model's own score: how much of an answer's key terms the context has, of 100."""
     covered = tx.coverage(tx.key_terms("answer", lists.STOP_WORDS), tx.key_terms("context", lists.STOP_WORDS))
     return _answers(t).select("id", (covered * 100).cast("int").alias("score"))
 
 
-@query("udf_ragas_metrics")
+@query("udf_ragas_metrics", f"WITH {_ANSWERS} SELECT id, {_COVERED} AS faithfulness, CASE WHEN {_UNION} = 0 THEN 0.0 ELSE len(list_intersect({_key_terms('answer')}, {_key_terms('text')})) / {_UNION} END AS relevancy FROM a")
 def udf_ragas_metrics(t):
     """Faithfulness and relevancy by coverage, cleaned as a model's scores would be."""
     terms = lambda c: tx.key_terms(c, lists.STOP_WORDS)
@@ -50,7 +70,7 @@ def udf_ragas_metrics(t):
     return rows.select("id", rules.sanitize_score(tx.coverage(terms("answer"), terms("context"))).alias("faithfulness"), rules.sanitize_score(tx.jaccard(terms("answer"), terms("text"))).alias("relevancy"))
 
 
-@query("udf_nl2sql")
+@query("udf_nl2sql", f"SELECT conv_id, turn, n FROM (SELECT conv_id, turn, CASE WHEN contains(lower(q), 'current') THEN 'F' WHEN contains(lower(q), 'next') THEN 'O' END AS s FROM {ASKED_SQL}) JOIN (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1) USING (s)")
 def udf_nl2sql(t):
     """Questions that a template answers, as guarded SQL over orders: the number of rows each would count."""
     template = "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus LIMIT 10"
