@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common, hashing
 
-SAMPLE, CALIBRATION, CHUNK, DICTIONARY, LEVEL = 1500, 4000, 1024, 48 << 10, 3
+SAMPLE, CALIBRATION, CHUNK, DICTIONARY, LEVEL = 1500, 4000, 1024, 256 << 10, 3
 THRESHOLD = 0.3
 
 
