@@ -21,35 +21,56 @@ from pyspark.sql import functions as F
 
 from . import common, hashing
 
-SAMPLES, TERMS = 64, 1 << 16
-#: Parts that the rows are cut into by doc_id, at most.
+SAMPLES, TERMS = 64, 1 << 14
+#: Parts that the rows are cut into by doc_id, at most. They are streamed, so a longer one takes no more memory.
 MAX_PARTS = 10_000
 #: Terms whose variates are drawn in one go, times samples; cells (a term of a text) that are valued in one go.
-DRAWN, CELLS = 1 << 17, 5_000
+DRAWN, CELLS = 1 << 15, 5_000
 
 
-def variates(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, b and the value at weight 1 of each term (a 64-bit hash) and sample."""
-    r, b, one = (np.empty((len(terms), samples), np.float32) for _ in range(3))
+def _drawn(terms: np.ndarray, samples: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, r, c, b) of some terms at a time, in single precision; all from two 64-bit hashes of term and sample, the second made from the first."""
     sample = hashing.mix(np.arange(samples, dtype=np.uint64), 20)
     step = max(1, DRAWN // samples)
     for at in range(0, len(terms), step):
         own = slice(at, at + step)
-        key = hashing.mix(terms[own], 21)[:, None] + sample
-        r[own], c, b[own] = _gamma(hashing.mix(key, 22)), _gamma(hashing.mix(key, 23)), _uniform((hashing.mix(key, 24) >> np.uint64(32)).astype(np.uint32))
-        one[own] = np.log(c) + r[own] * b[own] - r[own]
-    return r, b, one
-
-
-def _uniform(x: np.ndarray) -> np.ndarray:
-    """32-bit hashes as single-precision numbers above 0 and below 1."""
-    return ((x >> np.uint32(8)) | np.uint32(1)).view(np.int32).astype(np.float32) * np.float32(2.0**-24)
+        x = hashing.mix(terms[own], 21)[:, None] + sample
+        moved = np.empty_like(x)
+        for shift, factor in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+            x ^= np.right_shift(x, np.uint64(shift), out=moved)
+            x *= np.uint64(factor)
+        x ^= np.right_shift(x, np.uint64(32), out=moved)
+        y = x * np.uint64(0xD6E8FEB86659FD93)
+        y ^= np.right_shift(y, np.uint64(32), out=moved)
+        low = y.view(np.uint8)  # the lowest byte of either half has no part in c
+        b = (low[:, 0::8].astype(np.float32) * np.float32(256) + low[:, 4::8] + np.float32(0.5)) * np.float32(2.0**-16)
+        yield own, _gamma(x), _gamma(y), b
 
 
 def _gamma(x: np.ndarray) -> np.ndarray:
-    """Gamma(2, 1) variates of 64-bit hashes: their halves are two uniform ones."""
-    u = _uniform(x.view(np.uint32))
-    return -np.log(u[:, ::2] * u[:, 1::2])
+    """Gamma(2, 1) variates of 64-bit hashes: the upper 24 bits of their halves are two uniform ones."""
+    u = (x.view(np.uint32) >> np.uint32(8)).view(np.int32).astype(np.float32)
+    u += np.float32(0.5)
+    g = u[:, ::2] * u[:, 1::2]
+    return np.subtract(np.float32(48 * np.log(2)), np.log(g, out=g), out=g)
+
+
+def variates(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """r and b of each term (a 64-bit hash) and sample."""
+    r, b = (np.empty((len(terms), samples), np.float32) for _ in range(2))
+    for own, r[own], _, b[own] in _drawn(terms, samples):
+        pass
+    return r, b
+
+
+def at_one(terms: np.ndarray, samples: int) -> np.ndarray:
+    """The value of each term and sample at weight 1."""
+    out = np.empty((len(terms), samples), np.float32)
+    for own, r, c, b in _drawn(terms, samples):
+        b -= np.float32(1)
+        b *= r
+        np.add(np.log(c, out=c), b, out=out[own])
+    return out
 
 
 def sampled(texts: pa.StringArray, samples: int = SAMPLES, terms: int = TERMS) -> np.ndarray:
@@ -64,12 +85,17 @@ def sampled(texts: pa.StringArray, samples: int = SAMPLES, terms: int = TERMS) -
     cuts = np.searchsorted(cell, np.arange(0, len(distinct) + terms, terms) * n)
     least = np.full((n, samples), np.inf, np.float32)
     for i, (begin, end) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        r, b, one = variates(distinct[i * terms : (i + 1) * terms], samples)
+        block = distinct[i * terms : (i + 1) * terms]
+        one = at_one(block, samples)
+        often, place = np.unique(term[begin:end][times[begin:end] > 1], return_inverse=True)  # terms that some text has more than once
+        r, b = variates(block[often], samples)
+        done = 0
         for at in range(begin, end, CELLS):
             own = slice(at, min(end, at + CELLS))
             value = one[term[own]]
             if len(many := np.flatnonzero(times[own] > 1)):
-                k = term[own][many]
+                k = place[done : done + len(many)]
+                done += len(many)
                 value[many] -= r[k] * np.floor(np.log(times[own][many]).astype(np.float32)[:, None] / r[k] + b[k])
             first = np.flatnonzero(np.r_[True, np.diff(row[own]) != 0])
             rows = row[own][first]

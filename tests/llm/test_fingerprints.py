@@ -70,7 +70,8 @@ def test_marks_are_those_of_the_least_of_all_terms():
         for h in fp.hashing.mix(column.hash, 12).tolist() + column.grams(2, 11)[1].tolist():
             count[h] = count.get(h, 0) + 1
         assert len(count) == len(set(words)) + len(set(zip(words, words[1:])))
-        r, b, one = fp.variates(np.array(list(count), np.uint64), 96)
+        terms = np.array(list(count), np.uint64)
+        (r, b), one = fp.variates(terms, 96), fp.at_one(terms, 96)
         value = np.array([[o - (rr * np.floor(np.log(n).astype(np.float32) / rr + bb) if n > 1 else 0) for o, rr, bb in zip(*row, strict=True)] for n, row in zip(count.values(), zip(one, r, b, strict=True), strict=True)], np.float32)
         least = value.min(0)
         assert (marks == (fp.hashing.mix(least.view(np.uint32).astype(np.uint64), 13) & np.uint64(0xFFFF)).astype(np.uint16)).all()
@@ -81,3 +82,13 @@ def test_very_long_texts(spark):
     rows = [(1, long), (2, long + " end"), (3, "a b")]
     got = {r.doc_id: r for r in fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].near_next > 0.95 and got[2].near_next < 0.05 and got[1].n_chars == len(long)
+
+
+def test_variates_have_the_distributions_asked_for():
+    terms = fp.hashing.mix(np.arange(4000, dtype=np.uint64), 99)
+    (_, r, c, b), *_ = [(None, *map(np.concatenate, zip(*[x[1:] for x in fp._drawn(terms, 64)], strict=True)))]
+    for g in (r, c):
+        assert abs(g.mean() - 2) < 0.02 and abs(g.var() - 2) < 0.05 and abs((g < 1).mean() - (1 - 2 / np.e)) < 0.005
+    assert abs(b.mean() - 0.5) < 0.003 and abs(b.var() - 1 / 12) < 0.001 and 0 < b.min() and b.max() < 1
+    for x, y in ((r, c), (r, b), (c, b), (r[:, :-1], r[:, 1:]), (r[:-1], r[1:])):
+        assert abs(np.corrcoef(x.reshape(-1), y.reshape(-1))[0, 1]) < 0.01
