@@ -4,8 +4,8 @@ The terms of a document are its words and its pairs of neighbouring words, weigh
 For each term and sample r ~ Gamma(2, 1), c ~ Gamma(2, 1) and b ~ U(0, 1) come from hashes of both; with
 t = floor(ln w / r + b) the sample keeps the term with the least ln c - r (t - b) - r, a number that tells the
 term and t. Two documents agree in a sample with the probability of the generalised Jaccard similarity of
-their weights. The variates come from all 64 bits of a term's hash; each distinct term of a slice of text has
-them drawn once, those of TERMS terms at a time.
+their weights. The variates come from all 64 bits of a term's hash, by the quantiles of their distributions; each
+distinct term of a slice of text has them drawn once, those of TERMS terms at a time.
 """
 
 from __future__ import annotations
@@ -28,8 +28,23 @@ MAX_PARTS = 10_000
 DRAWN, CELLS = 1 << 15, 5_000
 
 
+def _quantiles() -> np.ndarray:
+    """The Gamma(2, 1) variates at the middles of 2 ** 16 equal shares: where 1 - (1 + x) exp(-x) is that much, by Newton's method on the logarithm of x."""
+    share = (np.arange(1 << 16) + 0.5) / (1 << 16)
+    y = np.log(np.sqrt(2 * share) - np.log1p(-share))
+    for _ in range(30):
+        x = np.exp(y)
+        y -= (-np.expm1(-x) - x * np.exp(-x) - share) / (x * x * np.exp(-x))
+    return np.exp(y)
+
+
+#: r, and the logarithm of c, by 16 bits of a hash.
+_R = _quantiles().astype(np.float32)
+_LOG_C = np.log(_quantiles()).astype(np.float32)
+
+
 def _drawn(terms: np.ndarray, samples: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, r, c, b) of some terms at a time, in single precision; all from two 64-bit hashes of term and sample, the second made from the first."""
+    """(rows, r, ln c, b) of some terms at a time, in single precision: each from 16 bits of a 64-bit hash of term and sample."""
     sample = hashing.mix(np.arange(samples, dtype=np.uint64), 20)
     step = max(1, DRAWN // samples)
     for at in range(0, len(terms), step):
@@ -40,19 +55,11 @@ def _drawn(terms: np.ndarray, samples: int) -> Iterator[tuple[slice, np.ndarray,
             x ^= np.right_shift(x, np.uint64(shift), out=moved)
             x *= np.uint64(factor)
         x ^= np.right_shift(x, np.uint64(32), out=moved)
-        y = x * np.uint64(0xD6E8FEB86659FD93)
-        y ^= np.right_shift(y, np.uint64(32), out=moved)
-        low = y.view(np.uint8)  # the lowest byte of either half has no part in c
-        b = (low[:, 0::8].astype(np.float32) * np.float32(256) + low[:, 4::8] + np.float32(0.5)) * np.float32(2.0**-16)
-        yield own, _gamma(x), _gamma(y), b
-
-
-def _gamma(x: np.ndarray) -> np.ndarray:
-    """Gamma(2, 1) variates of 64-bit hashes: the upper 24 bits of their halves are two uniform ones."""
-    u = (x.view(np.uint32) >> np.uint32(8)).view(np.int32).astype(np.float32)
-    u += np.float32(0.5)
-    g = u[:, ::2] * u[:, 1::2]
-    return np.subtract(np.float32(48 * np.log(2)), np.log(g, out=g), out=g)
+        bits = x.view(np.uint16)
+        b = bits[:, 2::4].astype(np.float32)
+        b += np.float32(0.5)
+        b *= np.float32(2.0**-16)
+        yield own, _R.take(bits[:, 0::4], mode="clip"), _LOG_C.take(bits[:, 1::4], mode="clip"), b
 
 
 def variates(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +73,10 @@ def variates(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
 def at_one(terms: np.ndarray, samples: int) -> np.ndarray:
     """The value of each term and sample at weight 1."""
     out = np.empty((len(terms), samples), np.float32)
-    for own, r, c, b in _drawn(terms, samples):
+    for own, r, log_c, b in _drawn(terms, samples):
         b -= np.float32(1)
         b *= r
-        np.add(np.log(c, out=c), b, out=out[own])
+        np.add(log_c, b, out=out[own])
     return out
 
 
