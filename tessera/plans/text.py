@@ -273,7 +273,27 @@ def txt_coverage_line_canon(t):
     return t.part.select("p_partkey", F.coalesce(known[F.lower("p_type")], F.translate(F.lower(F.concat_ws(" ", "p_type", "p_name")), " -", "__")).alias("line"))
 
 
-@query("txt_name_match_tiers")
+def _bare(x):
+    """A name without the words that don't tell companies apart."""
+    x = f"regexp_replace(lower(trim({x})), '\\s+', ' ', 'g')"
+    for pattern in rules.SUFFIXES:
+        x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g')"
+    return f"trim(regexp_replace(trim(regexp_replace({x}, '\\s+', ' ', 'g')), ',+$', ''))"
+
+
+def _code(name):
+    """The sound code of a name."""
+    x = f"regexp_replace(upper({name}), '[^A-Z]', '', 'g')"
+    d = f"translate({x}, 'AEIOUHWBFPVCGJKQSXZYDTLMNR', '00000001111222222222334556')"
+    return f"CASE WHEN {x} = '' THEN '0000' ELSE rpad({x}[1:1] || array_to_string(list_transform(list_filter(range(2, length({d}) + 1), lambda i: {d}[i:i] <> '0' AND {d}[i:i] <> {d}[i-1:i-1]), lambda i: {d}[i:i]), ''), 4, '0')[1:4] END"
+
+
+@query(
+    "txt_name_match_tiers",
+    f"""WITH n AS (SELECT s_suppkey, lower(s_name) AS b, lower(s_name) || ['', ' LLC', ' Ltd'][1 + s_suppkey % 3] AS a FROM supplier),
+            m AS (SELECT *, {_bare('a')} = {_bare('b')} AS bare, list_sum(list_transform(range(1, 5), lambda j: (({_code('a')})[j:j] = ({_code('b')})[j:j])::INT)) / 4 AS sound FROM n)
+       SELECT s_suppkey, score FROM (SELECT s_suppkey, CASE WHEN regexp_replace(lower(trim(a)), '\\s+', ' ', 'g') = regexp_replace(lower(trim(b)), '\\s+', ' ', 'g') THEN 1.0 WHEN bare THEN 0.85 ELSE sound END::DOUBLE AS score FROM m) WHERE score >= 0.6""",
+)
 def txt_name_match_tiers(t):
     """Suppliers against names made from them: equal, equal but for the ending, or alike in sound (0.6 at least)."""
     suffix = F.element_at(F.array(F.lit(""), F.lit(" LLC"), F.lit(" Ltd")), (1 + F.col("s_suppkey") % 3).cast("int"))
