@@ -1,7 +1,6 @@
 """Chunking and table extraction."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as tx
 from ..operators import chunking as ch

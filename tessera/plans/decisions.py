@@ -1,7 +1,6 @@
 """Routing, rules and conflicts."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import rules
 from ..functions.text import tokens

@@ -1,7 +1,6 @@
 """Filters, predicates, projections and access checks."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..operators import filters as flt
 from ..sources import sql

@@ -1,10 +1,8 @@
 """Scans."""
 
-import os
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..sources import files
 from .registry import query
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_tokens
 from ..operators import sets as st
 from ..operators import windows as win
 from .registry import query

@@ -5,7 +5,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..operators import windows as win
 from ..streaming import events as ev
