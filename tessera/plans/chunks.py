@@ -39,7 +39,13 @@ def chunk_stats(t):
     return t.documents.groupBy("source").agg(F.sum(F.expr("length(text) div 4")).alias("tokens"), F.sum(F.size(tx.words("text"))).alias("words"))
 
 
-@query("chunk_line_pack")
+@query(
+    "chunk_line_pack",
+    """WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS n FROM documents),
+            r AS (SELECT doc_id, n, 1 AS i, 0 AS chunk, n[1] AS open FROM l
+                  UNION ALL SELECT doc_id, n, i + 1, CASE WHEN open + 1 + n[i + 1] <= 3800 THEN chunk ELSE chunk + 1 END, CASE WHEN open + 1 + n[i + 1] <= 3800 THEN open + 1 + n[i + 1] ELSE n[i + 1] END FROM r WHERE i < len(n))
+       SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_index, CAST(max(open) AS INTEGER) AS n_chars FROM r GROUP BY ALL""",
+)
 def chunk_line_pack(t):
     packed = t.documents.select("doc_id", F.posexplode(ch.line_pack(F.col("text"), 3800)).alias("chunk_index", "chunk"))
     return packed.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"))
