@@ -33,9 +33,9 @@ CAPACITY = 4096
 END = 1
 _END_BYTES = struct.pack("<I", END)
 #: When a worker holds the ids of more units than so many, it forgets those that aren't in the texts at hand.
-HELD = 200_000
+HELD = 100_000
 #: About so many bytes of text are cut into units before the units are looked up.
-LOOKED_UP = 6_000_000
+LOOKED_UP = 4_000_000
 #: No more intervals than this are broadcast, 8 MB; one window has about 30,000 at 4096 tokens, however many pieces.
 BROADCAST_INTERVALS = 100_000
 _PIECE = "doc_id long, window long, piece int, start long, length long, ids_crc32 long, part int, turn long"
