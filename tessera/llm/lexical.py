@@ -67,6 +67,8 @@ class Shard:
 
     def counts(self, guarded: str) -> Counter:
         """How often each term stands in a text, by its number."""
+        if not self.terms:  # an automaton of nothing can't be run
+            return Counter()
         if self.automaton is None:  # built by each worker
             import ahocorasick
 
@@ -103,8 +105,7 @@ def statistics(docs: DataFrame, name: str, shipped: Broadcast) -> DataFrame:
                     guarded = normal(text)
                     n = n_terms(guarded)
                     docs_seen, terms_seen = docs_seen + (n > 0), terms_seen + n
-                    if shard.terms:
-                        held.update(shard.counts(guarded).keys())
+                    held.update(shard.counts(guarded).keys())
         found = [(-1, docs_seen), (-2, terms_seen), *sorted(held.items())]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["term", "n"])
 

@@ -14,7 +14,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no data here"
 def test_same_rows(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for table in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     df = queries.QUERIES[name](spark, FOLDER)
     found = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in found.description]
