@@ -8,7 +8,9 @@ from ..functions.text import tokens
 from ..functions.vectors import cosine
 from ..operators import windows as win
 from ..operators.filters import public_or_any
+from ..sources.vector_index import VectorIndex
 from .registry import query
+from .state import scratch
 
 _COS = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6)"
 
@@ -229,3 +231,25 @@ def chunk_id_uuid5(t):
     from ..functions.ids import uuid5
 
     return t.lineitem.select("l_orderkey", "l_linenumber", uuid5(_NAMESPACE, F.concat_ws(":", "l_orderkey", "l_linenumber")).alias("chunk_id"))
+
+
+@query(
+    "plug_vector_backend",
+    """WITH e AS (SELECT concat(label, '/', vec_id // 8) AS document_id, CAST(vec_id % 8 AS INT) AS chunk_index, label, embedding FROM embeddings),
+            w AS (SELECT *, label = 3 AND chunk_index % 2 = 0 AS again, bool_or(label = 3 AND chunk_index % 2 = 0) OVER (PARTITION BY document_id) AS written FROM e),
+            n AS (SELECT document_id, chunk_index, CASE label WHEN 7 THEN 'moved' ELSE CAST(label AS VARCHAR) END AS tag, CAST(CASE WHEN again THEN list_reverse(embedding) ELSE embedding END AS DOUBLE[]) AS v
+                  FROM w WHERE label <> 5 AND (again OR NOT written)),
+            p AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS probe FROM embeddings WHERE vec_id % 100 = 0),
+            s AS (SELECT query_id, document_id, chunk_index, tag, round(list_cosine_similarity(v, probe), 6) AS score FROM n, p)
+       SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, document_id, chunk_index, tag, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index) QUALIFY row_number() OVER w <= 10""",
+)
+def plug_vector_backend(t):
+    """A stored index after writes, a second write of some documents, deletes and new tags: the ten nearest of every hundredth vector, all cells read."""
+    chunks = t.embeddings.select("vec_id", "label", F.concat("label", F.lit("/"), F.floor(F.col("vec_id") / 8)).alias("document_id"), (F.col("vec_id") % 8).alias("chunk_index"), F.array(F.col("label").cast("string")).alias("tags"), "embedding")
+    index = VectorIndex(t.spark, scratch(t), 64)
+    index.upsert(chunks)
+    index.upsert(chunks.filter("label = 3 AND chunk_index % 2 = 0").withColumn("embedding", F.reverse("embedding")))
+    index.delete(chunks.filter("label = 5"))
+    index.update_tags(chunks.filter("label = 7").withColumn("tags", F.array(F.lit("moved"))))
+    probes = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
+    return index.search(probes, 10).select("query_id", "rank", "document_id", "chunk_index", F.col("tags")[0].alias("tag"), "score")

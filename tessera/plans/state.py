@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import windows as win
 from ..streaming import events as ev
+from ..streaming import jobs
 from .registry import query
 
 
@@ -27,12 +28,32 @@ def stream_tumbling_hour(t):
     return out.select(F.date_format("begin", "yyyy-MM-dd HH").alias("hour"), "n", "mean")
 
 
-@query("stream_progress_poll", "SELECT user_id, count(*) AS done FROM events GROUP BY 1")
+_OUTCOMES = {"click": "completed", "error": "failed", "signup": "skipped", "view": "paused"}
+
+
+@query(
+    "stream_progress_poll",
+    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, CASE event_type WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' WHEN 'view' THEN 'paused' ELSE 'running' END AS outcome FROM events),
+            n AS (SELECT user_id, t, event_id, outcome, row_number() OVER o AS r, min(t) OVER u AS began, lag(outcome, 1, 'running') OVER o AS before,
+                         count(*) FILTER (outcome = 'completed') OVER o AS completed, count(*) FILTER (outcome = 'failed') OVER o AS failed, count(*) FILTER (outcome = 'skipped') OVER o AS skipped,
+                         count(*) FILTER (outcome IN ('completed', 'failed', 'skipped')) OVER u AS total
+                  FROM e WINDOW u AS (PARTITION BY user_id), o AS (PARTITION BY user_id ORDER BY t, event_id)),
+            p AS (SELECT *, completed + failed + skipped AS processed, lag(completed + failed + skipped, 1, -1) OVER (PARTITION BY user_id ORDER BY r) AS told FROM n),
+            l AS (SELECT user_id, began, min(r) AS last, min(t) AS ended FROM p WHERE processed >= total GROUP BY 1, 2), k AS (SELECT * FROM p JOIN l USING (user_id, began) WHERE r <= last)
+       SELECT user_id, 'connected' AS kind, t AS at_us, NULL AS processed, NULL AS completed, NULL AS failed, NULL AS skipped, NULL AS total, NULL AS percent, NULL AS status FROM k WHERE r = 1
+       UNION ALL SELECT user_id, 'progress', t, processed, completed, failed, skipped, total, CASE WHEN total > 0 THEN processed * 100 // total ELSE 0 END, CASE outcome WHEN 'paused' THEN 'paused' ELSE 'running' END FROM k WHERE processed <> told
+       UNION ALL SELECT user_id, 'paused', t, processed, completed, failed, skipped, total, NULL, 'paused' FROM k WHERE outcome = 'paused' AND before <> 'paused' AND r < last
+       UNION ALL SELECT user_id, 'complete', t, processed, completed, failed, skipped, total, NULL, CASE WHEN failed > 0 THEN 'completed_with_errors' ELSE 'completed' END FROM k WHERE r = last
+       UNION ALL SELECT user_id, 'heartbeat', unnest(generate_series(began + 86400000000, ended, 86400000000)), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM l""",
+)
 def stream_progress_poll(t):
-    """Progress of each user, told whenever it has changed; the last that was told."""
-    streamed = ev.progress(ev.stream(t.events, f"{t.folder}/events.parquet*").select("user_id"), "user_id")
-    out = ev.run_to_end(streamed, scratch(t), "update")
-    return out.groupBy("user_id").agg(F.max("done").alias("done"))
+    """What a client that follows each user's job is told: clicks, errors and sign-ups are queries that ended, a view is a pause."""
+    outcome = F.create_map(*[F.lit(x) for pair in _OUTCOMES.items() for x in pair])[F.col("event_type")]
+    of_job = t.events.groupBy(F.col("user_id").alias("key")).agg(F.count(F.when(F.col("event_type").isin("click", "error", "signup"), 1)).alias("total"))
+    events = ev.stream(t.events, f"{t.folder}/events.parquet*").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.coalesce(outcome, F.lit("running")).alias("outcome"))
+    with jobs.state_store(t.spark):
+        told = ev.run_to_end(jobs.follow(events.join(of_job, "key")), scratch(t), "append")
+    return told.withColumnRenamed("key", "user_id")
 
 
 @query(
