@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import chunkers
 from ..functions import text as tx
 from ..operators import chunking as ch
 from .registry import query
@@ -9,11 +10,62 @@ from .registry import query
 _WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
 
 
-@query("chunk_recursive")
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _recursive_sql(size: int, overlap: int) -> str:
+    """Texts that are too long are split at the first separator they hold, and their long parts again; runs of short parts (r) are joined from part ``a`` to the part before ``j``."""
+    length = lambda a, b: f"(sums[{b} + 1] - sums[{a}] + gap * ({b} - {a}))"  # noqa: E731  of parts a to b with their separators
+    joined = " ".join(f"WHEN {mark} THEN array_to_string(parts[a:coalesce(j - 1, n)], {mark})" for mark in ("chr(10) || chr(10)", "chr(10)", "'. '", "' '"))
+    return f"""WITH RECURSIVE n AS (
+              SELECT doc_id, []::BIGINT[] AS path, text, 1 AS level, NULL::VARCHAR AS mark FROM documents
+              UNION ALL
+              SELECT doc_id, list_append(path, i), CASE WHEN cut = 5 THEN substr(text, i, {size}) ELSE string_split(text, own)[i] END, cut + 1, own FROM (
+                SELECT doc_id, path, text, cut, own, unnest(CASE WHEN cut = 5 THEN range(1, length(text) + 1, {size - overlap}) ELSE range(1, len(string_split(text, own)) + 1) END) AS i FROM (
+                  SELECT *, [chr(10) || chr(10), chr(10), '. ', ' ', ''][cut] AS own FROM (
+                    SELECT *, CASE WHEN level <= 1 AND contains(text, chr(10) || chr(10)) THEN 1 WHEN level <= 2 AND contains(text, chr(10)) THEN 2 WHEN level <= 3 AND contains(text, '. ') THEN 3 WHEN level <= 4 AND contains(text, ' ') THEN 4 ELSE 5 END AS cut
+                    FROM n WHERE length(text) > {size} AND level <= 5)))),
+            p AS (SELECT doc_id, path[:-2] AS parent, path[-1] AS i, text, mark, length(text) AS size FROM n WHERE mark <> ''),
+            q AS (SELECT *, count(*) FILTER (size > {size}) OVER (PARTITION BY doc_id, parent ORDER BY i) AS run FROM p),
+            c AS (SELECT *, sum(size) OVER (PARTITION BY doc_id, parent, run ORDER BY i) AS upto FROM q WHERE size <= {size}),
+            r AS (SELECT doc_id, list_append(parent, min(i)) AS path, length(any_value(mark)) AS gap, any_value(mark) AS mark, list(text ORDER BY i) AS parts, list_prepend(0, list(upto ORDER BY i)) AS sums, count(*) AS n FROM c GROUP BY doc_id, parent, run),
+            j AS (SELECT *, 1::BIGINT AS a, list_min([x FOR x IN range(2, n + 1) IF {length("1", "x")} > {size}]) AS j FROM r
+                  UNION ALL
+                  SELECT * EXCLUDE (b), b, list_min([x FOR x IN range(b + 1, n + 1) IF {length("b", "x")} > {size}]) FROM (
+                    SELECT * EXCLUDE (a, j), coalesce(list_min([x FOR x IN range(a + 1, j) IF {length("x", "(j - 1)")} <= {overlap} AND {length("x", "j")} <= {size}]), j) AS b FROM j WHERE j IS NOT NULL)),
+            o AS (SELECT doc_id, path, a, trim(CASE mark {joined} END, {_SPACE}) AS chunk FROM j
+                  UNION ALL SELECT doc_id, path, 0, text FROM n WHERE mark = '' OR (mark IS NULL AND length(text) <= {size} AND trim(text, {_SPACE}) <> ''))
+       SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path, a) - 1 AS INT) AS chunk_index, chunk FROM o WHERE chunk <> ''"""
+
+
+@query("chunk_recursive", _recursive_sql(512, 80))
 def chunk_recursive(t):
     return ch.recursive(t.documents, "doc_id", "text", 512, 80)
 
 
+_LINES = """l AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text <> ''),
+            r AS (SELECT doc_id, s, 1 AS i, 0 AS chunk, length(s[1]) AS open FROM l
+                  UNION ALL SELECT doc_id, s, i + 1, CASE WHEN open + 1 + length(s[i + 1]) <= 3800 THEN chunk ELSE chunk + 1 END, CASE WHEN open + 1 + length(s[i + 1]) <= 3800 THEN open + 1 + length(s[i + 1]) ELSE length(s[i + 1]) END FROM r WHERE i < len(s))"""
+
+
+@query(
+    "plug_chunker",
+    f"""WITH RECURSIVE {_LINES},
+            w AS (SELECT doc_id, string_split_regex(trim(text, {_SPACE}), '[ \t\n\x0B\f\r]+') AS s FROM documents WHERE trim(text, {_SPACE}) <> '')
+       SELECT 'recursive' AS chunker, doc_id, chunk_index, chunk, CAST(length(chunk) AS INT) AS place, CAST(NULL AS INT) AS n FROM ({_recursive_sql(512, 80)})
+       UNION ALL SELECT 'sliding', doc_id, CAST(k AS INT), array_to_string(s[k * 96 + 1 : k * 96 + 128], ' '), CAST(k * 96 AS INT), CAST(least(128, len(s) - k * 96) AS INT)
+         FROM (SELECT doc_id, s, unnest(range(0, CAST(greatest(0, ceil((len(s) - 128) / 96)) AS BIGINT) + 1)) AS k FROM w)
+       UNION ALL SELECT 'lines', doc_id, CAST(chunk AS INT), string_agg(s[i], chr(10) ORDER BY i), CAST(min(i) - 1 AS INT), CAST(count(*) AS INT) FROM r GROUP BY doc_id, chunk""",
+)
+def plug_chunker(t):
+    """Three chunkers by one table function, called by lateral joins; their own columns side by side."""
+    chunkers.register(t.spark, {"chunker": "recursive"})
+    t.documents.select("doc_id", "text").createOrReplaceTempView("chunked_documents")
+    return t.spark.sql("""SELECT 'recursive' AS chunker, d.doc_id, c.chunk_index, c.chunk, c.n_chars AS place, CAST(NULL AS INT) AS n FROM chunked_documents d, LATERAL chunks(d.text) c
+        UNION ALL SELECT 'sliding', d.doc_id, c.chunk_index, c.chunk, c.begin_word, c.n_words FROM chunked_documents d, LATERAL chunks(d.text, chunker => 'sliding') c
+        UNION ALL SELECT 'lines', d.doc_id, c.chunk_index, c.chunk, c.first_line, c.n_lines FROM chunked_documents d, LATERAL chunks(d.text, chunker => 'lines') c""")
+
+
 @query(
     "chunk_token_sliding",
     f"SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 96 AS INTEGER) AS start, CAST(least(128, n - i * 96) AS INTEGER) AS n_words FROM (SELECT doc_id, n, unnest(range(0, CAST(greatest(0, ceil((n - 128) / 96)) AS BIGINT) + 1)) AS i FROM (SELECT doc_id, len({_WORDS}) AS n FROM documents) WHERE n > 0)",

@@ -3,6 +3,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import structure
 from ..sources import files
 from .registry import query
 
@@ -72,3 +73,30 @@ def scan_csv_structured(t):
     path = scratch(t)
     t.supplier.select("s_suppkey", "s_name", "s_nationkey").write.option("header", True).option("sep", ";").csv(path)
     return files.delimited(t.spark, path).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.col("s_nationkey").cast("int").alias("s_nationkey"))
+
+
+def _structure_sql(limit: int) -> str:
+    text = "regexp_replace(split_part(raw, chr(2), 2), '<[^>]*>', '', 'g')"
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{sign}')"
+    above = ", ".join(f"max(CASE WHEN level BETWEEN 1 AND {k} THEN i END) OVER o AS at{k}, max(CASE WHEN level = {k} THEN i END) OVER o AS own{k}" for k in range(1, 7))
+    crumbs = ", ".join(f"CASE WHEN own{k} = at{k} THEN titles[own{k}] END" for k in range(1, 7))  # a title stands until one of its level or above comes
+    return f"""WITH RECURSIVE m AS (SELECT page_id, chr(2) || regexp_replace(regexp_replace(translate(html, chr(1) || chr(2), '  '), '{structure.HIDDEN}', ' ', 'g'), '{structure.BLOCKS}', chr(1) || '\\1' || chr(2), 'g') AS html FROM pages),
+            r AS (SELECT page_id, i, string_split(html, chr(1))[i] AS raw FROM (SELECT page_id, html, unnest(range(1, len(string_split(html, chr(1))) + 1)) AS i FROM m)),
+            e AS (SELECT page_id, i, CASE WHEN regexp_matches(lower(split_part(raw, chr(2), 1)), '^h[1-6]$') THEN CAST(split_part(raw, chr(2), 1)[2] AS INT) ELSE 0 END AS level, trim(regexp_replace({text}, '{structure.BLANKS}', ' ', 'g')) AS text FROM r),
+            t AS (SELECT page_id, map_from_entries(list((i, text))) AS titles FROM e WHERE level > 0 AND text <> '' GROUP BY 1),
+            s AS (SELECT *, {above}, count(*) FILTER (level > 0) OVER o AS section FROM e WHERE text <> '' WINDOW o AS (PARTITION BY page_id ORDER BY i)),
+            c AS (SELECT page_id, i, section, string_split(text, ' ') AS words, list_filter([{crumbs}], lambda x: x IS NOT NULL) AS path FROM s LEFT JOIN t USING (page_id) WHERE level = 0),
+            p AS (SELECT page_id, section, path, words[k * {limit} + 1 : (k + 1) * {limit}] AS words, row_number() OVER (PARTITION BY page_id, section ORDER BY i, k) AS turn FROM (SELECT *, unnest(range(0, (len(words) - 1) // {limit} + 1)) AS k FROM c)),
+            f AS (SELECT page_id, section, turn, 0 AS chunk, len(words) AS n FROM p WHERE turn = 1
+                  UNION ALL SELECT p.page_id, p.section, p.turn, CASE WHEN f.n + len(p.words) <= {limit} THEN chunk ELSE chunk + 1 END, CASE WHEN f.n + len(p.words) <= {limit} THEN f.n + len(p.words) ELSE len(p.words) END
+                  FROM f JOIN p ON p.page_id = f.page_id AND p.section = f.section AND p.turn = f.turn + 1)
+       SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY section, chunk) - 1 AS INT) AS chunk_index, CASE WHEN len(path) > 0 THEN array_to_string(path, ' > ') END AS breadcrumb, path[-1] AS section, text
+       FROM (SELECT page_id, section, chunk, any_value(path) AS path, string_agg(array_to_string(words, ' '), chr(10) ORDER BY turn) AS text FROM f JOIN p USING (page_id, section, turn) GROUP BY ALL)"""
+
+
+@query("scan_docling", _structure_sql(128))
+def scan_docling(t):
+    """Chunks of pages below their headings, at most 128 words each, with the trail of headings that leads there."""
+    found = t.pages.select("page_id", F.posexplode(structure.chunks(structure.elements(F.col("html")), 128)).alias("chunk_index", "c"))
+    return found.select("page_id", "chunk_index", "c.breadcrumb", "c.section", "c.text")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import windows as win
+from ..sources import connectors, pages
 from ..streaming import events as ev
 from ..streaming import jobs
 from .registry import query
@@ -175,3 +176,20 @@ def repo_generic_crud(t):
     """Delete one row, update another, count the rest."""
     rows = t.nation.filter("n_nationkey <> 3").withColumn("n_name", F.when(F.col("n_nationkey") == 7, "renamed").otherwise(F.col("n_name")))
     return rows.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.max("n_name").alias("name"))
+
+
+@query(
+    "connector_ams",
+    """SELECT c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS tenant, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal, c_mktsegment, CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END AS revision
+       FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 3""",
+)
+def connector_ams(t):
+    """Customers pushed to a system that keeps JSON pages, those in debt once more with a balance of nothing; the newest of each pulled again, nation by nation outside one region."""
+    systems = connectors.Connectors(t.spark)
+    systems.register("pages", pages.JsonPages)
+    folder = scratch(t)
+    rows = t.customer.select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("tenant"), "c_acctbal", "c_mktsegment", F.lit(1).alias("revision"))
+    systems.push("pages", rows, "overwrite", path=folder, tenant_column="tenant")
+    systems.push("pages", rows.filter("c_acctbal < 0").withColumns({"c_acctbal": F.lit(0.0), "revision": F.lit(2)}), path=folder, tenant_column="tenant")
+    wanted = [str(r[0]) for r in t.nation.filter("n_regionkey <> 3").select("n_nationkey").collect()]  # the nations, a dimension of 25
+    return win.first_per_group(systems.pull("pages", path=folder, tenant=",".join(wanted)), ["c_custkey"], [F.desc("revision")], 1)

@@ -6,26 +6,32 @@ import hashlib
 import hmac
 import json
 from collections.abc import Callable
-from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource
 
 
-class Connector(Protocol):
-    """A system that policies are pushed to and accounts are pulled from."""
+class Connectors:
+    """The management systems that a session knows, by name; each is a data source of Spark, so rows are pushed by df.write and pulled by spark.read."""
 
-    def push(self, policies: DataFrame) -> None: ...
-    def pull(self, spark: SparkSession) -> DataFrame: ...
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self._known = spark, {}
 
+    def register(self, name: str, source: type[DataSource]) -> None:
+        """A source that can be read and written; else a TypeError. A second one of a name takes its place."""
+        if not (isinstance(source, type) and issubclass(source, DataSource)) or source.reader is DataSource.reader or source.writer is DataSource.writer:
+            raise TypeError(f"{name}: a connector is a data source with a reader and a writer")
+        self.spark.dataSource.register(source)
+        self._known[name] = source.name()
 
-class NullConnector:
-    """Takes everything, gives nothing."""
+    def names(self) -> list[str]:
+        return sorted(self._known)
 
-    def push(self, policies: DataFrame) -> None:
-        return None
+    def push(self, name: str, policies: DataFrame, mode: str = "append", **options: str) -> None:
+        policies.write.format(self._known[name]).mode(mode).options(**options).save()
 
-    def pull(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([], "account_id string, account_name string")
+    def pull(self, name: str, **options: str) -> DataFrame:
+        return self.spark.read.format(self._known[name]).options(**options).load()
 
 
 def export(df: DataFrame, path: str, by: str, form: str = "csv") -> None:
