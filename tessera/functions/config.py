@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, fields, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,9 +46,11 @@ def first_prompt(name: str, *layers: Mapping[str, str]) -> str:
 class PathRule:
     namespace: str
     level: int
-    pattern: str
+    pattern: str | None = None
     group: int = 1
     mapping: Mapping[str, str] = field(default_factory=dict)
+    transform: str | None = None
+    parent: str | None = None
 
 
 @dataclass(frozen=True)
@@ -56,7 +59,19 @@ class KeywordRule:
     value: str
     any_of: tuple[str, ...] = ()
     all_of: tuple[str, ...] = ()
-    priority: int = 0
+    priority: int = 1
+    case_sensitive: bool = False
+
+
+@dataclass(frozen=True)
+class MailPattern:
+    pattern: str
+    tags: tuple[tuple[str, str], ...]
+
+
+#: Keywords may set these namespaces, others are the path's alone.
+OVERRIDEABLE = ("doctype", "topic", "entity", "stage")
+_ID = re.compile("[a-z][a-z0-9_]*")
 
 
 @dataclass(frozen=True)
@@ -66,25 +81,68 @@ class Strategy:
     namespaces: tuple[str, ...]
     path_rules: tuple[PathRule, ...] = ()
     keyword_rules: tuple[KeywordRule, ...] = ()
+    email_patterns: tuple[MailPattern, ...] = ()
+    document_types: tuple[str, ...] = ("unknown",)
+    path_offset: int = 0
 
     @staticmethod
     def load(text: str) -> Strategy:
+        """A strategy in JSON; what would make a rule useless or ambiguous is a ValueError."""
         raw = json.loads(text)
         out = Strategy(
             tuple(raw["namespaces"]),
             tuple(PathRule(**r) for r in raw.get("path_rules", [])),
             tuple(KeywordRule(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.items()}) for r in raw.get("keyword_rules", [])),
+            tuple(MailPattern(r["pattern"], tuple((x["namespace"], x["value"]) for x in r["tags"])) for r in raw.get("email_patterns", [])),
+            tuple(raw.get("document_types", ("unknown",))),
+            raw.get("path_offset", 0),
         )
-        for rule in (*out.path_rules, *out.keyword_rules):
-            if rule.namespace not in out.namespaces:
-                raise ValueError(f"{rule.namespace} is no namespace of the strategy")
+        out.check()
         return out
 
+    def check(self) -> None:
+        for kind, ids, most in (("namespace", self.namespaces, 20), ("document type", self.document_types, 30)):
+            if wrong := [x for x in ids if len(x) > most or not _ID.fullmatch(x)]:
+                raise ValueError(f"{kind} ids of more than {most} characters or with other signs than a-z, 0-9 and _: {wrong}")
+        if "unknown" not in self.document_types:
+            raise ValueError("document types need an entry for what is unknown")
+        used = [r.namespace for r in (*self.path_rules, *self.keyword_rules)] + [n for m in self.email_patterns for n, _ in m.tags]
+        if missing := [n for n in used if n not in self.namespaces]:
+            raise ValueError(f"{missing[0]} is no namespace of the strategy")
+        for r in self.path_rules:
+            if not isinstance(r.level, int) or r.level < 0:
+                raise ValueError(f"a path rule of level {r.level}")
+        for r in self.keyword_rules:
+            if r.priority < 1 or not (r.any_of or r.all_of) or r.namespace not in OVERRIDEABLE:
+                raise ValueError(f"a keyword rule needs keywords, a priority from 1 up and one of {OVERRIDEABLE}: {r}")
+
+    def rules(self, spark: SparkSession) -> DataFrame:
+        """The rules as a table for operators.tagging, in the strategy's order."""
+        from ..operators.tagging import RULES
+
+        rows: list[tuple] = []
+
+        def add(source: str, namespace: str, value: str | None = None, level: int | None = None, folder: str | None = None, pattern: str | None = None, capture: int | None = None, transform: str | None = None, parent: str | None = None, any_of: tuple = (), all_of: tuple = (), case: bool | None = None, priority: int | None = None) -> None:
+            rows.append((len(rows), source, namespace, value, level, folder, pattern, capture, transform, parent, list(any_of), list(all_of), case, priority))
+
+        for r in self.path_rules:
+            if r.mapping:
+                for folder, value in r.mapping.items():
+                    add("path", r.namespace, value, r.level, folder, parent=r.parent)
+            else:
+                add("path", r.namespace, None, r.level, None, r.pattern, r.group, r.transform, r.parent)
+        for k in self.keyword_rules:
+            add("keyword", k.namespace, k.value, any_of=k.any_of, all_of=k.all_of, case=k.case_sensitive, priority=k.priority)
+        for m in self.email_patterns:
+            for namespace, value in m.tags:
+                add("email", namespace, value, pattern=m.pattern)
+        return spark.createDataFrame(rows, RULES)
+
     def path_tags(self, path: Column) -> Column:
         parts = F.split(path, "/")
         tags = []
         for r in self.path_rules:
-            found = F.regexp_extract(F.coalesce(F.get(parts, F.lit(r.level)), F.lit("")), r.pattern, r.group)
+            found = F.regexp_extract(F.coalesce(F.get(parts, F.lit(r.level)), F.lit("")), r.pattern or "(.+)", r.group)
             value = F.coalesce(F.create_map(*[F.lit(x) for kv in r.mapping.items() for x in kv])[found], found) if r.mapping else found
             tags.append(F.when(found != "", F.concat(F.lit(f"{r.namespace}:"), value)))
         return F.array_distinct(F.array_compact(F.array(*tags))) if tags else F.array().cast("array<string>")

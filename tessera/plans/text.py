@@ -1,12 +1,14 @@
 """Text functions and rules. The corpus has no question of the trade, so messages get one in front, picked by their key."""
 
+import json
 import os
 
 from pyspark.sql import functions as F
 
-from ..functions import lists, rules
+from ..functions import config, lists, rules
 from ..functions import text as tx
 from ..operators import joins as jn
+from ..operators import tagging
 from .registry import query
 
 #: Questions that are put before the messages, by turn of their key.
@@ -429,3 +431,51 @@ def txt_entity_sql_map(t):
     needed = lambda sql: F.array_distinct(F.regexp_extract_all(F.lit(sql), F.lit(r":(\w+)"), F.lit(1)))
     rows = [F.struct(F.lit(n).alias("name"), (F.size(F.array_intersect(needed(sql), has)) / F.size(needed(sql))).alias("s")) for n, sql in templates.items()]
     return t.orders.select("o_orderpriority").distinct().select("o_orderpriority", F.explode(F.array(*rows)).alias("r")).select("o_orderpriority", "r.name", F.round("r.s", 6).alias("satisfied"))
+
+
+_STRATEGY = {
+    "namespaces": ["site", "lang", "number", "topic", "entity", "mood"],
+    "path_rules": [
+        {"namespace": "lang", "level": 1, "pattern": "([a-z]+)$", "transform": "lowercase"},
+        {"namespace": "number", "level": 2, "pattern": "([0-9])[0-9]*$", "parent": "(?:en|de)$"},
+        {"namespace": "topic", "level": 1, "mapping": {"de": "german", "fr": "french"}},
+    ],
+    "email_patterns": [
+        {"pattern": "(?i)ment[ ,.]", "tags": [{"namespace": "mood", "value": "calm"}, {"namespace": "topic", "value": "ment"}]},
+        {"pattern": "^The|ing[.]$", "tags": [{"namespace": "mood", "value": "calm"}]},
+    ],
+}
+
+
+@query(
+    "plug_strategy_yaml",
+    r"""WITH w AS (SELECT item_id, string_split(text, ' ') AS s FROM benchmark), i AS (SELECT item_id, s, unnest(range(1, len(s) - 2)) AS i FROM w),
+            k AS (SELECT item_id * 1000 + i AS rule_id, CASE i % 2 WHEN 0 THEN 'topic' ELSE 'entity' END AS namespace, CAST(item_id AS VARCHAR) AS value, s[i] || ' ' || s[i + 1] AS phrase, s[i + 3] AS other, i % 3 = 0 AS exact, 1 + i % 7 AS priority FROM i),
+            n AS (SELECT *, trim(regexp_replace(nfc_normalize(phrase), '\s+', ' ', 'g')) AS a, trim(regexp_replace(nfc_normalize(other), '\s+', ' ', 'g')) AS b FROM k),
+            d AS (SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS text FROM documents), u AS (SELECT doc_id, text, upper(text) AS caps FROM d),
+            h AS (SELECT doc_id, namespace, value, priority, rule_id FROM u JOIN n ON CASE WHEN exact THEN contains(text, a) AND contains(text, b) ELSE contains(caps, upper(a)) AND contains(caps, upper(b)) END),
+            p AS (SELECT page_id, string_split(regexp_replace(url, '^[^:]*://', ''), '/') AS f FROM pages), q AS (SELECT page_id, CASE WHEN contains(f[-1], '.') THEN f[:-2] ELSE f END AS f FROM p)
+       SELECT 'document' AS kind, doc_id AS id, namespace || ':' || value AS tag FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, namespace ORDER BY priority DESC, rule_id) = 1
+       UNION ALL SELECT 'page', page_id, 'site:' || upper(f[1]) FROM q WHERE len(f) > 0
+       UNION ALL SELECT 'page', page_id, 'lang:' || lower(regexp_extract(f[2], '^([a-z]+)$', 1)) FROM q WHERE regexp_matches(f[2], '^[a-z]+$')
+       UNION ALL SELECT 'page', page_id, 'number:' || f[3][1] FROM q WHERE regexp_matches(f[3], '^[0-9]+$') AND f[2] IN ('en', 'de')
+       UNION ALL SELECT 'page', page_id, 'topic:' || CASE f[2] WHEN 'de' THEN 'german' ELSE 'french' END FROM q WHERE f[2] IN ('de', 'fr')
+       UNION ALL SELECT 'message', conv_id * 1000 + turn, unnest(CASE WHEN regexp_matches(text, '(?i)ment[ ,.]') THEN ['mood:calm', 'topic:ment'] ELSE ['mood:calm'] END) FROM conversations WHERE regexp_matches(text, '(?i)ment[ ,.]') OR regexp_matches(text, '^The|ing[.]$')""",
+)
+def plug_strategy_yaml(t):
+    """A strategy with a keyword rule for each place in a benchmark text and a path rule for each host, over documents, pages and messages."""
+    strategy = config.Strategy.load(json.dumps(_STRATEGY))
+    path = F.regexp_replace("url", "^[^:]*://", "")
+    words = t.benchmark.select("item_id", F.split("text", " ").alias("s")).select("item_id", "s", F.explode(F.sequence(F.lit(1), F.size("s") - 3)).alias("i"))
+    at = lambda k: F.get(F.col("s"), F.col("i") + (k - 1))
+    keywords = words.select(
+        (F.col("item_id") * 1000 + F.col("i")).cast("int").alias("rule_id"), F.lit("keyword").alias("source"), F.when(F.col("i") % 2 == 0, "topic").otherwise("entity").alias("namespace"), F.col("item_id").cast("string").alias("value"),
+        F.array(F.concat_ws(" ", at(0), at(1))).alias("any_of"), F.array(at(3)).alias("all_of"), (F.col("i") % 3 == 0).alias("case_sensitive"), (1 + F.col("i") % 7).alias("priority"),
+    )
+    hosts = t.pages.select(F.split(path, "/")[0].alias("folder")).distinct().select(F.hash("folder").alias("rule_id"), F.lit("path").alias("source"), F.lit("site").alias("namespace"), F.upper("folder").alias("value"), F.lit(0).alias("level"), "folder")
+    rules = strategy.rules(t.spark).unionByName(keywords, allowMissingColumns=True).unionByName(hosts, allowMissingColumns=True)
+    told = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.concat_ws(":", "namespace", "value").alias("tag"))
+    messages = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    out = told(tagging.keyword_tags(t.documents, "doc_id", "text", rules), "document", "doc_id")
+    out = out.unionByName(told(tagging.path_tags(t.pages.select("page_id", path.alias("path")), "page_id", "path", rules), "page", "page_id"))
+    return out.unionByName(told(tagging.email_tags(messages, "id", "text", rules), "message", "id"))
