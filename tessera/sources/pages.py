@@ -115,10 +115,10 @@ class PageReader(DataSourceReader):
     def partitions(self) -> list[Page]:
         system, path = opened(self.folder)
         known = _load(system, f"{path}/{MANIFEST}") or {"pages": []}
-        return [Page(**p) for p in known["pages"] if self.tenant is None or p["tenant"] in self.tenant] or [None]
+        return [Page(**p) for p in known["pages"] if self.tenant is None or p["tenant"] in self.tenant] or [Page("", None, 0, 0)]
 
-    def read(self, partition: Page | None) -> Iterator[tuple]:
-        if partition is not None:
+    def read(self, partition: Page) -> Iterator[tuple]:
+        if partition.name:
             system, path = opened(self.folder)
             page = _load(system, f"{path}/{partition.name}")
             if len(page["rows"]) != partition.rows:
