@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import config
 from ..operators import mutations as mut
 from ..operators import windows as win
-from ..sources import connectors
+from ..sources import office
 from .registry import query
 
 
@@ -78,12 +78,10 @@ def claim_update_where(t):
 
 @query("export_chunks_excel", "SELECT s_suppkey, s_nationkey, s_name FROM supplier")
 def export_chunks_excel(t):
-    """Suppliers exported as delimited files, a folder for each nation, and read again."""
-    from .state import scratch
-
-    path = scratch(t)
-    connectors.export(t.supplier.select("s_suppkey", "s_nationkey", "s_name"), path, "s_nationkey")
-    return t.spark.read.option("header", True).schema("s_suppkey long, s_name string, s_nationkey int").csv(path).select("s_suppkey", "s_nationkey", "s_name")
+    """Suppliers exported as workbooks, a sheet for each nation with a header, and read again."""
+    books = office.workbooks(t.supplier.withColumn("book", F.lit("suppliers")), "book", "s_nationkey", ["s_suppkey"], ["s_suppkey", "s_name"])
+    rows = office.parsed(books).filter("number > 1")
+    return rows.select(F.col("cells")[0].cast("long").alias("s_suppkey"), F.col("part").cast("int").alias("s_nationkey"), F.col("cells")[1].alias("s_name"))
 
 
 @query("retention_purge", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-16' - INTERVAL 7 DAY")

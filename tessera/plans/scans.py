@@ -4,7 +4,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import structure
-from ..sources import files
+from ..sources import files, office
 from .registry import query
 
 
@@ -100,3 +100,35 @@ def scan_docling(t):
     """Chunks of pages below their headings, at most 128 words each, with the trail of headings that leads there."""
     found = t.pages.select("page_id", F.posexplode(structure.chunks(structure.elements(F.col("html")), 128)).alias("chunk_index", "c"))
     return found.select("page_id", "chunk_index", "c.breadcrumb", "c.section", "c.text")
+
+
+@query(
+    "scan_xlsx_text",
+    """SELECT c_nationkey AS nation, c_mktsegment AS sheet, CAST(1 + row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS INT) AS row, concat_ws(', ', c_custkey, c_name, CAST(round(c_acctbal * 100) AS BIGINT)) AS text FROM customer
+       UNION ALL SELECT DISTINCT c_nationkey, c_mktsegment, 1, 'c_custkey, c_name, cents' FROM customer""",
+)
+def scan_xlsx_text(t):
+    """Customers as workbooks, one a nation with a sheet for each segment, read back row by row."""
+    rows = t.customer.withColumn("cents", F.round(F.col("c_acctbal") * 100).cast("long"))
+    found = office.parsed(office.workbooks(rows, "c_nationkey", "c_mktsegment", ["c_custkey"], ["c_custkey", "c_name", "cents"]))
+    return found.select(F.split_part("path", F.lit("-"), F.lit(1)).cast("int").alias("nation"), F.col("part").alias("sheet"), F.col("number").alias("row"), office.line(F.col("kind"), F.col("cells")).alias("text"))
+
+
+_XML = "[^\\t\\n\\r\\x{20}-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]"
+
+
+@query(
+    "scan_pdf_docx_pptx",
+    f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), p AS (SELECT doc_id, i, regexp_replace(replace(s[i], chr(13), chr(10)), '{_XML}', '', 'g') AS text FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM l))
+       SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS number, text FROM p WHERE regexp_matches(text, '[^ \\t\\n\\r\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]')""",
+)
+def scan_pdf_docx_pptx(t):
+    """Every document as a text processor's file, a paragraph for each line; its paragraphs read back."""
+    import pandas as pd
+
+    def write(frames):
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["doc_id"].astype(str), "content": [office.letter(x.split("\n")) for x in frame["text"].fillna("")]})
+
+    found = office.parsed(t.documents.select("doc_id", "text").mapInPandas(write, "path string, content binary"))
+    return found.filter("kind = 'paragraph' OR error IS NOT NULL").select(F.col("path").cast("long").alias("doc_id"), "number", F.coalesce(F.col("cells")[0], "error").alias("text"))
