@@ -52,3 +52,15 @@ INTENTS = {
     "epli": r"(?i)(?:epli|employment\s+practices)",
     "umbrella": r"(?i)\b(?:umbrella|excess)\b",
 }
+
+# fixed values: (any of these in a question, in lower case; what it is also searched with)
+EXPANSIONS = (
+    (("customer", "client"), "customer company revenue sales account"),
+    (("top", "best", "biggest", "largest", "highest"), "highest revenue largest sales top ranking"),
+    (("employee", "staff", "who works", "team"), "employee directory staff name department role"),
+    (("budget", "financial", "cost", "expense", "revenue"), "budget expense revenue financial quarterly annual"),
+    (("vendor", "supplier"), "vendor supplier company contact procurement"),
+    (("inventory", "stock", "product", "sku"), "inventory product SKU quantity stock warehouse"),
+    (("policy", "procedure"), "policy procedure guideline rule compliance"),
+    (("table", "data", "spreadsheet", "report"), "table data row column statistics report"),
+)

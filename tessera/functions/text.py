@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -108,3 +109,30 @@ def html_text(html: str | Column) -> Column:
     html = F.col(html) if isinstance(html, str) else html
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, "<[^>]+>", " "), r"\s+", " "))
+
+
+def variants(question: Column, synonyms: Sequence[tuple[str, Sequence[str]]], topics: Sequence[tuple[Sequence[str], str]]) -> Column:
+    """What a question is searched as: itself, then what each group of ``synonyms`` and each of ``topics`` adds, in their order.
+
+    A group is a term and its synonyms; a term matches if all of its tokens are tokens of the question. Where the term
+    matches, its synonyms are added; else, for the first synonym that does, the term and the other synonyms. A topic's text is
+    added if any of its words is anywhere in the question, in lower case. Variants may repeat; a null question has none.
+    """
+    own, low = tokens(question), F.lower(question)
+    ascii_word = re.compile("[a-z0-9]+")
+
+    def fits(term: str) -> Column:
+        needed = [w for w in re.split(r"[^\w]+", term.lower()) if len(w) >= 2 and ascii_word.fullmatch(w)]
+        return F.size(F.array_except(F.array(*[F.lit(w) for w in needed]), own)) == 0 if needed else F.lit(True)
+
+    array = lambda texts: F.array(*[F.lit(x) for x in texts]).cast("array<string>")
+    added = [F.array(question)]
+    for term, others in synonyms:
+        more = F.when(fits(term), array(others))
+        for i, other in enumerate(others):
+            more = more.when(fits(other), array([term, *others[:i], *others[i + 1 :]]))
+        added.append(more.otherwise(array([])))
+    for words_, text in topics:
+        found = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words_])
+        added.append(F.when(found, array([text])).otherwise(array([])))
+    return F.when(question.isNotNull(), F.concat(*added))

@@ -133,15 +133,28 @@ def txt_entity_detect(t):
     return asked(t).select("conv_id", "turn", found.alias("f")).filter(F.size("f") == 1).select("conv_id", "turn", F.concat(F.lit("client:"), F.col("f")[0]).alias("entity"))
 
 
-_SYN = (("policy", "contract"), ("quote", "proposal"), ("building", "structure"))
+#: Terms of the trade and what else they are called.
+SYNONYMS = (("policy", ("contract", "coverage form")), ("general liability", ("GL", "commercial general")), ("quote", ("proposal", "binder")), ("building", ("structure", "premises location")), ("workers comp", ("WC", "workers compensation")))
 
 
-@query("txt_query_expand", f"SELECT conv_id, turn, lower(q) || CASE WHEN contains(lower(q), 'policy') THEN ' contract' WHEN contains(lower(q), 'contract') THEN ' policy' ELSE '' END || CASE WHEN contains(lower(q), 'quote') THEN ' proposal' WHEN contains(lower(q), 'proposal') THEN ' quote' ELSE '' END || CASE WHEN contains(lower(q), 'building') THEN ' structure' WHEN contains(lower(q), 'structure') THEN ' building' ELSE '' END AS expanded FROM {ASKED_SQL}")
+def _expand_sql():
+    """Each group's terms with their tokens; the first that fits decides what the group adds."""
+    text = lambda x: "'" + x + "'"
+    groups = ", ".join(f"({g}, [{', '.join(map(text, (term, *others)))}])" for g, (term, others) in enumerate(SYNONYMS))
+    topics = ", ".join(f"({g}, [{', '.join(map(text, words))}], {text(x)})" for g, (words, x) in enumerate(lists.EXPANSIONS))
+    return f"""WITH a AS (SELECT conv_id, turn, q, lower(q) AS low, {_toks(2, 'q')} AS own FROM {ASKED_SQL}),
+            g AS (SELECT g, terms, i, {_toks(2, 'term')} AS need FROM (SELECT g, terms, unnest(range(1, len(terms) + 1)) AS i, unnest(terms) AS term FROM (VALUES {groups}) v(g, terms))),
+            f AS (SELECT conv_id, turn, g, min(i) AS i FROM a JOIN g ON list_has_all(own, need) GROUP BY ALL),
+            s AS (SELECT conv_id, turn, g, unnest(list_filter(terms, lambda x: x <> terms[i])) AS variant, generate_subscripts(list_filter(terms, lambda x: x <> terms[i]), 1) AS k FROM f JOIN (SELECT DISTINCT g, terms FROM g) USING (g)),
+            v AS (SELECT conv_id, turn, -1 AS g, 0 AS k, q AS variant FROM a UNION ALL SELECT conv_id, turn, g, k, variant FROM s
+                  UNION ALL SELECT conv_id, turn, 100 + g, 0, topic FROM a JOIN (VALUES {topics}) w(g, words, topic) ON len(list_filter(words, lambda x: contains(low, x))) > 0)
+       SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY g, k) - 1 AS INT) AS place, variant FROM v"""
+
+
+@query("txt_query_expand", _expand_sql())
 def txt_query_expand(t):
-    """Each synonym group adds the other word of its first match."""
-    q = F.lower("q")
-    more = [F.when(q.contains(a), f" {b}").when(q.contains(b), f" {a}").otherwise("") for a, b in _SYN]
-    return asked(t).select("conv_id", "turn", F.concat(q, *more).alias("expanded"))
+    """What each question is searched as: itself, what synonyms add, what its topics add."""
+    return asked(t).select("conv_id", "turn", F.posexplode(tx.variants(F.col("q"), SYNONYMS, lists.EXPANSIONS)).alias("place", "variant"))
 
 
 @query(
