@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import tenants
 from ..operators import windows as win
-from ..sources import connectors, pages
+from ..sources import connectors, modules, pages
 from ..streaming import events as ev
 from ..streaming import jobs
 from .registry import query
@@ -193,3 +194,67 @@ def connector_ams(t):
     systems.push("pages", rows.filter("c_acctbal < 0").withColumns({"c_acctbal": F.lit(0.0), "revision": F.lit(2)}), path=folder, tenant_column="tenant")
     wanted = [str(r[0]) for r in t.nation.filter("n_regionkey <> 3").select("n_nationkey").collect()]  # the nations, a dimension of 25
     return win.first_per_group(systems.pull("pages", path=folder, tenant=",".join(wanted)), ["c_custkey"], [F.desc("revision")], 1)
+
+
+@query(
+    "plug_tenant_config",
+    """WITH c AS (SELECT *, c_custkey % 7 AS k FROM customer)
+       SELECT c_custkey, CASE k WHEN 0 THEN c_name ELSE '' END AS display_name, CASE k WHEN 0 THEN 'core,' || lower(c_mktsegment) ELSE 'core' END AS active_modules, k = 0 AS feature_flags_structured_query, false AS feature_flags_enrichment,
+              CASE k WHEN 0 THEN 'medium-1' ELSE 'small-1' END AS ai_models_query_model, 'large-1' AS ai_models_enrichment_model, 150.0::DOUBLE AS ai_models_monthly_query_cap_usd,
+              CASE k WHEN 0 THEN c_acctbal WHEN 6 THEN 2.5 ELSE 10.0 END AS ai_models_daily_enrichment_cap_usd, '#1a73e8' AS branding_primary_color,
+              CASE k WHEN 2 THEN 'no JSON object' WHEN 3 THEN 'ai_models_daily_enrichment_cap_usd is no double' WHEN 4 THEN 'ai_models_query_model: no model named medium' END AS error FROM c""",
+)
+def plug_tenant_config(t):
+    """Each customer as a tenant: settings of its own, unknown keys, a broken text, a wrong type, a model without its version, none, and a number as text."""
+    own = F.to_json(F.struct(
+        F.col("c_name").alias("display_name"), F.array(F.lit("core"), F.lower("c_mktsegment")).alias("active_modules"), F.struct(F.lit(True).alias("structured_query")).alias("feature_flags"),
+        F.struct(F.lit("medium-1").alias("query_model"), F.col("c_acctbal").alias("daily_enrichment_cap_usd"), F.lit(1).alias("unknown")).alias("ai_models"),
+    ))
+    texts = [own, F.lit('{"colour": "red", "ai_models": {"x": [1]}}'), F.concat(F.lit('{"display_name": "'), "c_name"), F.lit('{"display_name": "x", "ai_models": {"daily_enrichment_cap_usd": "many"}}'), F.lit('{"ai_models": {"query_model": "medium"}}'), F.lit(None).cast("string"), F.lit('{"ai_models": {"daily_enrichment_cap_usd": "2.5"}}')]
+    rows = t.customer.select("c_custkey", F.element_at(F.array(*texts), (1 + F.col("c_custkey") % 7).cast("int")).alias("text"))
+    return tenants.resolved(rows, "c_custkey", "text", ["small-1", "medium-1", "large-1"]).withColumn("active_modules", F.array_join("active_modules", ","))
+
+
+@query(
+    "plug_tenant_prompt_resolve",
+    """WITH a AS (SELECT c_custkey, c_mktsegment, c_acctbal, unnest(['answer', 'route', 'title']) AS name FROM customer)
+       SELECT c_custkey, name, CASE WHEN name = 'answer' AND c_acctbal < 0 THEN 'own ' || c_custkey WHEN name = 'route' THEN 'of ' || c_mktsegment WHEN name = 'answer' THEN 'core answer' END AS prompt,
+              CASE WHEN name = 'answer' AND c_acctbal < 0 THEN 'tenant' WHEN name = 'route' THEN 'module' WHEN name = 'answer' THEN 'core' END AS layer FROM a""",
+)
+def plug_tenant_prompt_resolve(t):
+    """Three prompts for each customer: those in debt have one of their own, segments another, all a third; nobody has a title."""
+    asked = t.customer.select("c_custkey", "c_mktsegment", F.explode(F.array(F.lit("answer"), F.lit("route"), F.lit("title"))).alias("name"))
+    mine = t.customer.filter("c_acctbal < 0").select(F.lit("tenant").alias("layer"), F.col("c_custkey").cast("string").alias("owner"), F.lit("answer").alias("name"), F.concat_ws(" ", F.lit("own"), "c_custkey").alias("prompt"))
+    segment = t.customer.select(F.lit("module").alias("layer"), F.col("c_mktsegment").alias("owner"), F.lit("route").alias("name"), F.concat_ws(" ", F.lit("of"), "c_mktsegment").alias("prompt")).distinct()
+    core = t.spark.createDataFrame([("core", "", name, f"core {name}") for name in ("answer", "route")], "layer string, owner string, name string, prompt string")
+    return tenants.prompts(asked, mine.unionByName(segment).unionByName(core), {"tenant": "c_custkey", "module": "c_mktsegment", "core": None}).select("c_custkey", "name", "prompt", "layer")
+
+
+@query(
+    "plug_module_registry",
+    """WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_totalprice >= 200000 THEN 'large' WHEN o_totalprice >= 50000 THEN 'middle' ELSE 'small' END AS band FROM orders), c AS (SELECT c_nationkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS band FROM customer)
+       SELECT * FROM (SELECT 'orders' AS module, band, count(*) AS n, min(o_orderkey) AS least FROM o GROUP BY band ORDER BY band LIMIT 100)
+       UNION ALL SELECT * FROM (SELECT 'accounts', band, count(*), min(c_nationkey) FROM c GROUP BY band ORDER BY band LIMIT 100) UNION ALL SELECT 'failed', 'broken', 0, 0""",
+)
+def plug_module_registry(t):
+    """Two modules with a function of the same name and a template each, side by side; a third fails half-way and is only told of."""
+
+    def orders(m):
+        m.function("band", "x DOUBLE", "STRING", "CASE WHEN x >= 200000 THEN 'large' WHEN x >= 50000 THEN 'middle' ELSE 'small' END")
+        m.template("bands", "SELECT 'orders' AS module, orders_band(o_totalprice) AS band, count(*) AS n, min(o_orderkey) AS least FROM orders GROUP BY 2 ORDER BY 2 LIMIT :row_cap")
+
+    def accounts(m):
+        m.function("band", "x DOUBLE", "STRING", "CASE WHEN x < 0 THEN 'debt' ELSE 'credit' END")
+        m.template("bands", "SELECT 'accounts' AS module, accounts_band(c_acctbal) AS band, count(*) AS n, min(c_nationkey) AS least FROM customer GROUP BY 2 ORDER BY 2 LIMIT :row_cap")
+
+    def broken(m):
+        m.function("half", "x DOUBLE", "DOUBLE", "x / 2")
+        m.template("all", "SELECT * FROM orders")
+
+    known = modules.Modules(t.spark)
+    for name, loader in (("orders", orders), ("broken", broken), ("accounts", accounts)):
+        known.load(name, loader)
+    out = t.spark.createDataFrame([("failed", name, 0, 0) for name in known.failed], "module string, band string, n long, least long")
+    for name in known.names():
+        out = out.unionByName(known.run(t, name, "bands", {"row_cap": 100}))
+    return out
