@@ -159,14 +159,14 @@ def table_extract_gate(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n")).filter("n >= 2 AND n - 1 >= 2").select("l_orderkey")
 
 
-@query("table_header_promote", "SELECT l_orderkey, false AS header FROM lineitem WHERE l_linenumber = 1 GROUP BY 1")
+@query("table_header_promote", "SELECT l_orderkey, bool_or(a.l_quantity > 25 AND b.l_orderkey IS NOT NULL) AS header FROM lineitem a LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 2) b USING (l_orderkey) WHERE a.l_linenumber = 1 GROUP BY 1")
 def table_header_promote(t):
-    """Is the first row all text and the second not? (Here rows start with a number, so it never is.)"""
-    first = t.lineitem.filter("l_linenumber = 1").select("l_orderkey", F.array(F.col("l_quantity").cast("string"), "l_returnflag").alias("cells"))
+    """Is the first row all text and the second not? (Here first rows of large quantities have text in place of the number.)"""
+    first = t.lineitem.filter("l_linenumber = 1").select("l_orderkey", F.array(F.when(F.col("l_quantity") > 25, F.col("l_linestatus")).otherwise(F.col("l_quantity").cast("string")), "l_returnflag").alias("cells"))
     second = t.lineitem.filter("l_linenumber = 2").select("l_orderkey", F.array(F.col("l_quantity").cast("string"), "l_returnflag").alias("under"))
     number = lambda x: x.try_cast("double").isNotNull()
     rows = first.join(second, "l_orderkey", "left")
-    return rows.select("l_orderkey", (~F.exists("cells", number) & F.coalesce(F.exists("under", number), F.lit(False))).alias("header")).distinct()
+    return rows.select("l_orderkey", (~F.exists("cells", number) & F.coalesce(F.exists("under", number), F.lit(False))).alias("header")).groupBy("l_orderkey").agg(F.bool_or("header").alias("header"))
 
 
 @query("table_name_slug", "SELECT p_partkey, substr(regexp_replace(regexp_replace(lower(p_name || '/' || p_type), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g'), 1, 40) || '_' || substr(sha256(p_partkey || ':0'), 1, 8) AS name FROM part")
@@ -183,11 +183,11 @@ def row_value_samples(t):
     return ch.value_samples(t.part, "p_partkey", ["p_type", "p_brand", "p_size", "p_retailprice"])
 
 
-@query("pl_table_detect", "SELECT c_nationkey, len(list_intersect(list(DISTINCT lower(c_mktsegment)), ['building', 'machinery', 'revenue'])) >= 2 AS is_pl FROM customer WHERE c_acctbal > 9000 GROUP BY 1")
+@query("pl_table_detect", "SELECT c_nationkey, CAST(floor(c_acctbal / 500) AS BIGINT) AS level, len(list_intersect(list(DISTINCT lower(c_mktsegment)), ['building', 'machinery', 'revenue'])) >= 2 AS is_pl FROM customer GROUP BY 1, 2")
 def pl_table_detect(t):
     signs = F.array(F.lit("building"), F.lit("machinery"), F.lit("revenue"))
-    found = t.customer.filter("c_acctbal > 9000").groupBy("c_nationkey").agg(F.collect_set(F.lower("c_mktsegment")).alias("v"))
-    return found.select("c_nationkey", (F.size(F.array_intersect("v", signs)) >= 2).alias("is_pl"))
+    found = t.customer.groupBy("c_nationkey", F.floor(F.col("c_acctbal") / 500).alias("level")).agg(F.collect_set(F.lower("c_mktsegment")).alias("v"))
+    return found.select("c_nationkey", "level", (F.size(F.array_intersect("v", signs)) >= 2).alias("is_pl"))
 
 
 @query(

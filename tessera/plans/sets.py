@@ -7,9 +7,11 @@ from ..operators import windows as win
 from .registry import query
 
 
-@query("union_all_tagged", "SELECT CAST(year(o_orderdate) AS VARCHAR) AS year, o_orderpriority, count(*) AS n FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1998 AND o_orderpriority IS NOT NULL GROUP BY ALL")
+@query("union_all_tagged", "SELECT CAST(year(o_orderdate) AS VARCHAR) AS year, o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY ALL")
 def union_all_tagged(t):
-    years = {str(y): t.orders.filter((F.col("o_orderdate") >= F.lit(f"{y}-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz"))) for y in range(1995, 1999)}
+    """One table a year, as many as there are years, put together again."""
+    first, last = t.orders.agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    years = {str(y): t.orders.filter((F.col("o_orderdate") >= F.lit(f"{y}-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz"))) for y in range(first, last + 1)}
     return st.union_tagged(years, "year").filter("o_orderpriority IS NOT NULL").groupBy("year", "o_orderpriority").agg(F.count("*").alias("n"))
 
 

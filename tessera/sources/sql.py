@@ -25,7 +25,7 @@ class Refused(ValueError):
 
 #: What a query's parsed plan may consist of. Commands, scripts, table functions and whatever else there is are not in it.
 QUERY = {
-    "Project", "Filter", "Join", "LateralJoin", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except", "Intersect", "SubqueryAlias", "OneRowRelation",
+    "Project", "Filter", "Join", "LateralJoin", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except", "Intersect", "SubqueryAlias", "OneRowRelation", "LocalRelation",
     "UnresolvedRelation", "UnresolvedHaving", "UnresolvedWith", "UnresolvedInlineTable", "UnresolvedSubqueryColumnAliases", "WithWindowDefinition", "Pivot", "Unpivot", "Generate", "Sample",
 }
 #: Functions that reach out of the query.

@@ -16,7 +16,7 @@ FINE = [
     "SELECT count(*) FROM orders GROUP BY o_custkey HAVING count(*) > 1 ORDER BY 1 LIMIT 5 OFFSET 2", "SELECT x FROM orders LATERAL VIEW explode(array(1, 2)) e AS x", "SELECT c_custkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey LIMIT 1)",
 ]
 BAD = {
-    "SELECT 1; SELECT 2": "syntax", "SELECT FROM WHERE": "syntax", "SELECT 1) t; SELECT (2": "syntax", "SELECT /* x": "syntax", "": "statement", "WITH a AS (SELECT 1) SELECT * FROM a": "statement", "SHOW TABLES": "statement", "DROP TABLE orders": "statement",
+    "SELECT 1; SELECT 2": "syntax", "SELECT FROM (": "syntax", "SELECT 1) t; SELECT (2": "syntax", "SELECT /* x": "syntax", "": "statement", "WITH a AS (SELECT 1) SELECT * FROM a": "statement", "SHOW TABLES": "statement", "DROP TABLE orders": "statement",
     "SELECT * FROM secret": "relation", "SELECT * FROM other.orders": "relation", "SELECT * FROM parquet.`/etc/x`": "relation", "SELECT * FROM orders WHERE o_custkey IN (SELECT x FROM secret)": "relation", "SELECT (SELECT max(x) FROM secret)": "relation",
     "SELECT * FROM orders WHERE EXISTS (SELECT 1 FROM secret)": "relation", "SELECT * FROM (WITH orders AS (SELECT * FROM secret) SELECT * FROM orders)": "relation", "SELECT 1 FROM orders, LATERAL (SELECT * FROM secret)": "relation",
     "SELECT reflect('java.lang.System', 'exit', 1)": "function", "SELECT * FROM range(10)": "statement", "SELECT TRANSFORM (o_orderkey) USING 'cat' FROM orders": "statement", "SELECT 1 UNION SELECT x FROM secret": "relation", "SELECT * FROM orders ORDER BY (SELECT x FROM secret)": "relation",
