@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     Equal texts, and texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more, are in
     one class, and so on from text to text. A null text is in a class of its own (its doc_id); a text without
-    words only with texts equal to it. A class in which no row has a doc_id has a null class_id.
+    words only with texts equal to it. A class in which no row has a doc_id has a null class_id. A text of any length is
+    compared as a whole; columns by other names are not read.
     """
     rows, nodes = classes(_with_node(docs.select("doc_id", "text")), similarity, bands, per_band, rounds)
     named = nodes.groupBy("label").agg(F.min("least").alias("class_id"))
@@ -256,12 +257,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """One row of each class of near_duplicates, that with the least doc_id, with all its columns; rows with a null text stay."""
-    own = _with_node(docs)
+    """One row of each class of near_duplicates, that with the least doc_id, with all its columns; rows with a null text stay.
+
+    Columns may have any names: they travel in one column of their own. A text of any length is compared as a whole. Of
+    rows that are the same in text and doc_id one stays.
+    """
+    own = _with_node(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
     _, nodes = classes(own, similarity, bands, per_band, rounds)
     stays = nodes.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("m")).select(F.col("m.node").alias("node"), F.col("m.least").alias("_least"))
     chosen = own.join(stays, "node").filter(F.col("doc_id").eqNullSafe(F.col("_least"))).dropDuplicates(["node"])
-    return chosen.select(*docs.columns).unionByName(docs.filter("text is null"))
+    return chosen.select("_row.*").unionByName(docs.filter("text is null"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

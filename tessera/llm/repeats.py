@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import common, hashing
@@ -225,17 +226,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     Words are runs without ASCII white space. A null text has none. A null doc_id counts as larger than any;
     rows with one doc_id don't cover each other. Each row is judged on the input as it is; a repeated row is
     judged as often as it stands there. A text of any length is read whole. ``verbatim``: a text that loses
-    nothing keeps its white space.
+    nothing keeps its white space. Kept columns may have any names; one that is called like a column of the result
+    comes back with ``given_`` before its name.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).withColumn("order", F.coalesce("doc_id", F.lit(_NEVER))).withColumn("key", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*([F.col(f"`{c}`") for c in keep] or [F.lit(0)])).alias("row")).withColumn("order", F.coalesce("doc_id", F.lit(_NEVER))).withColumn("key", F.xxhash64("text"))
     copies, covered = covered_windows(rows, window, phrase, shard, in_hand)
     merged = covered.groupBy("order", "key").agg(F.collect_list("at").alias("found")).withColumn("copy", F.lit(False))  # no more than the document has words
     gone = merged.unionByName(copies.select("order", "key", F.lit(None).cast("array<int>").alias("found"), F.lit(True).alias("copy")))
     joined = rows.join(gone, ["order", "key"], "left")
-    names = ["doc_id", *keep]
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_words long, n_removed long, kept string"
-    return joined.select(*names, "text", "copy", "found").mapInArrow(_kept(names, window, verbatim), schema)
+    names = ["doc_id", "row"]
+    own = T.StructType([*[rows.schema[n] for n in names], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    found = joined.select(*names, "text", "copy", "found").mapInArrow(_kept(names, window, verbatim), own)
+    taken = {"doc_id", "n_words", "n_removed", "kept"}
+    return found.select("doc_id", *[F.col(f"row.`{c}`").alias(f"given_{c}" if c in taken else c) for c in keep], "n_words", "n_removed", "kept")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,11 @@ def test_very_long_texts_and_one_large_group(spark):
     rows += [(10 + i, " ".join(base)) for i in range(300)] + [(400 + i, " ".join([*base[: i % 110], f"x{i}", *base[i % 110 :]])) for i in range(300)]
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 1 if i < 3 else 3 if i == 3 else 10 for i, _ in rows}
+
+
+def test_columns_of_any_names_stay(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(2, text, "a", "b", "c", "d"), (1, text, "e", "f", "g", "h"), (3, None, "i", "j", "k", "l"), (4, "other words here and there", "m", "n", "o", "p")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, node string, label string, _row string, `a.b` string")
+    got = neardup.deduplicate(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(rows[1:])

@@ -75,3 +75,12 @@ def test_untouched_texts_keep_their_blanks(spark):
 
 def test_an_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_kept_columns_of_any_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    names = ["order", "copy", "found", "key", "row", "n_words", "a.b"]
+    docs = spark.createDataFrame([(i, text, *[f"{n}{i}" for n in names]) for i in (1, 2)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = repeats.remove_repeats(docs, keep=tuple(names))
+    assert got.columns == ["doc_id", "order", "copy", "found", "key", "row", "given_n_words", "a.b", "n_words", "n_removed", "kept"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, *[f"{n}1" for n in names], 60, 0, text), (2, *[f"{n}2" for n in names], 60, 60, "")]
