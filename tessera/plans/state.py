@@ -42,8 +42,8 @@ _OUTCOMES = {"click": "completed", "error": "failed", "signup": "skipped", "view
                   FROM e WINDOW u AS (PARTITION BY user_id), o AS (PARTITION BY user_id ORDER BY t, event_id)),
             p AS (SELECT *, completed + failed + skipped AS processed, lag(completed + failed + skipped, 1, -1) OVER (PARTITION BY user_id ORDER BY r) AS told FROM n),
             l AS (SELECT user_id, began, min(r) AS last, min(t) AS ended FROM p WHERE processed >= total GROUP BY 1, 2), k AS (SELECT * FROM p JOIN l USING (user_id, began) WHERE r <= last)
-       SELECT user_id, 'connected' AS kind, t AS at_us, NULL AS processed, NULL AS completed, NULL AS failed, NULL AS skipped, NULL AS total, NULL AS percent, NULL AS status FROM k WHERE r = 1
-       UNION ALL SELECT user_id, 'progress', t, processed, completed, failed, skipped, total, CASE WHEN total > 0 THEN processed * 100 // total ELSE 0 END, CASE outcome WHEN 'paused' THEN 'paused' ELSE 'running' END FROM k WHERE processed <> told
+       SELECT user_id, 'connected' AS kind, t AS at_us, NULL AS processed, NULL AS completed, NULL AS failed, NULL AS skipped, NULL AS total, CAST(NULL AS INT) AS percent, NULL AS status FROM k WHERE r = 1
+       UNION ALL SELECT user_id, 'progress', t, processed, completed, failed, skipped, total, CAST(CASE WHEN total > 0 THEN processed * 100 // total ELSE 0 END AS INT), CASE outcome WHEN 'paused' THEN 'paused' ELSE 'running' END FROM k WHERE processed <> told
        UNION ALL SELECT user_id, 'paused', t, processed, completed, failed, skipped, total, NULL, 'paused' FROM k WHERE outcome = 'paused' AND before <> 'paused' AND r < last
        UNION ALL SELECT user_id, 'complete', t, processed, completed, failed, skipped, total, NULL, CASE WHEN failed > 0 THEN 'completed_with_errors' ELSE 'completed' END FROM k WHERE r = last
        UNION ALL SELECT user_id, 'heartbeat', unnest(generate_series(began + 86400000000, ended, 86400000000)), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM l""",

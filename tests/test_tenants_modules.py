@@ -111,3 +111,34 @@ def test_prompts_by_layer(spark):
     out = tenants.prompts(asked.drop("layer"), stored, {"tenant": "tenant", "module": "module", "core": None})
     assert sorted((str(r.tenant), str(r.module), r.name, str(r.prompt), str(r.layer)) for r in out.collect()) == sorted([("1", "m", "a", "t", "tenant"), ("2", "m", "a", "m", "module"), ("2", "None", "b", "c", "core"), ("None", "m", "c", "None", "None"), *[("2", "n", "a", "c", "core")] * 2])
     assert json.dumps(out.columns) == '["tenant", "module", "name", "prompt", "layer"]'
+
+
+def test_summaries_of_documents(spark):
+    from tessera.functions import enrichment
+
+    answers = [
+        ("DOCUMENT_TYPE:  Loss_Run. \nCARRIER: A.B. Co.\nPOLICY_PERIOD: x\nSUMMARY:  one\n\ntwo ", ("one\n\ntwo", "loss_run", "A.B. Co", "x")), ("Document_Type: letter\nSummary: s", ("s", "other", "unknown", "unknown")),
+        ("DOCUMENT_TYPE: policy\nCARRIER: c", ("DOCUMENT_TYPE: policy\nCARRIER: c", "other", "c", "unknown")), ("  ", None), (None, None),
+    ]
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(answers)], "i int, a string").select("i", enrichment.summary_fields(F.col("a")).alias("f")).orderBy("i").collect()
+    assert [r.f and tuple(r.f) for r in rows] == [f for _, f in answers]
+    seen = []
+
+    def model(prompts):
+        return [f"SUMMARY: {p.count('[Chunk ')} of {p.split('Total chunks: ')[1].split()[0]}" if "Document: 3" not in p else "" for p in prompts]
+
+    chunks = spark.createDataFrame([(1, i, f"w{i} x") for i in range(20)] + [(2, 0, None), (3, 0, "a"), (None, 0, "b c d")], "doc int, place int, words string")
+    got = {r.doc: (r.text, r.n_chunks, r.n_words) for r in enrichment.summaries(chunks, "doc", "place", "words", model).collect()}
+    assert got == {1: ("DOCUMENT SUMMARY: 9 of 20", 20, 40), 2: ("DOCUMENT SUMMARY: 1 of 1", 1, 0), None: ("DOCUMENT SUMMARY: 1 of 1", 1, 3)} and not seen
+
+
+def test_variants_of_questions(spark):
+    from tessera.functions import lists
+    from tessera.functions import text as tx
+
+    groups = (("paid time off", ("PTO", "vacation days")), ("x", ("one letter",)))
+    asked = spark.createDataFrame([("How much PTO?",), ("off time, PAID",), ("vacation of days and pto",), ("photo",), (None,), ("Biggest vendor data",)], "q string")
+    got = [r.v for r in asked.select(tx.variants(F.col("q"), groups, lists.EXPANSIONS).alias("v")).collect()]
+    always = ["one letter"]  # a term without tokens is in every question
+    assert got[:4] == [["How much PTO?", "paid time off", "vacation days", *always], ["off time, PAID", "PTO", "vacation days", *always], ["vacation of days and pto", "paid time off", "vacation days", *always], ["photo", *always]]
+    assert got[4] is None and got[5][2:] == [lists.EXPANSIONS[1][1], lists.EXPANSIONS[4][1], lists.EXPANSIONS[7][1]]
