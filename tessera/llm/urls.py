@@ -6,7 +6,7 @@ are put in the order of their shares of good labels, and each that does not diff
 (|z| < Z of a test of two proportions) is merged with it, with all that lies below; branches without labels are
 one. A template's purity is its share of good labels, smoothed towards that of the place above, that towards its
 host's, and that towards all pages'. A template with a purity below PURITY is rejected. All of it runs on counts
-of (host, shape of the path), not on pages, to the depth of the deepest path.
+of (host, shape of the path), not on pages, to the end of the deepest path; where a place has one branch only, as far as that goes in one step.
 """
 
 from __future__ import annotations
@@ -63,16 +63,37 @@ def branches(seen: DataFrame) -> DataFrame:
     return fixed.select("host", "place", "s", name.alias("step")).unionByName(told.filter("wide").select("host", "place", "s", F.lit("*").alias("step")))
 
 
+def along_chains(tree: DataFrame) -> DataFrame:
+    """The tree with all rows moved on to where their place branches or a path ends: as far as the first and the last path below a place agree."""
+    rest = F.slice("shape", F.col("at") + 1, F.size("shape"))
+    ends = tree.filter(F.size("shape") > F.col("at")).groupBy("host", "place").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+    shorter = F.least(F.size("lo"), F.size("hi"))
+    apart = F.array_position(F.transform(F.sequence(F.lit(1), shorter), lambda i: F.element_at("lo", i) == F.element_at("hi", i)), False)
+    steps = ends.select("host", "place", F.when(apart == 0, shorter).otherwise(apart - 1).cast("int").alias("steps")).filter("steps > 0")
+    joined = tree.join(steps, ["host", "place"], "left").withColumn("steps", F.when(F.size("shape") > F.col("at"), F.col("steps")))
+    way = lambda n: F.concat("place", F.when(n > 0, F.concat(F.lit("/"), F.array_join(F.slice("shape", F.col("at") + 1, n), "/"))).otherwise(""))
+    moved = F.col("steps").isNotNull()
+    return joined.select(
+        "host", "shape", "n", "labelled", "good", F.when(moved, way(F.col("steps"))).otherwise(F.col("place")).alias("place"),
+        F.when(moved, way(F.col("steps") - 1)).otherwise(F.col("up")).alias("up"), F.when(moved, F.col("at") + F.col("steps")).otherwise(F.col("at")).alias("at"),
+    )
+
+
 def templates(counts: DataFrame, prior: float | None = None) -> DataFrame:
-    """(host, shape, template, purity, labelled) from (host, shape, n, labelled, good). ``prior``: what hosts are smoothed towards, by default the purity of all pages."""
-    tree = common.written(counts.withColumn("place", F.lit("")).withColumn("up", F.lit("")), "shapes")
-    depth = tree.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(1, depth + 1):
-        live = F.size("shape") >= level
-        here = F.get("shape", F.lit(level - 1))
+    """(host, shape, template, purity, labelled) from (host, shape, n, labelled, good). ``prior``: what hosts are smoothed towards, by default the purity of all pages.
+
+    A round takes each place along its chain of single segments, and then one branch down; there are as many rounds as a path
+    has places with several branches, however deep paths are.
+    """
+    tree = common.written(counts.select("host", "shape", "n", "labelled", "good", F.lit("").alias("place"), F.lit("").alias("up"), F.lit(0).alias("at")), "shapes")
+    while tree.filter(F.size("shape") > F.col("at")).limit(1).count():
+        tree = common.written(along_chains(tree), "chains")
+        live = F.size("shape") > F.col("at")
+        here = F.get("shape", F.col("at"))
         seen = tree.filter(live).groupBy("host", "place", here.alias("s")).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
         moved = tree.withColumn("s", here).join(branches(seen), ["host", "place", "s"], "left").withColumn("up", F.when(live, F.col("place")).otherwise(F.col("up")))
-        tree = common.written(moved.withColumn("place", F.when(live, F.concat("place", F.lit("/"), "step")).otherwise(F.col("place"))).drop("s", "step"), "tree")
+        moved = moved.withColumn("place", F.when(live, F.concat("place", F.lit("/"), "step")).otherwise(F.col("place"))).withColumn("at", F.when(live, F.col("at") + 1).otherwise(F.col("at")))
+        tree = common.written(moved.drop("s", "step"), "tree")
     leaf = tree.groupBy("host", "up", "place").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
     up = leaf.groupBy("host", "up").agg(F.sum("labelled").alias("up_labelled"), F.sum("good").alias("up_good"))
     host = up.groupBy("host").agg(F.sum("up_labelled").alias("host_labelled"), F.sum("up_good").alias("host_good"))

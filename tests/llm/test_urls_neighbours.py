@@ -127,6 +127,18 @@ def test_deep_paths_are_judged_to_their_ends(spark):
     assert {(r.page_id % 2, r.verdict) for r in got} == {(1, "allow"), (0, "block")}
 
 
+def test_depth_takes_no_rounds(spark, monkeypatch):
+    deep = "/".join(f"s{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(2000))
+    paths = ["h/a/b", "h/a/c", "h/a", f"h/{deep}", f"i/{deep}", f"i/{deep}/x", f"i/{deep}/y/z", "i"]
+    rounds = []
+    own = urls.along_chains
+    monkeypatch.setattr(urls, "along_chains", lambda tree: rounds.append(1) or own(tree))
+    pages = spark.createDataFrame([(i, f"http://{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    got = {r.page_id: r.template for r in urls.judge(pages, spark.createDataFrame([(0, 1), (2, 0), (6, 0)], "page_id long, good int")).collect()}
+    assert len(rounds) <= 4 and len(got) == len(paths)
+    assert got[3].endswith(deep.split("/", 1)[1]) and got[4] == f"/{deep}" and got[7] == ""
+
+
 def test_rules_label_the_pages_that_they_fit(spark):
     rows = [(i, f"http://x.com/en/{i}") for i in range(30)] + [(100 + i, f"http://x.com/en{i % 2}/a") for i in range(10)] + [(200, "http://y.test/a"), (200, "http://y.test/a")]
     rows += [(300 + i, f"http://example.net/d{k}/{i}") for i, k in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(400 + i, f"http://example.net/de/8{i}") for i in range(9)]
