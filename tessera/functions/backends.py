@@ -25,17 +25,15 @@ class Generator(Protocol):
 
 
 class VectorBackend(Protocol):
-    """What a vector store offers, over DataFrames."""
+    """What a vector store offers, over DataFrames; sources.vector_index.VectorIndex is one."""
 
-    def upsert(self, chunks: DataFrame) -> None: ...
+    def upsert(self, chunks: DataFrame) -> int: ...
     def search(self, probes: DataFrame, k: int) -> DataFrame: ...
-    def delete(self, documents: DataFrame) -> None: ...
-
-
-class Chunker(Protocol):
-    """Chunks of documents, over DataFrames."""
-
-    def __call__(self, documents: DataFrame) -> DataFrame: ...
+    def delete(self, documents: DataFrame) -> int: ...
+    def update_tags(self, documents: DataFrame) -> int: ...
+    def count(self) -> int: ...
+    def health(self) -> dict[str, object]: ...
+    def clear(self) -> None: ...
 
 
 class Registry:
