@@ -8,7 +8,9 @@ is compared exactly with all that is there. How few probes do depends on the vec
 clusters, nearly all where they lie alike in all directions of a space with many.
 
 Equal vectors are one candidate with its K + 1 least ids, more can't be among K nearest; equal queries are one
-query. Large parts, and large sets of queries of one part, are cut into blocks, and each block meets each.
+query. Vectors lie in LANES lanes, a small part in one and a large one in several; queries of like parts make up a
+round. A round's queries wait in a task for each lane while the vectors of the parts that they probe stream by, and
+leave it with their K + 1 nearest there: at most LANES times so many rows for each query, however many parts it probes.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,6 +29,8 @@ from . import common
 K, SAMPLE, GRAPH, HIDDEN, PART_ROWS, MAX_PARTS, BLOCK, RECALL = 10, 4096, 10, 128, 125, 256, 4000, 0.95
 #: The share of the sample on which probes are chosen.
 HELD_OUT = 0.25
+#: Lanes of the vectors, components of all queries in a round, pairs compared at once.
+LANES, ROUND, PAIRS = 16, 1 << 21, 1 << 18
 
 
 def nearest(x: np.ndarray, k: int, of: np.ndarray | None = None) -> np.ndarray:
@@ -116,41 +121,135 @@ def fit(x: np.ndarray, parts: int, recall: float = RECALL) -> tuple[list[np.ndar
     return model, int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1
 
 
-def _route(model: list[np.ndarray] | None, probes: int):
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _likeliest(model: list[np.ndarray] | None, frame: pd.DataFrame, n: int) -> np.ndarray:
+    """The ``n`` likeliest parts of each row."""
+    if model is None:
+        return np.zeros((len(frame), 1), np.int32)
+    s = scores(model, np.stack(frame["embedding"].to_numpy()).astype(np.float32))
+    return np.argsort(-s, axis=1, kind="stable")[:, :n].astype(np.int32)
+
+
+def _homes(model: list[np.ndarray] | None):
+    def homes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield frame.assign(part=_likeliest(model, frame, 1)[:, 0])
+
+    return homes
+
+
+def _probes(model: list[np.ndarray] | None, n: int, lanes: np.ndarray):
+    """Adds ``home``, the likeliest part, ``probed``, a bit for each part, and the ``lanes`` (a row of marks for each part) of the ``n`` likeliest."""
+
+    def probes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            if model is None:
-                frame["parts"] = [[0]] * len(frame)
-            else:
-                s = scores(model, np.stack(frame["embedding"].to_numpy()).astype(np.float32))
-                frame["parts"] = np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32).tolist()
-            yield frame
-
-    return route
-
-
-def _ranked(k: int):
-    def ranked(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        names = ["q", "vec_id", "score"]
-        if not len(candidates) or not len(queries):
-            return pd.DataFrame({"q": [], "vec_id": [], "score": []})
-        x, out = np.stack(candidates["embedding"].to_numpy()).astype(np.float64), []
-        norms, ids = (x * x).sum(1), candidates["ids"].to_numpy()
-        for at in range(0, len(queries), 256):
-            y = np.stack(queries["embedding"].iloc[at : at + 256].to_numpy()).astype(np.float64)
-            d = norms[None, :] - 2 * (y @ x.T)
-            slack = 1e-9 * (norms.max() + (y * y).sum(1) + 1)
-            edge = np.partition(d, min(k, len(x) - 1), axis=1)[:, min(k, len(x) - 1)] + slack
-            for q, v, row, most in zip(queries["q"].iloc[at : at + 256], y, d, edge, strict=True):
-                near = np.flatnonzero(row <= most)
-                true = np.sqrt(((x[near] - v) ** 2).sum(1))
-                rows = sorted((s, int(i)) for s, j in zip(true, near, strict=True) for i in ids[j])[: k + 1]
-                out += [(q, i, s) for s, i in rows]
-        return pd.DataFrame(out, columns=names)
-
-    return ranked
+            likeliest = _likeliest(model, frame, n)
+            probed = np.zeros((len(frame), len(lanes)), bool)
+            np.put_along_axis(probed, likeliest.astype(np.int64), True, axis=1)
+            where = probed.astype(np.float32) @ lanes.astype(np.float32) > 0
+            yield frame.assign(home=likeliest[:, 0], lanes=[np.flatnonzero(w).astype(np.int32) for w in where], probed=[b.tobytes() for b in np.packbits(probed, axis=1)])
+
+    return probes
+
+
+def _bits(probed: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(probed), np.uint8).reshape(len(probed), -1), axis=1).astype(bool)
+
+
+def _met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The parts that queries of each round probe."""
+    for frame in frames:
+        for number, probed in frame.groupby("round")["probed"]:
+            parts = np.flatnonzero(_bits(probed.tolist()).any(0))
+            yield pd.DataFrame({"part": parts.astype(np.int32), "round": np.full(len(parts), number, np.int32)})
+
+
+def _components(rows: pa.RecordBatch) -> np.ndarray:
+    return rows.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
+
+
+class _Round:
+    """The queries of a round, and the ``k`` nearest of each among the vectors that have streamed by."""
+
+    def __init__(self, k: int):
+        self.k, self.asked, self.y = k, [], None
+
+    def ask(self, rows: pa.RecordBatch) -> None:
+        self.asked.append(rows)
+
+    def _begin(self) -> None:
+        self.q = np.concatenate([r.column("ids").flatten().to_numpy(zero_copy_only=False) for r in self.asked])
+        self.probed = np.concatenate([_bits(r.column("probed").to_pylist()) for r in self.asked])
+        self.y, self.asked = np.concatenate([_components(r) for r in self.asked]), []
+        self.norms = (self.y * self.y).sum(1)
+        self.score, self.id = np.full((len(self.q), self.k), np.inf), np.full((len(self.q), self.k), np.iinfo(np.int64).max)
+
+    def meet(self, part: int, rows: pa.RecordBatch) -> None:
+        if self.y is None:
+            self._begin()
+        x, queries = _components(rows), np.flatnonzero(self.probed[:, part])
+        norms, column = (x * x).sum(1), rows.column("ids")
+        ids, first = column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
+        step = max(1, PAIRS // len(x))
+        for at in range(0, len(queries), step):
+            own = queries[at : at + step]
+            d = norms[None, :] - 2 * (self.y[own] @ x.T)
+            slack = 1e-9 * (norms.max() + self.norms[own] + 1)
+            edge = self.score[own, -1] ** 2 - self.norms[own] + slack
+            near = ~(d > edge[:, None])  # what overflows is compared, too
+            if near.sum() > 4 * self.k * len(own) and len(x) > self.k:
+                near &= ~(d > (np.partition(d, self.k - 1, axis=1)[:, self.k - 1] + slack)[:, None])
+            a, b = np.nonzero(near)
+            true = np.empty(len(a))
+            for i in range(0, len(a), 1 << 14):
+                true[i : i + (1 << 14)] = np.sqrt(((x[b[i : i + (1 << 14)]] - self.y[own[a[i : i + (1 << 14)]]]) ** 2).sum(1))
+            self._keep(own[a], true, ids, first[b], first[b + 1] - first[b])
+
+    def _keep(self, queries: np.ndarray, true: np.ndarray, ids: np.ndarray, first: np.ndarray, copies: np.ndarray) -> None:
+        """Each query's least (score, id) of those it has and the new ones."""
+        if not len(queries):
+            return
+        changed, k = np.unique(queries), self.k
+        place = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        q = np.r_[np.repeat(changed, k), np.repeat(queries, copies)]
+        score = np.r_[self.score[changed].reshape(-1), np.repeat(true, copies)]
+        number = np.r_[self.id[changed].reshape(-1), ids[np.repeat(first, copies) + place]]
+        order = np.lexsort((number, score, q))
+        q, score, number = q[order], score[order], number[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = rank < k
+        self.score[q[kept], rank[kept]], self.id[q[kept], rank[kept]] = score[kept], number[kept]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.y is not None:
+            a, b = np.nonzero(np.isfinite(self.score) | (self.id < np.iinfo(np.int64).max))
+            yield pa.RecordBatch.from_arrays([pa.array(self.q[a]), pa.array(self.id[a, b]), pa.array(self.score[a, b])], names=["q", "vec_id", "score"])
+
+
+def _streamed(k: int):
+    """The ``k`` nearest of each round's queries in a lane; the queries (part -1) come before the vectors, part by part."""
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, _Round(k)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("round", "lane", "part")], axis=1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if key != tuple(at[start, :2]):
+                    yield from own.found()
+                    key, own = tuple(at[start, :2]), _Round(k)
+                if at[start, 2] < 0:
+                    own.ask(batch.slice(start, end - start))
+                    continue
+                for first in range(start, end, BLOCK):
+                    own.meet(int(at[start, 2]), batch.slice(first, min(BLOCK, end - first)))
+        yield from own.found()
+
+    return streamed
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int = PART_ROWS, recall: float = RECALL) -> DataFrame:
@@ -177,19 +276,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, part_rows: int =
     if parts > 1:
         some = distinct.orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).select("embedding").collect()
         model, probes = fit(np.array([r.embedding for r in some], np.float32), parts, recall)
-    indexed = common.written(distinct.mapInPandas(_route(model, 1), f"embedding {kind}, ids array<long>, parts array<int>").select("embedding", "ids", F.col("parts")[0].alias("part")), "index")
+    indexed = common.written(distinct.mapInPandas(_homes(model), f"embedding {kind}, ids array<long>, part int"), "index")
+    sizes = {r.part: r["count"] for r in indexed.groupBy("part").count().collect()}
+    blocks = [min(LANES, max(1, -(-sizes.get(p, 0) // BLOCK))) for p in range(parts)]
+    lanes = np.array([[(lane - p) % LANES < b for lane in range(LANES)] for p, b in enumerate(blocks)])
     asked = common.written(asked.distinct(), "queries")
     one = common.written(asked.select("embedding").distinct().withColumn("q", F.monotonically_increasing_id()), "asked")
-    routed = one.mapInPandas(_route(model, probes), f"embedding {kind}, q long, parts array<int>").select("embedding", "q", F.explode("parts").alias("part"))
-    routed = common.written(routed, "routed")
-    # one row for each part: in how many blocks its vectors and its queries are compared
-    cut = lambda df, into: df.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(into))
-    blocks = F.broadcast(cut(indexed, "blocks").join(cut(routed, "rounds"), "part"))
-    block = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    placed = indexed.join(blocks, "part").withColumn("block", block("embedding", "blocks")).select("part", "block", spread("rounds").alias("round"), "embedding", "ids")
-    routed = routed.join(blocks, "part").withColumn("round", block("q", "rounds")).select("part", spread("blocks").alias("block"), "round", "embedding", "q")
-    found = placed.groupBy("part", "block", "round").cogroup(routed.groupBy("part", "block", "round")).applyInPandas(_ranked(k), "q long, vec_id long, score double")
+    routed = common.written(one.mapInPandas(_probes(model, probes, lanes), f"embedding {kind}, q long, home int, lanes array<int>, probed binary"), "routed")
+    # queries in the order of their likeliest parts, cut into rounds of one size
+    homes = {r.home: r["count"] for r in routed.groupBy("home").count().collect()}
+    counts = [homes.get(p, 0) for p in range(parts)]
+    of = lambda values, at: F.lit(values)[F.col(at)]
+    place = of([int(b) for b in np.cumsum([0, *counts[:-1]])], "home") + F.pmod(F.xxhash64("q"), of([max(1, c) for c in counts], "home"))
+    routed = routed.withColumn("round", F.floor(place / max(1, ROUND // (length.d if length else 1))).cast("int"))
+    met = F.broadcast(routed.select("round", "probed").mapInPandas(_met, "part int, round int").distinct())
+    lane = F.pmod(F.col("part") + F.pmod(F.xxhash64("embedding"), of(blocks, "part")), F.lit(LANES)).cast("int")
+    vectors = indexed.join(met, "part").select("round", lane.alias("lane"), "part", "embedding", "ids", F.lit(None).cast("binary").alias("probed"))
+    waiting = routed.select("round", F.explode("lanes").alias("lane"), F.lit(-1).alias("part"), "embedding", F.array("q").alias("ids"), "probed")
+    streams = waiting.unionByName(vectors).repartition("round", "lane").sortWithinPartitions("round", "lane", "part")
+    found = streams.mapInArrow(_streamed(k + 1), "q long, vec_id long, score double")
     best = found.withColumn("_r", F.row_number().over(W.partitionBy("q").orderBy("score", "vec_id"))).filter(F.col("_r") <= k + 1).drop("_r")
     own = asked.join(one, "embedding").select(F.col("vec_id").alias("query_id"), "q")
     out = own.join(best, "q").filter("query_id <> vec_id")

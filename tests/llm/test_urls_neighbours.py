@@ -179,6 +179,48 @@ def test_recall_ties_and_copies(spark, part_rows):
     assert hits >= 0.9 * 10 * len(asked)
 
 
+def rows_made(plan):
+    """The rows out of each Python step of an executed plan."""
+    name, below = plan.nodeName(), plan.children()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [below.apply(i) for i in range(below.size())]
+    own = [plan.metrics().apply("pythonNumRowsReceived").value()] if plan.metrics().contains("pythonNumRowsReceived") else []
+    return own + [n for p in inner for n in rows_made(p)]
+
+
+def test_rows_made_grow_with_the_queries_not_with_the_parts(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v) for i, v in enumerate(rng.standard_normal((5000, 24)).tolist())]
+    for n in (1000, 5000):  # alike in all directions: most of 64 and of 256 parts are probed
+        vectors = spark.createDataFrame(rows[:n], "vec_id long, embedding array<float>")
+        found = neighbours.search(vectors, vectors.filter("vec_id % 100 = 0"), part_rows=15)
+        assert len(found.collect()) == n // 10
+        assert n // 10 <= max(rows_made(found._jdf.queryExecution().executedPlan())) <= n // 100 * 16 * 11
+
+
+@pytest.mark.parametrize("limits", [{"BLOCK": 7, "ROUND": 8 * 5, "PAIRS": 20}, {"BLOCK": 300, "LANES": 3}])
+def test_rounds_and_lanes_lose_nothing(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(neighbours, name, value)
+    fit = neighbours.fit
+    monkeypatch.setattr(neighbours, "fit", lambda x, parts, recall: (fit(x, parts, recall)[0], parts))  # every part is probed
+    rng = np.random.default_rng(8)
+    rows = [(i, v) for i, v in enumerate(rng.integers(-2, 3, (900, 8)).astype(float).tolist())]  # many equal distances
+    rows = [r for r in rows + [(3000 + i, rows[i % 3 + 1][1]) for i in range(60)] if any(r[1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.search(vectors, vectors.filter("vec_id % 20 = 0"), part_rows=60).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert sorted(got) == [i for i, _ in rows if i % 20 == 0]
+    for q, found in got.items():
+        assert ([i for i, _ in found], [s for _, s in found]) == brute(rows, q)
+
+
+def test_distances_that_overflow_when_squared(spark):
+    rows = [(100 * i, [1e200 + i * 1e188, 2.0]) for i in range(5)]
+    got = neighbours.search(df := spark.createDataFrame(rows, "vec_id long, embedding array<double>"), df.filter("vec_id = 0")).orderBy("rank").collect()
+    assert {r.vec_id for r in got} == {100, 200, 300, 400}
+
+
 def test_few_and_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 2.0]), (3, [1.0, 3.0])], schema)
