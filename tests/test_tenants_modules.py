@@ -142,3 +142,24 @@ def test_variants_of_questions(spark):
     always = ["one letter"]  # a term without tokens is in every question
     assert got[:4] == [["How much PTO?", "paid time off", "vacation days", *always], ["off time, PAID", "PTO", "vacation days", *always], ["vacation of days and pto", "paid time off", "vacation days", *always], ["photo", *always]]
     assert got[4] is None and got[5][2:] == [lists.EXPANSIONS[1][1], lists.EXPANSIONS[4][1], lists.EXPANSIONS[7][1]]
+
+
+def test_a_lateral_subquery_keeps_its_order_when_sorts_spill(spark, tmp_path):
+    """Runs of a spilled sort are merged with ties in any order, as are the blocks of a shuffle between executors."""
+    from tessera.plans import QUERIES
+
+    customer = spark.range(40).select(F.col("id").alias("c_custkey"), F.lit("BUILDING").alias("c_mktsegment"))
+    orders = spark.range(4000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 40).alias("o_custkey"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(cast(id * 7919 % 997 as int))").alias("o_orderdate"))
+    want = {}
+    for r in sorted(orders.collect(), key=lambda r: r.o_orderkey):
+        if r.o_custkey not in want or r.o_orderdate > want[r.o_custkey][0]:
+            want[r.o_custkey] = r.o_orderdate, r.o_orderkey
+    customer.write.parquet(f"{tmp_path}/customer.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    conf, key = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(key, "10")
+    try:
+        got = QUERIES["tpl_unit_owner_status"](spark, str(tmp_path)).collect()
+    finally:
+        conf.remove(key)
+    assert {r.c_custkey: r.o_orderkey for r in got} == {k: v[1] for k, v in want.items()}
