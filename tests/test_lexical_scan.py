@@ -59,6 +59,22 @@ def test_neither_postings_nor_scores_are_exchanged(spark, tmp_path):
     assert "hashpartitioning(term" not in plan and plan.count("Exchange hashpartitioning") <= 6
 
 
+def test_texts_stay_where_they_are_and_are_searched_once(spark, tmp_path):
+    folder = tables(spark, tmp_path, odd=False)
+    spark.read.parquet(f"{folder}/documents.parquet").withColumns({"lang": F.lit("en"), "source": F.concat(F.lit("src"), F.col("doc_id") % 4)}).write.parquet(f"{folder}/more/documents.parquet")
+    for name in ("benchmark", "embeddings"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{folder}/more/{name}.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 9, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/more/labels.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES["retrieval_quality_pipeline"](spark, f"{folder}/more")
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert "hashpartitioning(doc_id" not in plan and "hashpartitioning(term" not in plan and plan.count("MapInArrow") == 1
+        assert {r.query_id for r in df.collect()} >= {0, 2, 4, 6, 8}  # those with a form
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_all_scores_and_the_best_are_alike(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     asked = spark.createDataFrame([("a", ["alpha", "zz", None]), ("b", ["the"]), (None, ["beta", "gamma"]), ("c", []), ("d", None)], "query_id string, terms array<string>")
